@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from metaloom.llm import toxicity
+import public_tokenizers
+
+from metaloom.llm import byte_bpe, decontamination, near_dedup, pii, toxicity
 from metaloom.llm.common import keep, table
 
 
@@ -10,9 +12,31 @@ def drop_toxic(spark, docs, sf_dir):
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_copies(spark, docs, sf_dir):
+    return near_dedup.drop_copies(docs)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark, docs, sf_dir):
+    return pii.redact(docs)
+
+
+def encode(spark, docs, sf_dir):
+    return byte_bpe.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_copies),
+    ("decontamination", drop_contaminated),
+    ("pii", redact),
+    ("byte_bpe", encode),
+]
 
-#: Training and hashing by models can't be said in SQL; tests hold the stages against brute force.
+#: A trained classifier, sketches and merges can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
