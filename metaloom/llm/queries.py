@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, near_dedup, pii, toxicity
+from . import byte_bpe, decontamination, html_text, lm_score, near_dedup, packing, pii, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +35,39 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.round_trip(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_topk": op2_topk,
+    "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_lm_score": op7_lm_score,
     "op8_decontamination": op8_decontamination,
+    "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
