@@ -70,4 +70,33 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _decontamination_sql() -> str:
+    """The same seeds and windows; a seed is its tokens as text instead of a hash of them."""
+    key = lambda mask: " || ' ' || ".join(f"h[pos + {o}]" for o in mask)
+    seeds = lambda source, masks, where: " UNION ALL ".join(f"SELECT *, {i} AS mask, {key(m)} AS seed FROM {source} WHERE pos + {decontamination.span(masks) - 1} <= len(h) AND {where}" for i, m in enumerate(masks))
+    long, short = decontamination.MASKS, (decontamination.SHORT_MASK,)
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS h FROM documents), b AS (SELECT DISTINCT item_id, {words} AS h FROM benchmark),
+dp AS (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS pos FROM d), bp AS (SELECT item_id, h, unnest(range(1, len(h) + 1)) AS pos FROM b),
+ds AS ({seeds("dp", long, "true")}), bs AS ({seeds("bp", long, "true")}),
+ds2 AS ({seeds("dp", short, "true")}), bs2 AS ({seeds("bp", short, f"len(h) < {decontamination.span(long)}")}),
+hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.h AS h, bs.h AS item, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (mask, seed)
+  UNION SELECT ds2.doc_id, bs2.item_id, ds2.h, bs2.h, ds2.pos - bs2.pos FROM ds2 JOIN bs2 USING (mask, seed)),
+same AS (SELECT doc_id, item_id, least(20, len(item)) AS wide, list_transform(range(1, len(item) + 1), lambda i: CASE WHEN diagonal + i >= 1 AND h[diagonal + i] = item[i] THEN 1 ELSE 0 END) AS same FROM hits),
+best AS (SELECT doc_id, item_id, wide, list_max(list_transform(range(1, len(same) - wide + 2), lambda i: list_sum(same[i:i + wide - 1]))) AS agreed FROM same)
+SELECT doc_id, item_id, max(agreed)::INTEGER AS agreed FROM best WHERE agreed >= ceil(wide * 0.8) GROUP BY doc_id, item_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op8_decontamination": _decontamination_sql(),
+    "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+bits AS (SELECT *, array_to_string(list_transform(string_split(sha, ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), '') AS b,
+  min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(b, 5 * i + j + 1, 1)::INTEGER * (1 << (4 - j)::INTEGER)))::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM bits""",
+}
