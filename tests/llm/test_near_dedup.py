@@ -15,17 +15,18 @@ def longest_common(a, b):
     return row[-1]
 
 
+def items_of(t):
+    w = nd.WORD.findall((t or "").lower())
+    seen, out = {}, []
+    for i in range(max(1, len(w) - 4) if w else 0):
+        g = tuple(w[i : i + 5])
+        seen[g] = seen.get(g, 0) + 1
+        out.append((g, seen[g]))
+    return out
+
+
 def brute_similarity(x, y):
-    def items(t):
-        w = nd.WORD.findall(t.lower())
-        seen, out = {}, []
-        for i in range(max(1, len(w) - 4) if w else 0):
-            g = tuple(w[i : i + 5])
-            seen[g] = seen.get(g, 0) + 1
-            out.append((g, seen[g]))
-        return out
-
-    a, b = items(x), items(y)
+    a, b = items_of(x), items_of(y)
     if not a or not b:
         return float(a == b)
     kept = longest_common(a, b)
@@ -58,11 +59,12 @@ def brute_classes(texts):
             i = root[i]
         return i
 
+    lists = [items_of(t) for t in texts]
+    sets = [set(x) for x in lists]
     for i in range(len(texts)):
         for j in range(i):
-            same = nd.WORD.findall((texts[i] or "").lower()) == nd.WORD.findall((texts[j] or "").lower())
-            short = max(len(texts[i] or ""), len(texts[j] or "")) < 5000
-            if same or short and brute_similarity(texts[i] or "", texts[j] or "") >= 0.8:
+            # an alignment keeps no more than both have
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (lists[i] == lists[j] or brute_similarity(texts[i], texts[j]) >= 0.8):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: find(i) for i in range(len(texts))}
