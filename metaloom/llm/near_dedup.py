@@ -5,6 +5,10 @@ five words and keeps them in text order; equal components make candidates. A can
 link if the banded alignment of the two shingle sequences keeps `alike` of them: matched shingles
 over all shingles of both. Texts with the same words are one node from the start.
 
+Beside it each document has `bits` one-bit minimum hashes: a pair at 0.8 differs in a tenth of
+them, and candidates that differ in more than `differ` of them are not aligned. That misses a pair
+at 0.8 with a chance under 1e-5, and spares texts that merely share a passage.
+
 Candidates that share a component are compared without pairing up a group: a bucket's pivots
 meet its members, pairs already in one class or already tested being left out, and the number of
 pivots grows until every pair of a bucket is in one class or tested. A group of true copies thus
@@ -42,6 +46,8 @@ class Settings:
     alike: float = 0.8
     components: int = 20
     picks: int = 3
+    bits: int = 512
+    differ: int = 82
     growth: int = 4
     seed: int = 11
 
@@ -114,6 +120,19 @@ def sketch(items: np.ndarray, s: Settings) -> np.ndarray:
     return out
 
 
+def signature(items: np.ndarray, s: Settings) -> np.ndarray:
+    """A bit of the least item under each of many multiplications, 64 to a number."""
+    out = np.zeros(s.bits, bool)
+    if len(items):
+        own = (items >> np.uint64(32)).astype(np.uint32)
+        factors = mixed(np.arange(s.bits, dtype=np.uint64) * ODD + np.uint64(s.seed + 1)).astype(np.uint32) | np.uint32(1)
+        step = max(1, 1_000_000 // len(own))
+        for at in range(0, s.bits, step):
+            least = (factors[at : at + step, None] * own[None, :]).min(axis=1)
+            out[at : at + step] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(out).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, alike: float) -> float:
     """Share of labelled shingles that a banded alignment of a and b keeps; 0 where it can't reach alike.
 
@@ -149,26 +168,27 @@ def _rising(values: np.ndarray) -> int:
 
 
 def sketches(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, node (a hash of the words), size (shingles), sketch of every document."""
+    """doc_id, node (a hash of the words), size (shingles), sketch and signature of every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         with np.errstate(over="ignore"):
             for frame in frames:
-                nodes, sizes, found = [], [], []
+                nodes, sizes, found, signed = [], [], [], []
                 for text in frame["text"]:
                     w = words.of(text)
                     items = labelled(shingled(w, s.words))
                     nodes.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
                     sizes.append(len(items))
                     found.append(sketch(items, s).view(np.int64) if len(items) else np.zeros(0, np.int64))
-                yield pd.DataFrame({"doc_id": frame["doc_id"], "node": nodes, "size": sizes, "sketch": found})
+                    signed.append(signature(items, s))
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "node": nodes, "size": sizes, "sketch": found, "signature": signed})
 
-    return documents.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, node binary, size long, sketch array<long>")
+    return documents.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, node binary, size long, sketch array<long>, signature array<long>")
 
 
 def sequences(documents: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """node and its labelled shingles in text order, for the wanted nodes (columns node, doc_id of one of its documents)."""
+    """node and its labelled shingles (32 bits each) in text order, for the wanted nodes (columns node, doc_id of one of its documents)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -177,7 +197,7 @@ def sequences(documents: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame
                 coded = [words.of(t) for t in frame["text"]]
                 nodes = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in coded]
                 keep_ = [n == bytes(m) for n, m in zip(nodes, frame["node"], strict=True)]
-                yield pd.DataFrame({"node": [n for n, k in zip(nodes, keep_, strict=True) if k], "items": [labelled(shingled(w, s.words)).tobytes() for w, k in zip(coded, keep_, strict=True) if k]})
+                yield pd.DataFrame({"node": [n for n, k in zip(nodes, keep_, strict=True) if k], "items": [(labelled(shingled(w, s.words)) >> np.uint64(32)).astype(np.uint32).tobytes() for w, k in zip(coded, keep_, strict=True) if k]})
 
     rows = documents.select("doc_id", text_of().alias("text")).join(wanted, F.expr("doc_id <=> some_id"))
     # repeated doc_ids may carry other texts, or the same one again
@@ -189,7 +209,7 @@ def verified(pairs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            linked = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), s.alike) > 0 for x, y in zip(frame["x"], frame["y"], strict=True)]
+            linked = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), s.alike) > 0 for x, y in zip(frame["x"], frame["y"], strict=True)]
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "linked": linked})
 
     x = items.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -202,25 +222,27 @@ def classes(documents: DataFrame, settings: Settings | None = None) -> DataFrame
     s = settings or Settings()
     spark = documents.sparkSession
     drawn = keep(sketches(documents, s), "sketches")
-    nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("some_id"), F.max("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("some_id"), F.max("size").alias("size"), F.first("sketch").alias("sketch"), F.first("signature").alias("signature"))
     rows = nodes.select("node", "some_id", "size", F.explode("sketch").alias("key"))
     # grouped sides are written first: beside a plain exchange a skewed join can be split
     shared = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     members = keep(rows.join(shared, "key"), "members")
-    roots = linked(spark, documents, members, s)
+    signed = keep(nodes.select("node", "signature").join(keep(members.select("node").distinct(), "held"), "node", "left_semi"), "signed")
+    roots = linked(spark, documents, members.join(signed, "node"), s)
     of_node = drawn.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = keep(of_node.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "least")
     return of_node.join(least, "root").select("doc_id", "class_id", "node", "copies")
 
 
 def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """node, root of all nodes that have a link; members: key, node, some_id, size."""
+    """node, root of all nodes that have a link; members: key, node, some_id, size, signature."""
     none = spark.createDataFrame([], "node binary, root binary")
+    members = keep(members, "members")
     if members.isEmpty():
         return none
     items = keep(sequences(documents, keep(members.select("node", "some_id").distinct(), "wanted"), s), "items")
-    members = members.select("key", "node", "size")
-    roots, links, tested, salts = none, None, None, 1
+    members = members.select("key", "node", "size", "signature")
+    roots, tested, salts = none, None, 1
     while True:
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = keep(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "apart")
@@ -228,9 +250,11 @@ def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Set
         if now.isEmpty():
             return roots
         salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")
-        pivots = now.groupBy("key", salt).agg(F.min(F.struct("node", "root", "size")).alias("p"))
-        pivots = keep(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size")), "pivots")
-        met = now.join(pivots, "key").where("root <> pivot_root").where(F.least("size", "pivot_size") >= s.alike * F.greatest("size", "pivot_size"))
+        pivots = now.groupBy("key", salt).agg(F.min(F.struct("node", "root", "size", "signature")).alias("p"))
+        pivots = keep(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size"), F.col("p.signature").alias("pivot_signature")), "pivots")
+        differ = sum((F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("pivot_signature", F.lit(i)))) for i in range(s.bits // 64)), F.lit(0))
+        may = (F.col("root") != F.col("pivot_root")) & (F.least("size", "pivot_size") >= s.alike * F.greatest("size", "pivot_size")) & (differ <= s.differ)
+        met = now.join(pivots, "key").where(may)
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -238,13 +262,21 @@ def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Set
         tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
         fresh = found.where("linked").select("a", "b")
         if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            roots = keep(components(links), "roots")
+            roots = keep(merged(roots, fresh), "roots")
         done = pivots.select("key", F.col("pivot").alias("node"))
-        members = now.select("key", "node", "size").join(done, ["key", "node"], "left_anti")
+        members = now.select("key", "node", "size", "signature").join(done, ["key", "node"], "left_anti")
         salts *= s.growth
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after new links: classes are contracted to their roots first, so that only those that meet are looked at."""
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    met = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    moved = keep(components(met.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), "moved")
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return old.unionByName(moved.join(roots.select("node"), "node", "left_anti"))
+
+
 def drop_copies(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One document of each class, with its own columns: that of the least doc_id."""
     found = keep(classes(documents, settings), "classes")
