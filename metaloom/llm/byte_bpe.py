@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,7 @@ from .common import text_of
 class Settings:
     """cache: distinct words a worker remembers; the rest bounds what one DuckDB query holds."""
 
-    cache: int = 700_000
+    cache: int = 1_200_000
     query_bytes: int = 400_000
     query_tokens: int = 1_000_000
     rounds: int = 32
@@ -92,8 +91,8 @@ class Codec:
         cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.ranks = ranks
-        #: word -> its ids, the ids as text, the bytes they decode to, their number
-        self.known: dict[str, tuple[tuple[int, ...], str, bytes, int]] = {}
+        #: word -> its ids as text, the bytes they decode to, their number
+        self.known: dict[str, tuple[str, bytes, int]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._table("tokens", {"id": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
         left, right, rank = (np.array(x, np.int32) for x in zip(*cuts, strict=True)) if cuts else (np.zeros(0, np.int32),) * 3
@@ -106,16 +105,12 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words, by as many queries as their bytes ask for. A word that is itself a token is that token."""
-        for w in words:
-            if (whole := self.ranks.get(w.encode("utf-8"))) is not None:
-                self.known[w] = (whole,), str(whole), b"", 1
-        fresh, words = words, [w for w in words if w not in self.known]
-        self._merge(words)
-        for w, text in zip(fresh, self.decode([np.array(self.known[w][0], np.int32) for w in fresh]), strict=True):
-            ids, name, _, n = self.known[w]
-            self.known[w] = ids, name, text, n
-
-    def _merge(self, words: list[str]) -> None:
+        found = {w: [whole] for w in words if (whole := self.ranks.get(w.encode("utf-8"))) is not None}
+        self._merge([w for w in words if w not in found], found)
+        for w, text in zip(found, self.decode([np.array(ids, np.int32) for ids in found.values()]), strict=True):
+            self.known[w] = ",".join(map(str, found[w])), text, len(found[w])
+
+    def _merge(self, words: list[str], found: dict[str, list[int]]) -> None:
         at = 0
         while at < len(words):
             coded, size = [], 0
@@ -123,9 +118,9 @@ class Codec:
                 coded.append(words[at].encode("utf-8"))
                 size += len(coded[-1])
                 at += 1
-            self._encode(words[at - len(coded) : at], [self.byte[np.frombuffer(w, np.uint8)] for w in coded])
+            self._encode(words[at - len(coded) : at], [self.byte[np.frombuffer(w, np.uint8)] for w in coded], found)
 
-    def _encode(self, words: list[str], rows: list[np.ndarray]) -> None:
+    def _encode(self, words: list[str], rows: list[np.ndarray], known: dict[str, list[int]]) -> None:
         open_ = list(range(len(words)))
         while open_:
             here = [rows[i] for i in open_]
@@ -141,7 +136,7 @@ class Codec:
                     rows[i] = np.array(ids, np.int32)
                     left.append(i)
                 else:
-                    self.known[words[i]] = tuple(ids), ",".join(map(str, ids)), b"", len(ids)
+                    known[words[i]] = ids
             open_ = left
 
     def split(self, texts: list[str]) -> Iterator[list[tuple]]:
@@ -154,7 +149,7 @@ class Codec:
             yield list(map(self.known.__getitem__, p))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.fromiter(itertools.chain.from_iterable(w[0] for w in p), np.int32) for p in self.split(texts)]
+        return [np.array(",".join(w[0] for w in p).split(","), np.int32) if p else np.zeros(0, np.int32) for p in self.split(texts)]
 
     def decode(self, coded: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id sequence."""
@@ -229,7 +224,7 @@ def digest(documents: DataFrame, path: str, pattern: str, settings: Settings | N
             for a, b in chunks(texts):
                 counts, names, decoded = [], [], []
                 for words in codec.split(texts[a:b]):
-                    _, own, back, n = zip(*words, strict=True) if words else ((),) * 4
+                    own, back, n = zip(*words, strict=True) if words else ((),) * 3
                     counts.append(sum(n))
                     names.append(hashlib.sha256(",".join(own).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join(back)).hexdigest())
