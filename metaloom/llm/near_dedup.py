@@ -10,8 +10,9 @@ them, and candidates that differ in more than `differ` of them are not aligned.
 at 0.8 with a chance under 1e-5, and spares texts that merely share a passage.
 
 Candidates that share a component are compared without pairing up a group: a bucket's pivots
-meet its members, pairs already in one class or already tested being left out, and the number of
-pivots grows until every pair of a bucket is in one class or tested. A group of true copies thus
+meet its members, pairs already in one class being left out, and the number of pivots grows until
+every pair of a bucket is in one class or tested. A pair that shares several components is
+compared in the bucket of the least of them alone. A group of true copies thus
 costs about a row per member, and no link is lost to a cap.
 
 Defined results: a null text is an empty one; texts without words are one node; a text of fewer
@@ -48,7 +49,8 @@ class Settings:
     picks: int = 3
     bits: int = 512
     differ: int = 82
-    growth: int = 4
+    growth: int = 8
+    broadcast_rows: int = 1_000_000
     seed: int = 11
 
 
@@ -199,11 +201,16 @@ def sequences(documents: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame
                 keep_ = [n == bytes(m) for n, m in zip(nodes, frame["node"], strict=True)]
                 yield pd.DataFrame({"node": [n for n, k in zip(nodes, keep_, strict=True) if k], "items": [(labelled(shingled(w, s.words)) >> np.uint64(32)).astype(np.uint32).tobytes() for w, k in zip(coded, keep_, strict=True) if k]})
 
-    rows = documents.select("doc_id", text_of().alias("text")).join(wanted, F.expr("doc_id <=> some_id"))
+    rows = documents.select("doc_id", text_of().alias("text")).join(bounded(wanted, s), F.expr("doc_id <=> some_id"))
     # repeated doc_ids may carry other texts, or the same one again
     return rows.select("node", "text").mapInPandas(run, "node binary, items binary").groupBy("node").agg(F.min("items").alias("items"))
 
 
+def bounded(side: DataFrame, s: Settings) -> DataFrame:
+    """Broadcast up to a count of rows; beyond it the join shuffles both sides."""
+    return F.broadcast(side) if side.limit(s.broadcast_rows + 1).count() <= s.broadcast_rows else side
+
+
 def verified(pairs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     """The pairs a, b and whether they are links."""
 
@@ -227,7 +234,7 @@ def classes(documents: DataFrame, settings: Settings | None = None) -> DataFrame
     # grouped sides are written first: beside a plain exchange a skewed join can be split
     shared = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     members = keep(rows.join(shared, "key"), "members")
-    signed = keep(nodes.select("node", "signature").join(keep(members.select("node").distinct(), "held"), "node", "left_semi"), "signed")
+    signed = keep(nodes.select("node", "signature", "sketch").join(keep(members.select("node").distinct(), "held"), "node", "left_semi"), "signed")
     roots = linked(spark, documents, members.join(signed, "node"), s)
     of_node = drawn.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = keep(of_node.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "least")
@@ -235,14 +242,14 @@ def classes(documents: DataFrame, settings: Settings | None = None) -> DataFrame
 
 
 def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """node, root of all nodes that have a link; members: key, node, some_id, size, signature."""
+    """node, root of all nodes that have a link; members: key, node, some_id, size, signature, sketch."""
     none = spark.createDataFrame([], "node binary, root binary")
     members = keep(members, "members")
     if members.isEmpty():
         return none
     items = keep(sequences(documents, keep(members.select("node", "some_id").distinct(), "wanted"), s), "items")
-    members = members.select("key", "node", "size", "signature")
-    roots, tested, salts = none, None, 1
+    members = members.select("key", "node", "size", "signature", "sketch")
+    roots, salts = none, 1
     while True:
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = keep(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "apart")
@@ -250,21 +257,19 @@ def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Set
         if now.isEmpty():
             return roots
         salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")
-        pivots = now.groupBy("key", salt).agg(F.min(F.struct("node", "root", "size", "signature")).alias("p"))
-        pivots = keep(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size"), F.col("p.signature").alias("pivot_signature")), "pivots")
+        pivots = now.groupBy("key", salt).agg(F.min(F.struct("node", "root", "size", "signature", "sketch")).alias("p"))
+        pivots = keep(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size"), F.col("p.signature").alias("pivot_signature"), F.col("p.sketch").alias("pivot_sketch")), "pivots")
         differ = sum((F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("pivot_signature", F.lit(i)))) for i in range(s.bits // 64)), F.lit(0))
         may = (F.col("root") != F.col("pivot_root")) & (F.least("size", "pivot_size") >= s.alike * F.greatest("size", "pivot_size")) & (differ <= s.differ)
+        may = may & (F.array_min(F.array_intersect("sketch", "pivot_sketch")) == F.col("key"))
         met = now.join(pivots, "key").where(may)
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         found = keep(verified(keep(pairs, "pairs"), items, s), "tested")
-        tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
         fresh = found.where("linked").select("a", "b")
         if not fresh.isEmpty():
             roots = keep(merged(roots, fresh), "roots")
         done = pivots.select("key", F.col("pivot").alias("node"))
-        members = now.select("key", "node", "size", "signature").join(done, ["key", "node"], "left_anti")
+        members = now.select("key", "node", "size", "signature", "sketch").join(done, ["key", "node"], "left_anti")
         salts *= s.growth
 
 
@@ -282,7 +287,7 @@ def drop_copies(documents: DataFrame, settings: Settings | None = None) -> DataF
     found = keep(classes(documents, settings), "classes")
     kept = found.where(F.expr("doc_id <=> class_id")).groupBy("class_id").agg(F.min("node").alias("node"), F.count("*").alias("rows"))
     kept = keep(kept.select(F.col("class_id").alias("kept_id"), "rows"), "kept")
-    held = documents.join(kept, F.expr("doc_id <=> kept_id"))
+    held = documents.join(bounded(kept, settings or Settings()), F.expr("doc_id <=> kept_id"))
     once = held.where("rows = 1").select(documents.columns)
     if kept.where("rows > 1").isEmpty():
         return once
