@@ -7,7 +7,7 @@ over all shingles of both. Texts with the same words are one node from the start
 
 Beside it each document has `bits` one-bit minimum hashes: a pair at 0.8 differs in a tenth of
 them, and candidates that differ in more than `differ` of them are not aligned. That misses a pair
-at 0.8 with a chance under 1e-5, and spares texts that merely share a passage.
+at 0.8 with a chance under 1e-4, and spares texts that merely share a passage.
 
 Candidates that share a component are compared without pairing up a group: a bucket's pivots
 meet its members, pairs already in one class being left out, and the number of pivots grows until
@@ -47,8 +47,8 @@ class Settings:
     alike: float = 0.8
     components: int = 20
     picks: int = 3
-    bits: int = 512
-    differ: int = 82
+    bits: int = 1024
+    differ: int = 141
     growth: int = 8
     broadcast_rows: int = 1_000_000
     seed: int = 11
@@ -262,14 +262,17 @@ def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Set
         differ = sum((F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("pivot_signature", F.lit(i)))) for i in range(s.bits // 64)), F.lit(0))
         may = (F.col("root") != F.col("pivot_root")) & (F.least("size", "pivot_size") >= s.alike * F.greatest("size", "pivot_size")) & (differ <= s.differ)
         may = may & (F.array_min(F.array_intersect("sketch", "pivot_sketch")) == F.col("key"))
+        # of two pivots of a bucket the greater meets the smaller
+        flagged = now.join(pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")), ["key", "node"], "left")
+        now = keep(flagged, "flagged")
+        may = may & (F.col("is_pivot").isNull() | (F.col("node") > F.col("pivot")))
         met = now.join(pivots, "key").where(may)
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = keep(verified(keep(pairs, "pairs"), items, s), "tested")
         fresh = found.where("linked").select("a", "b")
         if not fresh.isEmpty():
             roots = keep(merged(roots, fresh), "roots")
-        done = pivots.select("key", F.col("pivot").alias("node"))
-        members = now.select("key", "node", "size", "signature", "sketch").join(done, ["key", "node"], "left_anti")
+        members = now.where("is_pivot is null").select("key", "node", "size", "signature", "sketch")
         salts *= s.growth
 
 
