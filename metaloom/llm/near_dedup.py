@@ -234,21 +234,23 @@ def classes(documents: DataFrame, settings: Settings | None = None) -> DataFrame
     # grouped sides are written first: beside a plain exchange a skewed join can be split
     shared = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     members = keep(rows.join(shared, "key"), "members")
-    signed = keep(nodes.select("node", "signature", "sketch").join(keep(members.select("node").distinct(), "held"), "node", "left_semi"), "signed")
-    roots = linked(spark, documents, members.join(signed, "node"), s)
+    signed = keep(nodes.select("node", "size", "signature", "sketch").join(keep(members.select("node").distinct(), "held"), "node", "left_semi"), "signed")
+    roots = linked(spark, documents, members, signed, s)
     of_node = drawn.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = keep(of_node.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "least")
     return of_node.join(least, "root").select("doc_id", "class_id", "node", "copies")
 
 
-def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """node, root of all nodes that have a link; members: key, node, some_id, size, signature, sketch."""
+def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
+    """node, root of all nodes that have a link; members: key, node, some_id; signed: node, size, signature, sketch.
+
+    Rounds move keys and nodes alone; the wide columns join where pairs are compared.
+    """
     none = spark.createDataFrame([], "node binary, root binary")
-    members = keep(members, "members")
     if members.isEmpty():
         return none
     items = keep(sequences(documents, keep(members.select("node", "some_id").distinct(), "wanted"), s), "items")
-    members = members.select("key", "node", "size", "signature", "sketch")
+    members = members.select("key", "node")
     roots, salts = none, 1
     while True:
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -257,8 +259,8 @@ def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Set
         if now.isEmpty():
             return roots
         salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")
-        pivots = now.groupBy("key", salt).agg(F.min(F.struct("node", "root", "size", "signature", "sketch")).alias("p"))
-        pivots = keep(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size"), F.col("p.signature").alias("pivot_signature"), F.col("p.sketch").alias("pivot_sketch")), "pivots")
+        pivots = now.groupBy("key", salt).agg(F.min(F.struct("node", "root")).alias("p"))
+        pivots = keep(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
         differ = sum((F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("pivot_signature", F.lit(i)))) for i in range(s.bits // 64)), F.lit(0))
         may = (F.col("root") != F.col("pivot_root")) & (F.least("size", "pivot_size") >= s.alike * F.greatest("size", "pivot_size")) & (differ <= s.differ)
         may = may & (F.array_min(F.array_intersect("sketch", "pivot_sketch")) == F.col("key"))
@@ -266,13 +268,14 @@ def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, s: Set
         flagged = now.join(pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")), ["key", "node"], "left")
         now = keep(flagged, "flagged")
         may = may & (F.col("is_pivot").isNull() | (F.col("node") > F.col("pivot")))
-        met = now.join(pivots, "key").where(may)
+        wide = pivots.join(signed.select(F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in ("size", "signature", "sketch"))), "pivot")
+        met = now.join(signed, "node").join(wide, "key").where(may)
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = keep(verified(keep(pairs, "pairs"), items, s), "tested")
         fresh = found.where("linked").select("a", "b")
         if not fresh.isEmpty():
             roots = keep(merged(roots, fresh), "roots")
-        members = now.where("is_pivot is null").select("key", "node", "size", "signature", "sketch")
+        members = now.where("is_pivot is null").select("key", "node")
         salts *= s.growth
 
 
