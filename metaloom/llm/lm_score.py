@@ -3,9 +3,11 @@
 Counts of words and of word pairs over all training texts are put on a logarithmic scale, and
 a count's level is kept by entering the n-gram once for each level up to it. Looking a count up
 asks for level after level until one is missing. The filter is made of segments by n-gram hash,
-each built by the task that holds the segment's counts; its whole size is bounded by
-`Settings.bits`, so it can be broadcast: beyond that bound n-grams get fewer bits each and false
-hits grow, but nothing is left out.
+each built by the task that holds the segment's counts, with `bits_each` bits for each level that
+is entered: it grows with the corpus. A filter of up to `Settings.bits` is broadcast. A larger one
+stays in its segments: the different n-grams of each part of the texts are sent to the segments
+they are in, and their levels back to the part, so that no task holds more than a segment or a part.
+Both ways ask the same filter and give the same scores.
 
 A word's probability mixes its pair's share of the context with its own smoothed share:
 w * c(context, word) / c(context) + (1 - w) * (c(word) + 0.1) / (N + 0.1 * (V + 1)),
@@ -40,7 +42,7 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: bound of the filter; frequent: bound of the broadcast word counts; cache: words a worker remembers."""
+    """bits: the largest filter that is broadcast; frequent: bound of the broadcast word counts; cache: words a worker remembers."""
 
     bits: int = 1 << 30
     bits_each: float = 10.0
@@ -191,6 +193,19 @@ def place(grams: np.ndarray, level: int, probe: int) -> np.ndarray:
     return mixed((grams + np.uint64(level * 0x100000001)) * ODD + np.uint64(probe * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(8)
 
 
+def probed(bits: np.ndarray, low: np.ndarray, start: np.ndarray, size: np.ndarray, s: Settings) -> np.ndarray:
+    """Repeated membership probes: the last level of each n-gram of which all bits are set in its segment; 0 where that is empty."""
+    out, active = np.zeros(len(low), np.int64), np.flatnonzero(size > 0)
+    for level in range(1, s.levels + 1):
+        for i in range(s.probes):
+            at = start[active] + (place(low[active], level, i) % size[active]).astype(np.int64)
+            active = active[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        if not len(active):
+            break
+        out[active] = level
+    return out
+
+
 def levels_of(counts: np.ndarray, s: Settings) -> np.ndarray:
     return np.minimum(s.levels, 1 + np.floor(np.log2(counts) / s.step + 1e-9)).astype(np.int64)
 
@@ -208,38 +223,29 @@ class Model:
     segments: int
     starts: np.ndarray  # of segments, in bits
     sizes: np.ndarray
-    bits: np.ndarray
+    bits: np.ndarray | None  # none if the filter stays in its segments
     words: np.ndarray  # sorted hashes of the frequent words
     counts: np.ndarray
     total: int
     distinct: int
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        """Repeated membership probes: the last level of each n-gram of which all bits are set."""
         seg = segment_of(grams, self.segments).astype(np.int64)
-        low, start, size = (grams & np.uint64(0xFFFFFFFF)), self.starts[seg], self.sizes[seg].astype(np.uint64)
-        out, active = np.zeros(len(grams), np.int64), np.flatnonzero(size > 0)
-        for level in range(1, self.settings.levels + 1):
-            for i in range(self.settings.probes):
-                at = start[active] + (place(low[active], level, i) % size[active]).astype(np.int64)
-                active = active[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            if not len(active):
-                break
-            out[active] = level
-        return out
+        return probed(self.bits, grams & np.uint64(0xFFFFFFFF), self.starts[seg], self.sizes[seg].astype(np.uint64), self.settings)
 
     def counts_of(self, grams: np.ndarray) -> np.ndarray:
         values, where = np.unique(grams, return_inverse=True)
         return value_of(self.levels(values), self.settings)[where]
 
     def scores(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return self.scores_from(self.counts_of(mixed(h)), self.counts_of(pairs_of(h, starts)[1]), starts)
+
+    def scores_from(self, own: np.ndarray, both: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Scores of texts from the counts of their words and pairs."""
         s = self.settings
-        context, pair = pairs_of(h, starts)
-        own = self.counts_of(mixed(h))
         before = np.empty_like(own)
         before[1:] = own[:-1]
         before[starts] = own[len(own) - 1] if len(own) else 0  # as many starts as ends
-        both = self.counts_of(pair)
         share = (own + 0.1) / (self.total + 0.1 * (self.distinct + 1))
         weight = np.where(before > 0, s.weight * before / (before + 5), 0)
         p = weight * np.minimum(1, both / np.maximum(before, 1)) + (1 - weight) * np.minimum(1, share)
@@ -255,20 +261,24 @@ class Model:
 
 def fitted(training: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
     """The model, and the table word, c of all words."""
+    return trained(training, s)[:2]
+
+
+def trained(training: DataFrame, s: Settings) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table word, c of all words, and the filter's segments."""
     size = training.agg(F.sum(F.length(text_of()))).first()[0] or 0
     segments = max(64, math.isqrt(size) // 16)  # packed parts and merged segments grow alike
     partial = keep(partial_counts(training, segments, s), "counts")
     vocabulary = keep(word_counts(partial), "words")
     total, distinct = vocabulary.agg(F.sum("c"), F.count("*")).first()
-    entries = partial.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    # an n-gram of count c has at most 1.5 c levels, and no more than all partial counts together
-    bits_each = min(s.bits_each, s.bits / max(1, 1.5 * 2 * (total or 0)) if 1.5 * entries * s.bits_each > s.bits else s.bits_each)
-    sizes, bits = _whole_filter(keep(filter_segments(partial, bits_each, s), "filter"), segments)
+    parts = keep(filter_segments(partial, s.bits_each, s), "filter")
+    held = 8 * (parts.agg(F.sum(F.length("bits"))).first()[0] or 0)
+    sizes, bits = _whole_filter(parts, segments) if held <= s.bits else (np.zeros(segments, np.int64), None)
     least = _least_count(vocabulary, s)
     often = vocabulary.where(F.col("c") >= (least or 2**62)).toArrow()
     words = often["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)
-    return Model(s, segments, np.cumsum(sizes) - sizes, sizes, bits, words[order], often["c"].to_numpy()[order], total or 0, distinct), vocabulary
+    return Model(s, segments, np.cumsum(sizes) - sizes, sizes, bits, words[order], often["c"].to_numpy()[order], total or 0, distinct), vocabulary, parts
 
 
 def _whole_filter(parts: DataFrame, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,11 +308,68 @@ def _least_count(vocabulary: DataFrame, s: Settings) -> int:
     return least
 
 
+def coded(h: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A part's different words, its tokens as places among them, and the starts of its texts."""
+    words, codes = np.unique(h, return_inverse=True)
+    return words.tobytes(), codes.astype(np.uint32).tobytes(), starts.tobytes()
+
+
+def decoded(words: bytes, codes: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(words, np.uint64)[np.frombuffer(codes, np.uint32)], np.frombuffer(starts, np.int64)
+
+
+def grams_of(h: np.ndarray, starts: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A part's different n-grams by segment, their segments, and the places of all words and then all pairs among them."""
+    values, where = np.unique(np.concatenate([mixed(h), pairs_of(h, starts)[1]]), return_inverse=True)
+    seg = segment_of(values, segments).astype(np.int32)
+    order = np.argsort(seg, kind="stable")
+    spot = np.empty(len(order), np.int64)
+    spot[order] = np.arange(len(order))
+    return values[order], seg[order], spot[where]
+
+
+def scores_by_segments(parts: DataFrame, filter_: DataFrame, sent, segments: int, s: Settings) -> DataFrame:
+    """row, score of every text of the parts (columns row of its first text, words, codes, starts), from a filter left in its segments."""
+    small = np.min_scalar_type(s.levels)
+
+    def probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for frame in frames:
+                for row, *part in frame.itertuples(index=False):
+                    grams, seg, _ = grams_of(*decoded(*part), segments)
+                    which, first = np.unique(seg, return_index=True)
+                    low = np.split(grams.astype(np.uint32), first[1:])
+                    yield pd.DataFrame({"segment": which, "part": row, "grams": [x.tobytes() for x in low]})
+
+    def asked(probes: pd.DataFrame, filter_: pd.DataFrame) -> pd.DataFrame:
+        low = [np.frombuffer(x, np.uint32) for x in probes["grams"]]
+        grams = np.concatenate([np.zeros(0, np.uint32), *low]).astype(np.uint64)
+        bits = np.frombuffer(b"".join(filter_["bits"]), np.uint8)
+        with np.errstate(over="ignore"):
+            found = probed(bits, grams, np.zeros(len(grams), np.int64), np.full(len(grams), 8 * len(bits), np.uint64), s).astype(small)
+        cuts = np.cumsum([len(x) for x in low])[:-1]
+        return pd.DataFrame({"part": probes["part"], "segment": probes["segment"], "levels": [x.tobytes() for x in np.split(found, cuts)] if low else []})
+
+    def scored(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        row, *own = next(part.itertuples(index=False))
+        with np.errstate(over="ignore"):
+            h, starts = decoded(*own)
+            levels = np.frombuffer(b"".join(found.sort_values("segment")["levels"]), small).astype(np.int64)
+            counts = value_of(levels, s)[grams_of(h, starts, segments)[2]]
+            out = sent.value.scores_from(counts[: len(h)], counts[len(h) :], starts)
+        return pd.DataFrame({"row": row + np.arange(len(starts)), "score": out})
+
+    asks = parts.mapInPandas(probes, "segment int, part long, grams binary").groupBy("segment")
+    found = keep(asks.cogroup(filter_.groupBy("segment")).applyInPandas(asked, "part long, segment int, levels binary"), "levels")
+    return parts.groupBy("row").cogroup(found.groupBy("part")).applyInPandas(scored, "row long, score double")
+
+
 def score(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     s = settings or Settings()
     rows = documents.select("doc_id", (fold_of("doc_id", 10) == 0).alias("held_out"), text_of().alias("text"))
-    model, vocabulary = fitted(rows.where("not held_out"), s)
+    model, vocabulary, filter_ = trained(rows.where("not held_out"), s)
+    whole_filter, segments = model.bits is not None, model.segments
     sent = documents.sparkSession.sparkContext.broadcast(model)
     norm = model.total + 0.1 * (model.distinct + 1)
 
@@ -320,12 +387,16 @@ def score(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
                     often = c >= 0
                     base = np.add.reduceat(np.where(often, np.log10((np.maximum(c, 0) + 0.1) / norm), 0), starts)
                     rare = [h[a:b][~often[a:b]].view(np.int64) for a, b in zip(starts, ends, strict=True)]
-                    yield pd.DataFrame({"row": row + np.arange(len(part)), "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": ends - starts, "often": np.add.reduceat(often.astype(np.int64), starts), "base": base, "score": m.scores(h, starts), "rare": rare})
+                    held = (m.scores(h, starts), None, None, None) if whole_filter else (np.nan, *([x, *[None] * (len(part) - 1)] for x in coded(h, starts)))
+                    yield pd.DataFrame({"row": row + np.arange(len(part)), "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": ends - starts, "often": np.add.reduceat(often.astype(np.int64), starts), "base": base, "rare": rare, **dict(zip(("score", "words", "codes", "starts"), held, strict=True))})
                     row += len(part)
 
-    scored = keep(rows.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, often long, base double, score double, rare array<long>"), "scored")
+    scored = keep(rows.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, often long, base double, rare array<long>, score double, words binary, codes binary, starts binary"), "scored")
     each = scored.select("row", F.explode("rare").alias("word")).join(vocabulary, "word", "left")
     found = each.groupBy("row").agg(F.count("c").alias("known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / norm)).alias("more"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    whole = scored.drop("rare").join(found, "row", "left")
+    whole = scored.drop("rare", "words", "codes", "starts").join(found, "row", "left")
+    if not whole_filter:
+        parts = scored.where("codes is not null").select("row", "words", "codes", "starts")
+        whole = whole.drop("score").join(scores_by_segments(parts, filter_, sent, segments, s), "row")
     return whole.select("doc_id", "held_out", "n_tokens", (F.col("often") + zero("known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + zero("more")).alias("base_score"), "score")

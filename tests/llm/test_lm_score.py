@@ -42,6 +42,20 @@ def test_levels_come_back(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_scores_beyond_one_broadcast(spark):
+    """A filter too big to broadcast gives the scores of one that isn't, and held-out texts are still told apart."""
+    rows = [(i, " ".join(f"a{(i + j) % 40} b{(i + j) % 40} c{i % 30}" for j in range(60))) for i in range(200)] + [(300, None), (None, "a1 new")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    of = lambda **k: {r.doc_id: (r.held_out, r.n_tokens, r.score) for r in lm.score(documents, lm.Settings(**k)).collect()}
+    whole, apart = of(), of(bits=4096)
+    assert whole.keys() == apart.keys() and len(whole) == len(rows)
+    for i, (held_out, n, score) in whole.items():
+        assert apart[i][:2] == (held_out, n)
+        assert apart[i][2] == pytest.approx(score, rel=1e-9)
+    assert all(score < 0 for _, _, score in apart.values())
+    assert len({score for held_out, _, score in apart.values() if held_out}) > 5
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(empty).count() == 0
