@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -51,3 +53,34 @@ def test_against_brute_force(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
     assert dc.overlaps(documents.limit(0), benchmark).count() == 0
     assert dc.drop_contaminated(documents, benchmark.limit(0)).count() == len(docs)
+
+
+def test_no_allowed_substitutions_miss_all_seeds():
+    for n in range(dc.SHORT, 21):
+        masks = next(m for least, m in dc.TIERS if n >= least)
+        placed = [{k + o for o in m} for m in masks for k in range(n - max(m))]
+        for changed in itertools.combinations(range(n), n - math.ceil(n * 4 / 5)):
+            assert any(p.isdisjoint(changed) for p in placed), (n, changed)
+
+
+def test_substitutions_at_random_places(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(500)}"
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(dc.SHORT, 21)] + [(30, " ".join(word() for _ in range(33)))]
+    docs = []
+    for _, t in items:
+        own = t.split()
+        allowed = min(len(own), 20) - math.ceil(min(len(own), 20) * 4 / 5)
+        for changed in (0, *[allowed] * 12, allowed + 1):
+            copy = list(own)
+            for k in rng.sample(range(min(len(own), 20)), changed):
+                copy[k] = "changed"
+            around = rng.choice((0, 3, 30))
+            docs.append(" ".join([word() for _ in range(around)] + copy + [word() for _ in range(around)]))
+    docs = list(enumerate(docs))
+    want = brute(docs, items)
+    assert len(want) >= 13 * len(items)
+    # each alone, so that masks of one tier don't stand in for those of another
+    for some in (items, items[:3], items[10:12]):
+        got = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {x for x in want if x[1] in dict(some)}
