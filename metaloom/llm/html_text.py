@@ -1,6 +1,6 @@
 """Layout-aware text of HTML pages.
 
-A tree is built with the end tags that HTML implies; a walk over it then emits all visible text:
+A tree is built with the end tags that HTML implies, that of a head among them; a walk over it then emits all visible text:
 blocks on lines of their own, a blank line around paragraphs, headings, lists and tables, list
 items with markers and indentation, preformatted text as it is, and table cells in aligned columns.
 
@@ -33,6 +33,7 @@ class Settings:
 
 
 # What HTML says of its elements.
+HEAD = frozenset("base link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas meta link".split())
@@ -91,7 +92,7 @@ def tree(source: str) -> Node:
     at = 0
     while m := MARKUP.search(source, at):
         if m.start() > at:
-            open_[-1].children.append(source[at : m.start()])
+            _text(open_, source[at : m.start()])
         at = m.end()
         name = m.group(2) or m.group(5)
         if not name:
@@ -111,17 +112,36 @@ def tree(source: str) -> Node:
         elif tag not in VOID:
             open_.append(node)
     if at < len(source):
-        open_[-1].children.append(source[at:])
+        _text(open_, source[at:])
     return root
 
 
+def _text(open_: list[Node], text: str) -> None:
+    """Adds text where it stands; other than blanks it ends an open head."""
+    if open_[-1].tag == "head" and text.strip(" \t\n\r\f"):
+        open_.pop()
+    open_[-1].children.append(text)
+
+
 def _imply(open_: list[Node], tag: str) -> None:
+    if tag not in HEAD:
+        _end_head(open_)
     if tag in CLOSE_P:
         _close(open_, {"p"}, P_SCOPE)
     if tag in IMPLIED:
         _close(open_, *IMPLIED[tag])
 
 
+def _end_head(open_: list[Node]) -> None:
+    """Ends the head at a start tag that may not stand in it; what a template or noscript in it holds stays theirs."""
+    for i in range(len(open_) - 1, 0, -1):
+        if open_[i].tag == "head":
+            del open_[i:]
+            return
+        if open_[i].tag in ("template", "noscript"):
+            return
+
+
 def _close(open_: list[Node], names: set[str], until: set[str] | frozenset[str]) -> None:
     for i in range(len(open_) - 1, 0, -1):
         if open_[i].tag in names:

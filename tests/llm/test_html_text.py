@@ -33,6 +33,22 @@ def test_cases(source, want):
     assert ht.rendered(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<html><head><title>T</title><p>Visible</html>", "Visible"),
+        ("<head><meta charset=utf-8><title>T</title>\n  plain <b>text</b>", "plain text"),
+        ("<head><title>T</title><style>p{}</style><!-- c --><div>a</div><p>b", "a\n\nb"),
+        ("<head><noscript><p>no</p></noscript><template><p>no</p></template><link href=x><custom-tag>yes", "yes"),
+        ("<head><html>yes", "yes"),
+        ("<head>\n<title>T</title>\n</head>\n<p>one", "one"),
+        ("<head><noscript><p>no<body>yes", "yes"),
+    ],
+)
+def test_heads_that_are_left_open(source, want):
+    assert ht.rendered(source) == want
+
+
 class Plain(HTMLParser):
     """Visible characters in order, without any layout."""
 
