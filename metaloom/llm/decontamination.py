@@ -72,7 +72,12 @@ def seeds(rows: DataFrame, keys: list[str], masks: tuple[tuple[int, ...], ...])
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, item_id, agreed (most agreeing tokens of a window) for each document and item found in it."""
-    s = settings or Settings()
+    found = _found(documents, benchmark, settings or Settings())
+    return found.groupBy("doc_id", "item_id").agg(F.max("agreed").alias("agreed"))
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, doc_key (hash of the text), item_id, agreed: a row for each diagonal that is found."""
     items = keep(benchmark.select("item_id", F.xxhash64(text_of()).alias("item_key"), tokens(text_of()).alias("item")).distinct(), "items")
     docs = documents.select("doc_id", F.xxhash64(text_of()).alias("doc_key"), tokens(text_of()).alias("h"))
     hits = keep(_hits(docs, items, s).distinct(), "hits")
@@ -110,13 +115,12 @@ def _verified(hits: DataFrame, docs: DataFrame, items: DataFrame, s: Settings) -
     equal = F.expr("transform(item, (t, i) -> cast(diagonal + i >= 0 and get(h, cast(diagonal + i as int)) <=> t as int))")
     window = F.least(F.lit(s.window), F.size("item"))
     best = F.expr("array_max(transform(sequence(1, size(item) - wide + 1), i -> aggregate(slice(same, i, wide), 0, (n, x) -> n + x)))")
-    rated = both.select("doc_id", "item_id", "item", window.alias("wide"), equal.alias("same")).withColumn("agreed", best)
-    found = rated.where(F.col("agreed") >= F.ceil(F.col("wide") * F.lit(s.agree)))
-    return found.groupBy("doc_id", "item_id").agg(F.max("agreed").alias("agreed"))
+    rated = both.select("doc_id", "doc_key", "item_id", "item", window.alias("wide"), equal.alias("same")).withColumn("agreed", best)
+    return rated.where(F.col("agreed") >= F.ceil(F.col("wide") * F.lit(s.agree))).select("doc_id", "doc_key", "item_id", "agreed")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The documents in which no item is found, with their own columns."""
+    """The documents in which no item is found, with their own columns. Of rows that share a doc_id (or have none) only those with a found text go."""
     s = settings or Settings()
-    found = keep(overlaps(documents, benchmark, s).select(F.col("doc_id").alias("found_id")).distinct(), "found")
-    return documents.join(_small(found, s), F.expr("doc_id <=> found_id"), "left_anti")
+    found = keep(_found(documents, benchmark, s).select(F.col("doc_id").alias("found_id"), F.col("doc_key").alias("found_key")).distinct(), "found")
+    return documents.join(_small(found, s), F.expr("doc_id <=> found_id") & (F.xxhash64(text_of()) == F.col("found_key")), "left_anti")

@@ -84,3 +84,15 @@ def test_substitutions_at_random_places(spark):
     for some in (items, items[:3], items[10:12]):
         got = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string")).collect()
         assert {(r.doc_id, r.item_id) for r in got} == {x for x in want if x[1] in dict(some)}
+
+
+def test_only_found_texts_go(spark):
+    """Clean rows that share their doc_id, or the want of one, with a contaminated row stay."""
+    item = " ".join(f"q{k}" for k in range(25))
+    rows = [(None, item), (None, "clean one"), (None, None), (7, f"before {item} after"), (7, "clean two"), (8, item), (8, item), (9, "clean three")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for s in (dc.Settings(), dc.Settings(broadcast_rows=0)):
+        left = dc.drop_contaminated(documents, benchmark, s)
+        assert sorted(map(tuple, left.collect()), key=repr) == sorted([r for r in rows if item not in (r[1] or "")], key=repr)
+    assert {(r.doc_id, r.agreed) for r in dc.overlaps(documents, benchmark).collect()} == {(None, 20), (7, 20), (8, 20)}
