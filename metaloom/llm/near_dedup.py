@@ -226,7 +226,13 @@ def verified(pairs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
 
 def classes(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, class_id, node and copies (rows of the class) of every document."""
-    s = settings or Settings()
+    of_node = _rooted(documents, settings or Settings())
+    least = keep(of_node.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "least")
+    return of_node.join(least, "root").select("doc_id", "class_id", "node", "copies")
+
+
+def _rooted(documents: DataFrame, s: Settings) -> DataFrame:
+    """root (the same for a class), doc_id and node of every document."""
     spark = documents.sparkSession
     drawn = keep(sketches(documents, s), "sketches")
     nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("some_id"), F.max("size").alias("size"), F.first("sketch").alias("sketch"), F.first("signature").alias("signature"))
@@ -236,9 +242,7 @@ def classes(documents: DataFrame, settings: Settings | None = None) -> DataFrame
     members = keep(rows.join(shared, "key"), "members")
     signed = keep(nodes.select("node", "size", "signature", "sketch").join(keep(members.select("node").distinct(), "held"), "node", "left_semi"), "signed")
     roots = linked(spark, documents, members, signed, s)
-    of_node = drawn.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = keep(of_node.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "least")
-    return of_node.join(least, "root").select("doc_id", "class_id", "node", "copies")
+    return drawn.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
@@ -289,12 +293,27 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def drop_copies(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """One document of each class, with its own columns: that of the least doc_id."""
-    found = keep(classes(documents, settings), "classes")
-    kept = found.where(F.expr("doc_id <=> class_id")).groupBy("class_id").agg(F.min("node").alias("node"), F.count("*").alias("rows"))
-    kept = keep(kept.select(F.col("class_id").alias("kept_id"), "rows"), "kept")
-    held = documents.join(bounded(kept, settings or Settings()), F.expr("doc_id <=> kept_id"))
-    once = held.where("rows = 1").select(documents.columns)
-    if kept.where("rows > 1").isEmpty():
+    """One document of each class, with its own columns: that of the least doc_id, one without an id only if none has one.
+
+    Words are hashed again only for rows that share their doc_id, or the want of one, with others.
+    """
+    s = settings or Settings()
+    found = keep(_rooted(documents, s), "classes")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k"))
+    shared = keep(found.groupBy(F.col("doc_id").alias("shared_id")).agg(F.count("*").alias("n")).where("n > 1").select("shared_id", F.lit(True).alias("shared")), "shared_ids")
+    kept = first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node"))
+    kept = keep(kept.join(bounded(shared, s), F.expr("kept_id <=> shared_id"), "left").select("kept_id", "kept_node", "shared"), "kept")
+    once = documents.join(bounded(kept.where("shared is null").select("kept_id"), s), F.expr("doc_id <=> kept_id")).select(documents.columns)
+    of_shared = kept.where("shared")
+    if of_shared.isEmpty():
         return once
-    return once.unionByName(held.where("rows > 1").dropDuplicates(["doc_id", "text"]).select(documents.columns))
+
+    @F.pandas_udf("binary")
+    def node_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = Words()
+        for part in parts:
+            yield pd.Series([hashlib.blake2b(words.of(t).tobytes(), digest_size=16).digest() for t in part])
+
+    several = documents.join(bounded(shared.select("shared_id"), s), F.expr("doc_id <=> shared_id"), "left_semi").withColumn("_own_node", node_of(text_of()))
+    held = several.join(bounded(of_shared.select("kept_id", "kept_node"), s), F.expr("doc_id <=> kept_id and _own_node = kept_node"))
+    return once.unionByName(held.dropDuplicates(["doc_id", "_own_node"]).select(documents.columns))

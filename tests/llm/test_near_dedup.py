@@ -109,3 +109,17 @@ def test_components(spark):
     rng.shuffle(links)
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+
+
+def test_one_row_of_each_class_without_unique_ids(spark):
+    """Null and repeated doc_ids with different texts: each class keeps one row, and no class is lost."""
+    long = [" ".join(f"{c}{k}" for k in range(80)) for c in "abcd"]
+    near = [t + " more" for t in long]
+    rows = [(None, long[0]), (None, near[0]), (5, long[1]), (5, near[1]), (6, long[2]), (6, "other words stand here alone"), (None, near[2]), (5, long[3]), (9, near[3]), (9, near[3]), (10, "single"), (None, None), (None, "")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    for s in (nd.Settings(), nd.Settings(broadcast_rows=0)):
+        left = [tuple(r) for r in nd.drop_copies(documents, s).collect()]
+        assert all(r in rows for r in left)
+        kinds = sorted((r[1] or "")[:1] for r in left)
+        assert kinds == ["", "a", "b", "c", "d", "o", "s"]
+        assert {r[0] for r in left if (r[1] or "")[:1] in ("c", "d")} == {6, 5}
