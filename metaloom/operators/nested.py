@@ -21,8 +21,8 @@ def ordered(rows: DataFrame, keys: list[str], order: list[str], value: Column, n
     return tagged.groupBy(*keys).agg(listed).join(counts, keys)
 
 
-def distinct_ordered(rows: DataFrame, keys: list[str], order: str, value: str, name: str, most: int) -> DataFrame:
-    """keys, name: the first `most` different values by their first place in order."""
+def distinct_ordered(rows: DataFrame, keys: list[str], order: str, value: str, name: str, most: int | None = None) -> DataFrame:
+    """keys, name: the different values by their first place in order, the first `most` of them or all."""
     firsts = rows.groupBy(*keys, value).agg(F.min(order).alias("_first"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value])
-    return firsts.groupBy(*keys).agg(F.slice(listed, 1, most).alias(name))
+    return firsts.groupBy(*keys).agg((listed if most is None else F.slice(listed, 1, most)).alias(name))

@@ -92,7 +92,7 @@ class Catalog:
         edges = self.i.edges.groupBy("src_symbol_id", "qualifier", "callee_name").agg(F.max("resolved").alias("resolved"), F.min("edge_type").alias("edge_type"), F.min("pos").alias("pos"))
         callees = edges.groupBy(F.col("src_symbol_id").alias("symbol_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct((~F.col("resolved")).alias("open"), "pos", "callee_name", "qualifier", "edge_type", "resolved"))), lambda x: F.struct(x["callee_name"].alias("name"), x["qualifier"].alias("qualifier"), x["edge_type"].alias("edge_type"), x["resolved"].alias("resolved"))).alias("callees"))
         callers = self._callers(one).groupBy(F.col("target_id").alias("symbol_id")).agg(F.array_sort(F.collect_list(F.struct("name", "module", "line_start"))).alias("callers"))
-        touched = nested.distinct_ordered(self.i.query_refs, ["src_symbol_id"], "pos", "object_full_name", "touched_objects", 1000).withColumnRenamed("src_symbol_id", "symbol_id")
+        touched = nested.distinct_ordered(self.i.query_refs, ["src_symbol_id"], "pos", "object_full_name", "touched_objects").withColumnRenamed("src_symbol_id", "symbol_id")
         moves = self.i.register_movements.join(self.i.objects.select(F.col("object_id").alias("document_id"), F.col("name").alias("object_name")), "document_id").groupBy("object_name").agg(F.array_sort(F.collect_set("register_name")).alias("registers"))
         row = one.join(F.broadcast(self._same_name(name))).join(callees, "symbol_id", "left").join(callers, "symbol_id", "left").join(touched, "symbol_id", "left").join(moves, "object_name", "left")
         columns = ["name", "type", "params", "is_export", "module_path", "module_type", F.col("object_name").alias("owner"), "line_start", "line_end", "callees", "callers", "touched_objects", "registers", "ambiguous_definitions", F.lit(object_name).alias("requested_object"), "object_matched"]

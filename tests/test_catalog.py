@@ -1,5 +1,7 @@
 """A small source tree, from files to answers."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,13 @@ def test_functions_queries(c):
     assert (stats.files, stats.symbols, stats.objects, stats.edges_by_type["call_local"]) == (3, 5, 2, 2)  # a file without bytes has no row
 
 
+def test_all_touched_objects(spark, index):
+    symbol = catalog.Catalog(index).placed.where("name = 'ПередЗаписью' and object_name = 'Заказ'").first().symbol_id
+    many = index.query_refs.limit(0).unionByName(spark.range(1200).select(F.lit(symbol).alias("src_symbol_id"), F.concat(F.lit("Catalog.C"), "id").alias("object_full_name"), F.col("id").cast("int").alias("pos")), allowMissingColumns=True)
+    row = catalog.Catalog(replace(index, query_refs=many)).read_function("ПередЗаписью", object_name="Заказ").first()
+    assert row.touched_objects == [f"Catalog.C{i}" for i in range(1200)]
+
+
 def test_greps(spark, c, tree):
     found = rows(c.code_grep("возврат", limit=1), "line", "text", "function", "truncated")
     assert found[0][1:] == ("Возврат Округлить(ПрочитатьКурс(Валюта));", "ПолучитьСтавку", False) and found[-1][-1]
