@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +48,11 @@ def text_of(column: str = "text") -> Column:
 def fold_of(column: str, parts: int) -> Column:
     """crc32 of an id as text, modulo parts; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def in_frames(rows: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """mapInPandas with ids carried as text: beside a null, pandas turns whole numbers into floats, and those over 2 ** 53 change."""
+    declared = StructType.fromDDL(schema)
+    carried = StructType([StructField(f.name, StringType()) if f.name in ids else f for f in declared])
+    found = rows.withColumns({c: F.col(c).cast("string") for c in ids if c in rows.columns}).mapInPandas(run, carried)
+    return found.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in declared if f.name in ids})

@@ -5,15 +5,14 @@ five words and keeps them in text order; equal components make candidates. A can
 link if the banded alignment of the two shingle sequences keeps `alike` of them: matched shingles
 over all shingles of both. Texts with the same words are one node from the start.
 
-Beside it each document has `bits` one-bit minimum hashes: a pair at 0.8 differs in a tenth of
-them, and candidates that differ in more than `differ` of them are not aligned. That misses a pair
-at 0.8 with a chance under 1e-4, and spares texts that merely share a passage.
-
-Candidates that share a component are compared without pairing up a group: a bucket's pivots
-meet its members, pairs already in one class being left out, and the number of pivots grows until
-every pair of a bucket is in one class or tested. A pair that shares several components is
-compared in the bucket of the least of them alone. A group of true copies thus
-costs about a row per member, and no link is lost to a cap.
+Documents that share a component are a bucket. The two of a bucket of two are aligned. In a larger
+one, the least node that isn't taken yet leads all those whose one-bit minimum hashes differ from
+its own in at most `differ` of `bits`, and each is aligned with its leader alone, so that a group
+of copies costs a row per member. Buckets over `block` are cut into blocks, each of which also
+holds the bucket's least node. After these links are contracted to classes, buckets that still hold
+several classes have all pairs of different classes tried, block against block, but for those
+already aligned. So every pair of a bucket is in one class, or aligned, or too far apart by its
+bits; a pair at 0.8 is that with a chance of 3e-5. Nothing is capped.
 
 Defined results: a null text is an empty one; texts without words are one node; a text of fewer
 than five words has one shingle, all its words; a null doc_id is kept, class_id being the least
@@ -29,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, text_of
+from .common import in_frames, keep, text_of
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -49,7 +48,7 @@ class Settings:
     picks: int = 3
     bits: int = 1024
     differ: int = 141
-    growth: int = 8
+    block: int = 2048
     broadcast_rows: int = 1_000_000
     seed: int = 11
 
@@ -64,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words; a worker remembers up to `most` of them."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.seen: dict[str, int] = {}
         self.most = most
 
@@ -122,17 +121,16 @@ def sketch(items: np.ndarray, s: Settings) -> np.ndarray:
     return out
 
 
-def signature(items: np.ndarray, s: Settings) -> np.ndarray:
-    """A bit of the least item under each of many multiplications, 64 to a number."""
+def signature(own: np.ndarray, s: Settings) -> bytes:
+    """A bit of the least item (32 bits each) under each of many multiplications."""
     out = np.zeros(s.bits, bool)
-    if len(items):
-        own = (items >> np.uint64(32)).astype(np.uint32)
+    if len(own):
         factors = mixed(np.arange(s.bits, dtype=np.uint64) * ODD + np.uint64(s.seed + 1)).astype(np.uint32) | np.uint32(1)
         step = max(1, 1_000_000 // len(own))
         for at in range(0, s.bits, step):
             least = (factors[at : at + step, None] * own[None, :]).min(axis=1)
             out[at : at + step] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(out).view(np.int64)
+    return np.packbits(out).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, alike: float) -> float:
@@ -170,40 +168,45 @@ def _rising(values: np.ndarray) -> int:
 
 
 def sketches(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, node (a hash of the words), size (shingles), sketch and signature of every document."""
+    """doc_id and node (a hash of the words) of every document; the first of a node that a task meets also has sketch and items.
+
+    Items are the labelled shingles in text order, 32 bits each.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
+        words, met = Words(), set()
         with np.errstate(over="ignore"):
             for frame in frames:
-                nodes, sizes, found, signed = [], [], [], []
+                nodes, found, kept = [], [], []
                 for text in frame["text"]:
                     w = words.of(text)
+                    node = hashlib.blake2b(w.tobytes(), digest_size=16).digest()
+                    nodes.append(node)
+                    if node in met:
+                        found.append(None)
+                        kept.append(None)
+                        continue
+                    if len(met) > words.most:
+                        met.clear()
+                    met.add(node)
                     items = labelled(shingled(w, s.words))
-                    nodes.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
-                    sizes.append(len(items))
                     found.append(sketch(items, s).view(np.int64) if len(items) else np.zeros(0, np.int64))
-                    signed.append(signature(items, s))
-                yield pd.DataFrame({"doc_id": frame["doc_id"], "node": nodes, "size": sizes, "sketch": found, "signature": signed})
+                    kept.append((items >> np.uint64(32)).astype(np.uint32).tobytes())
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "node": nodes, "sketch": found, "items": kept})
 
-    return documents.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, node binary, size long, sketch array<long>, signature array<long>")
+    return in_frames(documents.select("doc_id", text_of().alias("text")), run, "doc_id long, node binary, sketch array<long>, items binary")
 
 
-def sequences(documents: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """node and its labelled shingles (32 bits each) in text order, for the wanted nodes (columns node, doc_id of one of its documents)."""
+def signed(drawn: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """node, items and signature of the wanted nodes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        with np.errstate(over="ignore"):
-            for frame in frames:
-                coded = [words.of(t) for t in frame["text"]]
-                nodes = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in coded]
-                keep_ = [n == bytes(m) for n, m in zip(nodes, frame["node"], strict=True)]
-                yield pd.DataFrame({"node": [n for n, k in zip(nodes, keep_, strict=True) if k], "items": [(labelled(shingled(w, s.words)) >> np.uint64(32)).astype(np.uint32).tobytes() for w, k in zip(coded, keep_, strict=True) if k]})
+        for frame in frames:
+            with np.errstate(over="ignore"):
+                yield frame.assign(signature=[signature(np.frombuffer(x, np.uint32), s) for x in frame["items"]])
 
-    rows = documents.select("doc_id", text_of().alias("text")).join(bounded(wanted, s), F.expr("doc_id <=> some_id"))
-    # repeated doc_ids may carry other texts, or the same one again
-    return rows.select("node", "text").mapInPandas(run, "node binary, items binary").groupBy("node").agg(F.min("items").alias("items"))
+    rows = drawn.where("items is not null").select("node", "items").join(bounded(wanted, s), "node", "left_semi")
+    return rows.groupBy("node").agg(F.first("items").alias("items")).mapInPandas(run, "node binary, items binary, signature binary")
 
 
 def bounded(side: DataFrame, s: Settings) -> DataFrame:
@@ -233,54 +236,99 @@ def classes(documents: DataFrame, settings: Settings | None = None) -> DataFrame
 
 def _rooted(documents: DataFrame, s: Settings) -> DataFrame:
     """root (the same for a class), doc_id and node of every document."""
-    spark = documents.sparkSession
     drawn = keep(sketches(documents, s), "sketches")
-    nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("some_id"), F.max("size").alias("size"), F.first("sketch").alias("sketch"), F.first("signature").alias("signature"))
-    rows = nodes.select("node", "some_id", "size", F.explode("sketch").alias("key"))
+    nodes = drawn.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    rows = nodes.select("node", F.explode("sketch").alias("key"))
     # grouped sides are written first: beside a plain exchange a skewed join can be split
-    shared = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    members = keep(rows.join(shared, "key"), "members")
-    signed = keep(nodes.select("node", "size", "signature", "sketch").join(keep(members.select("node").distinct(), "held"), "node", "left_semi"), "signed")
-    roots = linked(spark, documents, members, signed, s)
+    shared = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = keep(rows.join(shared, "key").select("key", "node", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"), (F.col("n") == 2).alias("two")), "members")
+    roots = linked(drawn, members, s)
     return drawn.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def linked(spark: SparkSession, documents: DataFrame, members: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
-    """node, root of all nodes that have a link; members: key, node, some_id; signed: node, size, signature, sketch.
-
-    Rounds move keys and nodes alone; the wide columns join where pairs are compared.
-    """
-    none = spark.createDataFrame([], "node binary, root binary")
+def linked(drawn: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+    """node, root of all nodes that have a link; members: key, node, blocks, two (whether the bucket holds no more)."""
+    none = drawn.sparkSession.createDataFrame([], "node binary, root binary")
     if members.isEmpty():
         return none
-    items = keep(sequences(documents, keep(members.select("node", "some_id").distinct(), "wanted"), s), "items")
-    members = members.select("key", "node")
-    roots, salts = none, 1
-    while True:
-        now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = keep(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "apart")
-        now = keep(now.join(apart, "key"), "open")
-        if now.isEmpty():
-            return roots
-        salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")
-        pivots = now.groupBy("key", salt).agg(F.min(F.struct("node", "root")).alias("p"))
-        pivots = keep(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
-        differ = sum((F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("pivot_signature", F.lit(i)))) for i in range(s.bits // 64)), F.lit(0))
-        may = (F.col("root") != F.col("pivot_root")) & (F.least("size", "pivot_size") >= s.alike * F.greatest("size", "pivot_size")) & (differ <= s.differ)
-        may = may & (F.array_min(F.array_intersect("sketch", "pivot_sketch")) == F.col("key"))
-        # of two pivots of a bucket the greater meets the smaller
-        flagged = now.join(pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")), ["key", "node"], "left")
-        now = keep(flagged, "flagged")
-        may = may & (F.col("is_pivot").isNull() | (F.col("node") > F.col("pivot")))
-        wide = pivots.join(signed.select(F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in ("size", "signature", "sketch"))), "pivot")
-        met = now.join(signed, "node").join(wide, "key").where(may)
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = keep(verified(keep(pairs, "pairs"), items, s), "tested")
-        fresh = found.where("linked").select("a", "b")
-        if not fresh.isEmpty():
-            roots = keep(merged(roots, fresh), "roots")
-        members = now.where("is_pivot is null").select("key", "node")
-        salts *= s.growth
+    items = keep(signed(drawn, keep(members.select("node").distinct(), "held"), s), "items")
+    twos = members.where("two").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    several = members.where("not two").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = keep(twos.unionByName(led(several, items, s)).distinct(), "pairs")
+    tested = keep(verified(pairs, items, s), "tested")
+    links = tested.where("linked").select("a", "b")
+    if links.isEmpty():
+        roots = none
+    else:
+        roots = keep(components(links), "roots")
+    more = keep(across(several, roots, items, s).join(tested.select("a", "b"), ["a", "b"], "left_anti").distinct(), "more_pairs")
+    if more.isEmpty():
+        return roots
+    links = keep(verified(more, items, s), "more_tested").where("linked").select("a", "b")
+    return roots if links.isEmpty() else keep(merged(roots, links), "all_roots")
+
+
+def near(signatures: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, s: Settings) -> np.ndarray:
+    """Which of the others i may be alike by size and signature."""
+    apart = np.bitwise_count(signatures[others] ^ signatures[i]).sum(axis=1)
+    return (apart <= s.differ) & (np.minimum(sizes[others], sizes[i]) >= s.alike * np.maximum(sizes[others], sizes[i]))
+
+
+def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(frame["signature"]), np.uint64).reshape(len(frame), -1), frame["size"].to_numpy()
+
+
+def led(members: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+    """Pairs a (a leader), b of each block: each node and the least node before it that may be alike and isn't led itself."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("node").sort_values("node", ignore_index=True)
+        signatures, sizes = _arrays(frame)
+        free, first, second = np.arange(len(frame)), [], []
+        while len(free) > 1:
+            rest = free[1:]
+            found = near(signatures, sizes, free[0], rest, s)
+            first += [free[0]] * int(found.sum())
+            second += rest[found].tolist()
+            free = rest[~found]
+        nodes = frame["node"].to_numpy()
+        return pd.DataFrame({"a": nodes[first], "b": nodes[second]})
+
+    leads = members.where("blocks > 1").groupBy("key").agg(F.min("node").alias("node"), F.max("blocks").alias("blocks"))
+    leads = leads.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node")
+    rows = members.select("key", "block", "node").unionByName(leads).join(_marks(items), "node")
+    return rows.groupBy("key", "block").applyInPandas(run, "a binary, b binary")
+
+
+def across(members: DataFrame, roots: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+    """Pairs a < b of a bucket that may be alike and are in different classes, block against block."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node", ignore_index=True)
+        signatures, sizes = _arrays(frame)
+        root = pd.factorize(frame["root"])[0]
+        block = frame["block"].to_numpy()
+        one = frame["i"].iat[0] == frame["j"].iat[0]
+        first, second = [], []
+        for i in range(len(frame) - 1):
+            rest = np.arange(i + 1, len(frame))
+            rest = rest[(root[rest] != root[i]) & (one | (block[rest] != block[i]))]
+            found = rest[near(signatures, sizes, i, rest, s)] if len(rest) else rest
+            first += [i] * len(found)
+            second += found.tolist()
+        nodes = frame["node"].to_numpy()
+        return pd.DataFrame({"a": nodes[first], "b": nodes[second]})
+
+    now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = keep(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "apart")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    opened = now.join(apart, "key").select("key", "node", "root", "block", other)
+    rows = opened.select("key", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.join(_marks(items), "node").groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
+
+
+def _marks(items: DataFrame) -> DataFrame:
+    return items.select("node", "signature", (F.length("items") / 4).cast("int").alias("size"))
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:

@@ -123,3 +123,33 @@ def test_one_row_of_each_class_without_unique_ids(spark):
         kinds = sorted((r[1] or "")[:1] for r in left)
         assert kinds == ["", "a", "b", "c", "d", "o", "s"]
         assert {r[0] for r in left if (r[1] or "")[:1] in ("c", "d")} == {6, 5}
+
+
+def test_blocks_lose_no_link(spark):
+    """Buckets cut into blocks of four give the classes of whole ones."""
+    texts = corpus()
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.classes(documents, nd.Settings(block=4, broadcast_rows=0)).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose alignment keeps 0.80 to 0.81: at least 0.99 of them are one class."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(150):
+        text = [f"{rng.randrange(5000)}" for _ in range(1000)]
+        other = list(text)
+        for i in range(22):
+            other[10 + 44 * i] = f"x{k}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    assert 0.8 <= brute_similarity(rows[0][1], rows[1][1]) < 0.81
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(150)) >= 149
+    assert all(got[i] in (i, i - 1) for i in got)
+
+
+def test_ids_of_any_size_beside_null(spark):
+    rows = [(2**60 + 1, "a b c d e f"), (None, "a b c d e f"), (2**60 + 3, "other words here")]
+    got = [(r.doc_id, r.class_id) for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(2**60 + 1, 2**60 + 1), (None, 2**60 + 1), (2**60 + 3, 2**60 + 3)], key=str)
