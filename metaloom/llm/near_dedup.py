@@ -5,14 +5,20 @@ five words and keeps them in text order; equal components make candidates. A can
 link if the banded alignment of the two shingle sequences keeps `alike` of them: matched shingles
 over all shingles of both. Texts with the same words are one node from the start.
 
-Documents that share a component are a bucket. The two of a bucket of two are aligned. In a larger
-one, the least node that isn't taken yet leads all those whose one-bit minimum hashes differ from
-its own in at most `differ` of `bits`, and each is aligned with its leader alone, so that a group
-of copies costs a row per member. Buckets over `block` are cut into blocks, each of which also
-holds the bucket's least node. After these links are contracted to classes, buckets that still hold
-several classes have all pairs of different classes tried, block against block, but for those
-already aligned. So every pair of a bucket is in one class, or aligned, or too far apart by its
-bits; a pair at 0.8 is that with a chance of 3e-5. Nothing is capped.
+Documents that share a component are a bucket; buckets over `block` are cut into blocks, each of
+which also holds the bucket's least node. Candidates come in three steps, each aligned and
+contracted to classes before the next:
+
+1. The two of a bucket of two. In a larger one the least node that isn't taken yet leads all those
+   whose one-bit minimum hashes differ from its own in at most `differ` of `bits`, and each is a
+   candidate with its leader alone.
+2. In buckets that still hold several classes, each node and the `nearest` ones of other classes.
+3. In those that still do, all pairs of different classes, block against block, each pair in the
+   bucket of its first common component.
+
+The first two cost a few rows per member however large a group of copies is; after the third every
+pair of a bucket is in one class, or aligned, or too far apart by its bits, which a pair at 0.8 is
+with a chance of 3e-5. Nothing is capped.
 
 Defined results: a null text is an empty one; texts without words are one node; a text of fewer
 than five words has one shingle, all its words; a null doc_id is kept, class_id being the least
@@ -46,8 +52,9 @@ class Settings:
     alike: float = 0.8
     components: int = 20
     picks: int = 3
-    bits: int = 1024
-    differ: int = 141
+    bits: int = 2048
+    differ: int = 259
+    nearest: int = 3
     block: int = 2048
     broadcast_rows: int = 1_000_000
     seed: int = 11
@@ -198,15 +205,16 @@ def sketches(documents: DataFrame, s: Settings) -> DataFrame:
 
 
 def signed(drawn: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """node, items and signature of the wanted nodes."""
+    """node, sketch, items and signature of the wanted nodes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             with np.errstate(over="ignore"):
                 yield frame.assign(signature=[signature(np.frombuffer(x, np.uint32), s) for x in frame["items"]])
 
-    rows = drawn.where("items is not null").select("node", "items").join(bounded(wanted, s), "node", "left_semi")
-    return rows.groupBy("node").agg(F.first("items").alias("items")).mapInPandas(run, "node binary, items binary, signature binary")
+    rows = drawn.where("items is not null").select("node", "sketch", "items").join(bounded(wanted, s), "node", "left_semi")
+    once = rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("items").alias("items"))
+    return once.mapInPandas(run, "node binary, sketch array<long>, items binary, signature binary")
 
 
 def bounded(side: DataFrame, s: Settings) -> DataFrame:
@@ -238,97 +246,132 @@ def _rooted(documents: DataFrame, s: Settings) -> DataFrame:
     """root (the same for a class), doc_id and node of every document."""
     drawn = keep(sketches(documents, s), "sketches")
     nodes = drawn.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    rows = nodes.select("node", F.explode("sketch").alias("key"))
+    rows = nodes.select("node", F.posexplode("sketch").alias("component", "key"))
     # grouped sides are written first: beside a plain exchange a skewed join can be split
     shared = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = keep(rows.join(shared, "key").select("key", "node", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"), (F.col("n") == 2).alias("two")), "members")
+    members = keep(rows.join(shared, "key").select("key", "component", "node", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"), (F.col("n") == 2).alias("two")), "members")
     roots = linked(drawn, members, s)
     return drawn.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def linked(drawn: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """node, root of all nodes that have a link; members: key, node, blocks, two (whether the bucket holds no more)."""
-    none = drawn.sparkSession.createDataFrame([], "node binary, root binary")
+    """node, root of all nodes that have a link; members: key, component, node, blocks, two (whether the bucket holds no more)."""
+    spark = drawn.sparkSession
+    roots = spark.createDataFrame([], "node binary, root binary")
     if members.isEmpty():
-        return none
-    items = keep(signed(drawn, keep(members.select("node").distinct(), "held"), s), "items")
-    twos = members.where("two").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
-    several = members.where("not two").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = keep(twos.unionByName(led(several, items, s)).distinct(), "pairs")
-    tested = keep(verified(pairs, items, s), "tested")
-    links = tested.where("linked").select("a", "b")
-    if links.isEmpty():
-        roots = none
-    else:
-        roots = keep(components(links), "roots")
-    more = keep(across(several, roots, items, s).join(tested.select("a", "b"), ["a", "b"], "left_anti").distinct(), "more_pairs")
-    if more.isEmpty():
         return roots
-    links = keep(verified(more, items, s), "more_tested").where("linked").select("a", "b")
-    return roots if links.isEmpty() else keep(merged(roots, links), "all_roots")
-
-
-def near(signatures: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, s: Settings) -> np.ndarray:
-    """Which of the others i may be alike by size and signature."""
-    apart = np.bitwise_count(signatures[others] ^ signatures[i]).sum(axis=1)
-    return (apart <= s.differ) & (np.minimum(sizes[others], sizes[i]) >= s.alike * np.maximum(sizes[others], sizes[i]))
+    items = keep(signed(drawn, keep(members.select("node").distinct(), "held"), s), "items")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tested = spark.createDataFrame([], "a binary, b binary")
+    for candidates in (led, closest, across):
+        pairs = keep(candidates(members, roots, items, s).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = keep(verified(pairs, items, s), "tested")
+        tested = tested.unionByName(found.select("a", "b"))
+        links = found.where("linked").select("a", "b")
+        if not links.isEmpty():
+            roots = keep(merged(roots, links), "roots")
+    return roots
+
+
+class Block:
+    """Signatures, sizes and classes of a frame of members in order of node."""
+
+    def __init__(self, frame: pd.DataFrame, s: Settings):
+        self.frame = frame.drop_duplicates("node").sort_values("node", ignore_index=True)
+        self.nodes = self.frame["node"].to_numpy()
+        self.signatures = np.frombuffer(b"".join(self.frame["signature"]), np.uint64).reshape(len(self.frame), -1)
+        self.sizes = self.frame["size"].to_numpy()
+        self.root = pd.factorize(self.frame["root"])[0]
+        self.s = s
+
+    def near(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the others that i may be alike by size and signature, and how many bits they differ in."""
+        apart = np.bitwise_count(self.signatures[others] ^ self.signatures[i]).sum(axis=1)
+        fits = np.minimum(self.sizes[others], self.sizes[i]) >= self.s.alike * np.maximum(self.sizes[others], self.sizes[i])
+        fits &= apart <= self.s.differ
+        return others[fits], apart[fits]
+
+    def pairs(self, first: list[int], second: list[int]) -> pd.DataFrame:
+        low, high = np.minimum(first, second).astype(int), np.maximum(first, second).astype(int)
+        return pd.DataFrame({"a": self.nodes[low], "b": self.nodes[high]})
+
+
+def led(members: DataFrame, roots: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+    """Pairs a < b: both of a bucket of two; of larger ones each node and the least one that may be alike and isn't led itself."""
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        block = Block(frame, s)
+        free, first, second = np.arange(len(block.nodes)), [], []
+        while len(free) > 1:
+            found, _ = block.near(free[0], free[1:])
+            first += [free[0]] * len(found)
+            second += found.tolist()
+            free = np.setdiff1d(free[1:], found, assume_unique=True)
+        return block.pairs(first, second)
 
-def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(frame["signature"]), np.uint64).reshape(len(frame), -1), frame["size"].to_numpy()
+    twos = members.where("two").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    rows = _blocks(members.where("not two").withColumn("root", F.col("node")), items)
+    return twos.unionByName(rows.groupBy("key", "block").applyInPandas(run, "a binary, b binary"))
 
 
-def led(members: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
-    """Pairs a (a leader), b of each block: each node and the least node before it that may be alike and isn't led itself."""
+def closest(members: DataFrame, roots: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+    """Pairs a < b: each node and the nearest ones in its block that may be alike and are in other classes."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node").sort_values("node", ignore_index=True)
-        signatures, sizes = _arrays(frame)
-        free, first, second = np.arange(len(frame)), [], []
-        while len(free) > 1:
-            rest = free[1:]
-            found = near(signatures, sizes, free[0], rest, s)
-            first += [free[0]] * int(found.sum())
-            second += rest[found].tolist()
-            free = rest[~found]
-        nodes = frame["node"].to_numpy()
-        return pd.DataFrame({"a": nodes[first], "b": nodes[second]})
+        block = Block(frame, s)
+        first, second = [], []
+        for i in range(len(block.nodes)):
+            found, apart = block.near(i, np.flatnonzero(block.root != block.root[i]))
+            found = found[np.argsort(apart, kind="stable")[: s.nearest]]
+            first += [i] * len(found)
+            second += found.tolist()
+        return block.pairs(first, second)
 
-    leads = members.where("blocks > 1").groupBy("key").agg(F.min("node").alias("node"), F.max("blocks").alias("blocks"))
-    leads = leads.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node")
-    rows = members.select("key", "block", "node").unionByName(leads).join(_marks(items), "node")
-    return rows.groupBy("key", "block").applyInPandas(run, "a binary, b binary")
+    return _blocks(_open(members, roots), items).groupBy("key", "block").applyInPandas(run, "a binary, b binary")
 
 
 def across(members: DataFrame, roots: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
-    """Pairs a < b of a bucket that may be alike and are in different classes, block against block."""
+    """Pairs a < b of a bucket, its first common component, that may be alike and are in different classes."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node", ignore_index=True)
-        signatures, sizes = _arrays(frame)
-        root = pd.factorize(frame["root"])[0]
-        block = frame["block"].to_numpy()
-        one = frame["i"].iat[0] == frame["j"].iat[0]
+        block = Block(frame, s)
+        own = block.frame["block"].to_numpy()
+        within = block.frame["i"].iat[0] == block.frame["j"].iat[0]
+        before = np.stack(block.frame["sketch"])[:, : block.frame["component"].iat[0]]
         first, second = [], []
-        for i in range(len(frame) - 1):
-            rest = np.arange(i + 1, len(frame))
-            rest = rest[(root[rest] != root[i]) & (one | (block[rest] != block[i]))]
-            found = rest[near(signatures, sizes, i, rest, s)] if len(rest) else rest
+        for i in range(len(own) - 1):
+            rest = np.arange(i + 1, len(own))
+            rest = rest[(block.root[rest] != block.root[i]) & (within | (own[rest] != own[i]))]
+            found, _ = block.near(i, rest)
+            found = found[~(before[found] == before[i]).any(axis=1)]
             first += [i] * len(found)
             second += found.tolist()
-        nodes = frame["node"].to_numpy()
-        return pd.DataFrame({"a": nodes[first], "b": nodes[second]})
+        return block.pairs(first, second)
+
+    rows = _open(members, roots).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    return rows.join(_marks(items, "sketch"), "node").groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes and more than two nodes."""
+    now = members.where("not two").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return now.join(keep(several.select("key"), "open"), "key")
+
 
-    now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = keep(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "apart")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    opened = now.join(apart, "key").select("key", "node", "root", "block", other)
-    rows = opened.select("key", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return rows.join(_marks(items), "node").groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
+def _blocks(members: DataFrame, items: DataFrame) -> DataFrame:
+    """Members with what is compared; the least node of a bucket is in each of its blocks."""
+    rows = members.select("key", "block", "node", "root")
+    least = members.where("blocks > 1").groupBy("key").agg(F.min(F.struct("node", "root")).alias("least"), F.max("blocks").alias("blocks"))
+    least = least.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "least.node", "least.root")
+    return rows.unionByName(least).join(_marks(items), "node")
 
 
-def _marks(items: DataFrame) -> DataFrame:
-    return items.select("node", "signature", (F.length("items") / 4).cast("int").alias("size"))
+def _marks(items: DataFrame, *more: str) -> DataFrame:
+    return items.select("node", "signature", (F.length("items") / 4).cast("int").alias("size"), *more)
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
