@@ -6,7 +6,8 @@ items with markers and indentation, preformatted text as it is, and table cells
 
 Defined results: a null or empty html gives an empty text; markup that is cut off counts as text
 where it isn't a tag; unmatched end tags are left out; a null page_id is kept; repeated rows are
-each rendered; tables nested deeper than `Settings.tables` flow as plain blocks.
+each rendered. Tables are rendered from the innermost outwards, however deep they stand; cells keep
+their column beside others that span several columns or rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_frames, text_of
 
 
 @dataclass(frozen=True)
 class Settings:
-    """tables: depth to which nested tables are aligned."""
-
-    tables: int = 8
     gap: str = "  "
 
 
@@ -59,14 +59,17 @@ P_SCOPE = frozenset("td th table caption button object body html li".split())
 MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    """seen: whether its own text is visible, lines: its rendered lines if it is a table; both known after `tables`."""
+
+    __slots__ = ("attributes", "children", "lines", "seen", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.lines, self.seen = tag, attributes, [], None, True
 
     def attribute(self, name: str) -> str | None:
         for key, value in ATTRIBUTE.findall(self.attributes):
@@ -74,21 +77,53 @@ class Node:
                 return html.unescape(value.strip("\"'"))
         return None
 
+    def number(self, name: str, most: int) -> int:
+        """An attribute that counts from 1."""
+        found = self.attribute(name) if name in self.attributes.lower() else None
+        return max(1, min(most, int(found))) if found and re.fullmatch(r"[0-9]{1,9}", found.strip()) else 1
+
     @property
-    def visible(self) -> bool:
+    def shown(self) -> bool:
         if self.tag in UNSEEN:
             return False
         if not self.attributes or not self.attributes.strip(" /"):
             return True
         if "hidden" in self.attributes.lower() and self.attribute("hidden") is not None:
             return False
-        return not ("style" in self.attributes.lower() and CONCEALED.search(self.attribute("style") or ""))
+        return not ("style" in self.attributes.lower() and NOT_SHOWN.search(self.attribute("style") or ""))
+
+    def visibility(self, inherited: bool) -> bool:
+        found = VISIBILITY.findall(self.attribute("style") or "") if "visibility" in self.attributes.lower() else []
+        return found[-1].lower() == "visible" if found else inherited
+
+
+class Open:
+    """The elements that are open, and where those of each tag stand, so that the nearest of a tag is found at once."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], defaultdict(list)
+
+    @property
+    def last(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def nearest(self, names) -> int:
+        """The place of the last one opened of these tags; 0 (the root's) if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.at[self.nodes.pop().tag].pop()
 
 
 def tree(source: str) -> Node:
     """The elements of a page. Strings among the children are text as written, entities and all."""
     root = Node("html")
-    open_ = [root]
+    open_ = Open(root)
     at = 0
     while m := MARKUP.search(source, at):
         if m.start() > at:
@@ -104,64 +139,49 @@ def tree(source: str) -> Node:
         attributes = m.group(3) if m.group(2) else m.group(6)
         _imply(open_, tag)
         node = Node(tag, attributes)
-        open_[-1].children.append(node)
+        open_.last.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
             node.children.append(source[at : close.start() if close else len(source)])
             at = close.end() if close else len(source)
         elif tag not in VOID:
-            open_.append(node)
+            open_.push(node)
     if at < len(source):
         _text(open_, source[at:])
     return root
 
 
-def _text(open_: list[Node], text: str) -> None:
+def _text(open_: Open, text: str) -> None:
     """Adds text where it stands; other than blanks it ends an open head."""
-    if open_[-1].tag == "head" and text.strip(" \t\n\r\f"):
-        open_.pop()
-    open_[-1].children.append(text)
+    if open_.last.tag == "head" and text.strip(" \t\n\r\f"):
+        open_.cut(len(open_.nodes) - 1)
+    open_.last.children.append(text)
 
 
-def _imply(open_: list[Node], tag: str) -> None:
+def _imply(open_: Open, tag: str) -> None:
     if tag not in HEAD:
-        _end_head(open_)
+        # what a template or noscript in a head holds stays theirs
+        _close(open_, {"head"}, {"template", "noscript"})
     if tag in CLOSE_P:
         _close(open_, {"p"}, P_SCOPE)
     if tag in IMPLIED:
         _close(open_, *IMPLIED[tag])
 
 
-def _end_head(open_: list[Node]) -> None:
-    """Ends the head at a start tag that may not stand in it; what a template or noscript in it holds stays theirs."""
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag == "head":
-            del open_[i:]
-            return
-        if open_[i].tag in ("template", "noscript"):
-            return
-
+def _close(open_: Open, names: set[str], until: set[str] | frozenset[str]) -> None:
+    place = open_.nearest(names)
+    if place > open_.nearest(until):
+        open_.cut(place)
 
-def _close(open_: list[Node], names: set[str], until: set[str] | frozenset[str]) -> None:
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag in names:
-            del open_[i:]
-            return
-        if open_[i].tag in until:
-            return
 
-
-def _end(open_: list[Node], tag: str) -> None:
+def _end(open_: Open, tag: str) -> None:
     if tag == "br":
-        open_[-1].children.append(Node("br"))
+        open_.last.children.append(Node("br"))
         return
     edge = {"td", "th", "table", "caption"} if tag not in {"table", "tr", "thead", "tbody", "tfoot", "body", "html"} else {"table"}
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag == tag:
-            del open_[i:]
-            return
-        if open_[i].tag in edge:
-            return
+    place = open_.nearest({tag})
+    if place and place >= open_.nearest(edge):
+        open_.cut(place)
 
 
 class Page:
@@ -204,13 +224,30 @@ class Page:
 
 
 def rendered(source: str, s: Settings | None = None) -> str:
+    s, root = s or Settings(), tree(source)
+    for table in reversed(tables(root)):
+        table.lines = _table(table, s)
     page = Page()
-    _walk(tree(source), page, s or Settings(), 0)
+    _walk(root, page)
     page.line()
     return "\n".join(page.lines)
 
 
-def _walk(root: Node, page: Page, s: Settings, depth: int) -> None:
+def tables(root: Node) -> list[Node]:
+    """The tables that are shown, outer ones before those in them; notes of each element whether its text is seen."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "table":
+            found.append(node)
+        for child in node.children:
+            if isinstance(child, Node) and child.shown:
+                child.seen = child.visibility(node.seen)
+                stack.append(child)
+    return found
+
+
+def _walk(root: Node, page: Page) -> None:
     """Emits a subtree. The stack holds what is still to do: strings, nodes, and steps for when a node ends."""
     stack: list = [(root, False)]
     lists: list[list] = []
@@ -228,18 +265,19 @@ def _walk(root: Node, page: Page, s: Settings, depth: int) -> None:
                     page.fresh.append(x)
             else:
                 page.words(text)
-        elif item.visible:
-            _enter(item, pre, stack, lists, page, s, depth)
+        elif item.shown:
+            _enter(item, pre, stack, lists, page)
 
 
-def _enter(node: Node, pre: bool, stack: list, lists: list[list], page: Page, s: Settings, depth: int) -> None:
+def _enter(node: Node, pre: bool, stack: list, lists: list[list], page: Page) -> None:
     tag = node.tag
     if tag == "br":
         page.line(keep=bool(page.fresh) or pre)
         return
-    if tag == "table" and depth < s.tables:
+    if node.lines is not None:
         page.space()
-        _table(node, page, s, depth)
+        for line in node.lines:
+            page.put(line)
         page.space()
         return
     if tag in SPACED and not (tag in ("ul", "ol", "menu", "dl") and lists):
@@ -268,7 +306,7 @@ def _enter(node: Node, pre: bool, stack: list, lists: list[list], page: Page, s:
         if node.children and isinstance(node.children[0], str) and node.children[0][:1] == "\n":
             node.children[0] = node.children[0][1:]
         stack.append((lambda: page.line(keep=bool("".join(page.fresh).strip())), False))
-    stack += [(c, pre) for c in reversed(node.children)]
+    stack += [(c, pre) for c in reversed(node.children) if node.seen or isinstance(c, Node)]
 
 
 def _indent(page: Page, stack: list, by: str) -> None:
@@ -276,49 +314,84 @@ def _indent(page: Page, stack: list, by: str) -> None:
     stack.append((page.indents.pop, False))
 
 
-def _table(table: Node, page: Page, s: Settings, depth: int) -> None:
+def _table(table: Node, s: Settings) -> list[str]:
     """Captions and stray text first, then rows, each column as wide as its widest cell."""
-    rows, stack = [], [iter(table.children)]
+    page, rows, stack = Page(), [], [iter([(c, table.seen) for c in table.children])]
     while stack:
-        node = next(stack[-1], None)
+        node, seen = next(stack[-1], (None, False))
         if node is None:
             stack.pop()
         elif isinstance(node, str):
-            if node.strip():
+            if seen and node.strip():
                 page.words(html.unescape(node))
                 page.line()
-        elif not node.visible:
+        elif not node.shown:
             continue
         elif node.tag in ("thead", "tbody", "tfoot"):
-            stack.append(iter(node.children))
+            stack.append(iter([(c, node.seen) for c in node.children]))
         elif node.tag == "tr":
-            rows.append([_cell(c, s, depth) for c in node.children if isinstance(c, Node) and c.visible or isinstance(c, str) and c.strip()])
+            rows.append([_cell(c, node.seen) for c in node.children if isinstance(c, Node) and c.shown or isinstance(c, str) and c.strip()])
         elif node.tag in ("td", "th"):
-            rows.append([_cell(node, s, depth)])
+            rows.append([_cell(node, seen)])
         else:
-            _walk(node, page, s, depth + 1)
+            _walk(node, page)
             page.line()
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            wide = max((_width(x) for x in cell), default=0)
-            if i == len(widths):
-                widths.append(wide)
-            widths[i] = max(widths[i], wide)
-    for row in rows:
-        for k in range(max((len(c) for c in row), default=0)):
-            cells = [c[k] if k < len(c) else "" for c in row]
-            page.put(s.gap.join(x + " " * (widths[i] - _width(x)) for i, x in enumerate(cells)))
+    _aligned(rows, page, s)
+    return page.lines
 
 
-def _cell(node: Node | str, s: Settings, depth: int) -> list[str]:
+def _aligned(rows: list[list[tuple[list[str], int, int]]], page: Page, s: Settings) -> None:
+    """Puts rows of cells (lines, columns, rows) where their columns begin."""
+    widths: dict[int, int] = {}
+    held: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
+    placed = []
+    for row in rows:
+        at, here, new = 0, [], {}
+        for lines, columns, deep in row:
+            while at in held:
+                at += 1
+            here.append((at, columns, lines))
+            if columns == 1:
+                widths[at] = max(widths.get(at, 0), *map(_width, lines), 0)
+            if deep > 1:
+                new |= {c: deep for c in range(at, at + columns)}
+            at += columns
+        held = {c: n - 1 for c, n in (held | new).items() if n > 1}
+        placed.append(here)
+    for here in placed:
+        for at, columns, lines in here:
+            if columns > 1:
+                own = [widths[c] for c in range(at, at + columns) if c in widths]
+                short = max(map(_width, lines), default=0) - sum(own) - len(s.gap) * max(0, len(own) - 1)
+                if short > 0:
+                    last = max((c for c in range(at, at + columns) if c in widths), default=at)
+                    widths[last] = widths.get(last, 0) + short
+    starts, total = {}, 0
+    for c in sorted(widths):
+        starts[c] = total
+        total += widths[c] + len(s.gap)
+    order = sorted(starts)
+    begin = lambda c: starts[order[k]] if (k := bisect_left(order, c)) < len(order) else total
+    for here in placed:
+        for k in range(max((len(lines) for _, _, lines in here), default=0)):
+            line, wide = "", 0
+            for at, _, lines in here:
+                if k < len(lines):
+                    line += " " * (begin(at) - wide) + lines[k]
+                    wide = max(wide, begin(at)) + _width(lines[k])
+            page.put(line)
+
+
+def _cell(node: Node | str, seen: bool) -> tuple[list[str], int, int]:
+    """Lines of a cell, and how many columns and rows it takes."""
     inner = Page()
     if isinstance(node, str):
-        inner.words(html.unescape(node))
+        inner.words(html.unescape(node) if seen else "")
     else:
-        _walk(node, inner, s, depth + 1)
+        _walk(node, inner)
     inner.line()
-    return inner.lines
+    spans = isinstance(node, Node) and "span" in node.attributes.lower()
+    return inner.lines, node.number("colspan", 1000) if spans else 1, node.number("rowspan", 65534) if spans else 1
 
 
 def _width(text: str) -> int:
@@ -337,4 +410,5 @@ def extract(pages: DataFrame, settings: Settings | None = None) -> DataFrame:
             texts = [rendered(x, s) for x in frame["html"]]
             yield pd.DataFrame({"page_id": frame["page_id"], "text": texts, "n_lines": [t.count("\n") + bool(t) for t in texts]})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), text_of("html").alias("html")).mapInPandas(run, "page_id long, text string, n_lines long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), text_of("html").alias("html"))
+    return in_frames(rows, run, "page_id long, text string, n_lines long", ("page_id",))

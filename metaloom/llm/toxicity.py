@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_of
+from .common import fold_of, in_frames, text_of
 
 WORD = re.compile(r"\w+")
 CUT = 0.7
@@ -29,9 +30,13 @@ CUT = 0.7
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: the most labelled rows that are fitted on; cache: distinct words a worker remembers."""
+    """sample, sample_chars: the most labelled rows, and characters of them, that are fitted on; cache: distinct words a
+    worker remembers; language_rows: languages with fewer rows in the sample share one threshold.
+    """
 
     sample: int = 6000
+    sample_chars: int = 100_000_000
+    language_rows: int = 30
     buckets: int = 1 << 16
     size: int = 12
     filters: int = 8
@@ -41,19 +46,16 @@ class Settings:
     rate: float = 0.05
     seed: int = 7
     window: int = 1 << 15
-    cache: int = 400_000
+    cache: int = 100_000
 
 
 class Vocabulary:
-    """Words of texts as rows of a matrix of bucket numbers: the word's own, and those of its prefixes."""
+    """Numbers of words, and the buckets of each: the word's own, and those of its prefixes."""
 
     def __init__(self, s: Settings):
         self.s, self.ids = s, {}
         self.rows: list[list[int]] = []
 
-    def clear(self) -> None:
-        self.ids, self.rows = {}, []
-
     def encode(self, text: str) -> np.ndarray:
         ids, out = self.ids, []
         for w in WORD.findall(text.lower()):
@@ -70,6 +72,34 @@ class Vocabulary:
         return [own, *(zlib.crc32(f"^{w[:k]}".encode("utf-8", "replace")) % n if len(w) >= k else own for k in self.s.prefixes)]
 
 
+class Known:
+    """A worker's words and what the model makes of each: only new words are multiplied, and all are forgotten beyond the cache."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.vocabulary = Vocabulary(self.model.settings)
+        self.matrix = self.model.matrix(np.zeros((0, 1 + len(self.model.settings.prefixes)), np.int64))
+        self.size = 0
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.size > self.model.settings.cache:
+            self.clear()
+        ids = self.vocabulary.encode(text)
+        new = np.asarray(self.vocabulary.rows, np.int64)
+        if len(new):
+            if self.size + len(new) > len(self.matrix):
+                room = np.empty((max(4096, self.size + 2 * len(new), 3 * self.size // 2), self.matrix.shape[1]), np.float32)
+                room[: self.size] = self.matrix[: self.size]
+                self.matrix = room
+            self.matrix[self.size : self.size + len(new)] = self.model.matrix(new)
+            self.size += len(new)
+            self.vocabulary.rows.clear()
+        return ids
+
+
 @dataclass
 class Model:
     settings: Settings
@@ -85,45 +115,42 @@ class Model:
     def words(self, rows: list[list[int]] | np.ndarray) -> np.ndarray:
         return self.table[np.asarray(rows, np.int64)].mean(axis=1)
 
-    def pooled(self, ids: np.ndarray, parts: list[list[np.ndarray]]) -> np.ndarray:
-        """Max over all positions of each filter; long texts in overlapping windows.
-
-        parts: for each width and offset, the filters' products with each word.
-        """
+    def matrix(self, rows: np.ndarray) -> np.ndarray:
+        """For words given by their buckets: products with each offset of each filter, then log probabilities in each language."""
         out = []
-        for w, tables, b in zip(self.settings.widths, parts, self.biases, strict=True):
-            most = np.zeros(len(b), np.float32)
-            step = self.settings.window
-            for at in range(0, max(0, len(ids) - w + 1), step):
-                here = ids[at : at + step + w - 1]
-                n = len(here) - w + 1
-                total = tables[0][here[:n]]
-                for j in range(1, w):
-                    total = total + tables[j][here[j : j + n]]
-                most = np.maximum(most, total.max(axis=0) + b)
-            out.append(most)
-        return np.concatenate(out) if out else np.zeros(0, np.float32)
-
-    def raw(self, texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds and language of each text."""
-        coded = [vocabulary.encode(t) for t in texts]
-        if not vocabulary.rows:
-            vectors, spoken = np.zeros((1, self.settings.size), np.float32), np.zeros((1, len(self.languages)), np.float32)
-        else:
-            rows = np.asarray(vocabulary.rows, np.int64)
-            vectors = np.concatenate([self.words(rows[i : i + 50_000]) for i in range(0, len(rows), 50_000)])
-            spoken = self.speech[rows[:, 0]]
-        parts = [[vectors @ k[j] for j in range(len(k))] for k in self.kernels]
-        z = np.array([self.pooled(ids, parts) @ self.head + self.offset for ids in coded])
-        lang = np.array([int(spoken[ids].sum(axis=0).argmax()) if len(ids) else 0 for ids in coded])
-        return z, lang
-
-    def scores(self, texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
+        for at in range(0, max(1, len(rows)), 20_000):
+            part = rows[at : at + 20_000]
+            vectors = self.words(part) if len(part) else np.zeros((0, self.settings.size), np.float32)
+            out.append(np.concatenate([*(vectors @ k[j] for k in self.kernels for j in range(len(k))), self.speech[part[:, 0]]], axis=1))
+        return np.concatenate(out)
+
+    def read(self, ids: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, int]:
+        """Max over all positions of each filter, and the language; long texts in overlapping windows."""
+        s = self.settings
+        most = [np.zeros(s.filters, np.float32) for _ in s.widths]
+        heard = np.zeros(len(self.languages))
+        for at in range(0, len(ids), s.window):
+            rows = matrix[ids[at : at + s.window + max(s.widths) - 1]]
+            heard += rows[: s.window, -len(heard) :].sum(axis=0)
+            column = 0
+            for g, w in enumerate(s.widths):
+                n = min(s.window, len(rows) - w + 1)
+                if n > 0:
+                    total = rows[:n, column : column + s.filters]
+                    for j in range(1, w):
+                        total = total + rows[j : j + n, column + j * s.filters : column + (j + 1) * s.filters]
+                    most[g] = np.maximum(most[g], total.max(axis=0) + self.biases[g])
+                column += w * s.filters
+        return np.concatenate(most), int(heard.argmax())
+
+    def scores(self, texts: list[str], known: Known) -> np.ndarray:
         """Probabilities, moved in log odds so that each language's own threshold comes to CUT."""
-        if not texts:
-            return np.zeros(0)
-        z, lang = self.raw(texts, vocabulary)
-        return sigmoid(z - logit(self.cuts[lang]) + logit(np.array(CUT)))
+        z, lang = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            ids = known.encode(text)
+            pooled, lang[i] = self.read(ids, known.matrix)
+            z[i] = pooled @ self.head + self.offset
+        return np.round(sigmoid(z - logit(self.cuts[lang]) + logit(np.array(CUT))), 6)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -175,14 +202,54 @@ def train(rows: list[tuple[str, str, int]], s: Settings) -> Model:
     model = Model(s, table, kernels, biases, head, float(logit(np.array(base))), [""], np.zeros((s.buckets, 1), np.float32), np.array([CUT]))
     learn(model, [coded[i] for i in fit], y[fit], buckets, rng)
     languages(model, rows, coded, buckets, fit)
-    thresholds(model, rows, coded, buckets, np.flatnonzero(aside) if aside.any() else fit, y)
+    thresholds(model, coded, buckets, np.flatnonzero(aside) if aside.any() else fit, y)
     return model
 
 
+def gradients(model: Model, ids: np.ndarray, buckets: np.ndarray, label: float, weight: float = 1.0) -> dict:
+    """Of the weighted log loss of one document: by head, offset, biases, kernels, and rows of the table (pairs of buckets and change).
+
+    The gradient of a maximum goes to the words of its position.
+    """
+    s = model.settings
+    distinct, where = np.unique(ids, return_inverse=True)
+    vectors = model.words(buckets[distinct]) if len(ids) else np.zeros((0, s.size), np.float32)
+    values, spots = [], []
+    for w, k, b in zip(s.widths, model.kernels, model.biases, strict=True):
+        n = len(ids) - w + 1
+        if n <= 0:
+            values.append(np.zeros(s.filters, np.float32))
+            spots.append((None, np.zeros(s.filters, bool)))
+            continue
+        total = (vectors @ k[0])[where[:n]]
+        for j in range(1, w):
+            total = total + (vectors @ k[j])[where[j : j + n]]
+        at = total.argmax(axis=0)
+        top = total[at, np.arange(s.filters)] + b
+        values.append(np.maximum(top, 0))
+        spots.append((at, top > 0))
+    pooled = np.concatenate(values)
+    error = float(sigmoid(np.array(pooled @ model.head + model.offset)) - label) * weight
+    back = error * model.head
+    out = {"head": error * pooled, "offset": error, "biases": [], "kernels": [], "table": []}
+    for g, (w, (at, on)) in enumerate(zip(s.widths, spots, strict=True)):
+        grad = np.where(on, back[g * s.filters : (g + 1) * s.filters], 0).astype(np.float32)
+        kernel = np.zeros_like(model.kernels[g])
+        for j in range(w if on.any() else 0):
+            word = where[at + j]
+            kernel[j] = vectors[word].T * grad
+            touched = buckets[distinct[word]]
+            change = (model.kernels[g][j] * grad).T / touched.shape[1]
+            out["table"] += [(touched[f], change[f]) for f in np.flatnonzero(on)]
+        out["biases"].append(grad)
+        out["kernels"].append(kernel)
+    return out
+
+
 def learn(model: Model, docs: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, rng) -> None:
-    """Adagrad over single documents; the gradient of a maximum goes to the words of its position."""
+    """Adagrad over single documents."""
     s = model.settings
-    sums = [[np.full_like(k, 1e-2) for k in model.kernels], [np.full_like(b, 1e-2) for b in model.biases], np.full_like(model.head, 1e-2), np.full_like(model.table, 1e-1), 1e-2]
+    sums = {"head": np.full_like(model.head, 1e-2), "offset": 1e-2, "biases": [np.full_like(b, 1e-2) for b in model.biases], "kernels": [np.full_like(k, 1e-2) for k in model.kernels], "table": np.full_like(model.table, 1e-1)}
     weight = np.where(y == 1, min(5.0, (1 - y.mean()) / y.mean()), 1.0)
 
     def step(value, seen, grad):
@@ -191,65 +258,38 @@ def learn(model: Model, docs: list[np.ndarray], y: np.ndarray, buckets: np.ndarr
 
     for _ in range(s.epochs):
         for i in rng.permutation(len(docs)):
-            ids = docs[i]
-            distinct, where = np.unique(ids, return_inverse=True)
-            vectors = model.words(buckets[distinct]) if len(ids) else np.zeros((0, s.size), np.float32)
-            values, spots = [], []
-            for w, k, b in zip(s.widths, model.kernels, model.biases, strict=True):
-                n = len(ids) - w + 1
-                if n <= 0:
-                    values.append(np.zeros(s.filters, np.float32))
-                    spots.append(None)
-                    continue
-                total = (vectors @ k[0])[where[:n]]
-                for j in range(1, w):
-                    total = total + (vectors @ k[j])[where[j : j + n]]
-                at = total.argmax(axis=0)
-                top = total[at, np.arange(s.filters)] + b
-                values.append(np.maximum(top, 0))
-                spots.append((at, top > 0))
-            pooled = np.concatenate(values)
-            error = float(sigmoid(np.array(pooled @ model.head + model.offset)) - y[i]) * weight[i]
-            back = error * model.head
-            step(model.head, sums[2], (error * pooled + 1e-4 * model.head).astype(np.float32))
-            sums[4] += error * error
-            model.offset -= s.rate * error / np.sqrt(sums[4])
-            for g, (w, spot) in enumerate(zip(s.widths, spots, strict=True)):
-                if spot is None or not spot[1].any():
-                    continue
-                at, on = spot
-                grad = np.where(on, back[g * s.filters : (g + 1) * s.filters], 0).astype(np.float32)
-                step(model.biases[g], sums[1][g], grad)
-                kernel = np.zeros_like(model.kernels[g])
-                for j in range(w):
-                    word = where[at + j]
-                    kernel[j] = vectors[word].T * grad
-                    touched = buckets[distinct[word]]
-                    change = (model.kernels[g][j] * grad).T / touched.shape[1]
-                    for f in np.flatnonzero(on):
-                        b = touched[f]
-                        seen = sums[3][b] + change[f] ** 2
-                        sums[3][b] = seen
-                        model.table[b] -= 0.3 * s.rate * change[f] / np.sqrt(seen)
-                step(model.kernels[g], sums[0][g], kernel)
+            found = gradients(model, docs[i], buckets, y[i], weight[i])
+            step(model.head, sums["head"], (found["head"] + 1e-4 * model.head).astype(np.float32))
+            sums["offset"] += found["offset"] ** 2
+            model.offset -= s.rate * found["offset"] / np.sqrt(sums["offset"])
+            for g, grad in enumerate(found["biases"]):
+                if grad.any():
+                    step(model.biases[g], sums["biases"][g], grad)
+                    step(model.kernels[g], sums["kernels"][g], found["kernels"][g])
+            for rows, change in found["table"]:
+                seen = sums["table"][rows] + change**2
+                sums["table"][rows] = seen
+                model.table[rows] -= 0.3 * s.rate * change / np.sqrt(seen)
 
 
 def languages(model: Model, rows, coded, buckets: np.ndarray, fit: np.ndarray) -> None:
     """A naive Bayes table that names a text's language from its words, so that scores need no lang column."""
-    names = sorted({r[1] or "" for r in rows})[:64]
+    of_row = [r[1] or "" for r in rows]
+    common = {name for name, n in Counter(of_row).items() if n >= model.settings.language_rows}
+    of_row = [name if name in common else "" for name in of_row]
+    names = sorted(set(of_row))
     counts = np.full((model.settings.buckets, len(names)), 0.1)
     for i in fit:
-        np.add.at(counts[:, names.index(rows[i][1] or "")] if (rows[i][1] or "") in names else np.zeros(model.settings.buckets), buckets[coded[i], 0], 1)
+        np.add.at(counts[:, names.index(of_row[i])], buckets[coded[i], 0], 1)
     model.languages, model.speech = names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def thresholds(model: Model, rows, coded, buckets, aside: np.ndarray, y: np.ndarray) -> None:
+def thresholds(model: Model, coded, buckets, aside: np.ndarray, y: np.ndarray) -> None:
     """For each language the middle of the gap that tells its set-aside rows apart best, drawn to the one of all rows where there are few."""
-    vectors = model.words(buckets)
-    parts = [[vectors @ k[j] for j in range(len(k))] for k in model.kernels]
-    z = np.array([model.pooled(coded[i], parts) @ model.head + model.offset for i in aside])
-    spoken = model.speech[buckets[:, 0]]
-    lang = np.array([int(spoken[coded[i]].sum(axis=0).argmax()) if len(coded[i]) else 0 for i in aside])
+    matrix = model.matrix(buckets)
+    found = [model.read(coded[i], matrix) for i in aside]
+    z = np.array([pooled @ model.head + model.offset for pooled, _ in found])
+    lang = np.array([k for _, k in found])
     whole = best(z, y[aside])
     cuts = []
     for k in range(len(model.languages)):
@@ -271,50 +311,41 @@ def best(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def sample(documents: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, str, int]]:
-    """Labelled rows outside the held-out fold, those with the smallest hash of their id; s.sample at most."""
+    """Labelled rows outside the held-out fold, those with the smallest hash of their id: as many as both bounds let in."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.where(fold_of("doc_id", 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
     rows = documents.select("doc_id", text_of().alias("text"), "lang").join(F.broadcast(chosen), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(s.sample)
-    return [(r.text, r.lang, int(r.toxic > 0)) for r in rows.collect()]
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    rows = rows.orderBy(*order).limit(s.sample).withColumn("chars", F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return [(r.text, r.lang, int(r.toxic > 0)) for r in rows.where(F.col("chars") <= s.sample_chars).select("text", "lang", "toxic").collect()]
+
+
+def _fitted(documents: DataFrame, labels: DataFrame, s: Settings):
+    return documents.sparkSession.sparkContext.broadcast(train(sample(documents, labels, s), s))
 
 
 def score(documents: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    s = settings or Settings()
-    spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(train(sample(documents, labels, s), s))
+    model = _fitted(documents, labels, settings or Settings())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary(model.value.settings)
+        known = Known(model.value)
         for frame in frames:
-            scores = []
-            for at in range(0, len(frame), 500):
-                if len(vocabulary.rows) > model.value.settings.cache:
-                    vocabulary.clear()
-                scores.append(model.value.scores(frame["text"].iloc[at : at + 500].tolist(), vocabulary))
-            found = np.round(np.concatenate(scores), 6) if scores else np.zeros(0)
+            found = model.value.scores(frame["text"].tolist(), known)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": found, "predicted": (found >= CUT).astype(np.int32)})
 
     rows = documents.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), text_of().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_frames(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns. Scored beside the row, so no join follows."""
-    s = settings or Settings()
-    spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(train(sample(documents, labels, s), s))
+    model = _fitted(documents, labels, settings or Settings())
 
     @F.pandas_udf("double")
     def rate(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = Vocabulary(model.value.settings)
+        known = Known(model.value)
         for part in parts:
-            out = []
-            for at in range(0, len(part), 500):
-                if len(vocabulary.rows) > model.value.settings.cache:
-                    vocabulary.clear()
-                out.append(model.value.scores(part.iloc[at : at + 500].tolist(), vocabulary))
-            yield pd.Series(np.round(np.concatenate(out), 6) if out else np.zeros(0))
+            yield pd.Series(model.value.scores(part.tolist(), known))
 
     return documents.where(rate(text_of()) < CUT)

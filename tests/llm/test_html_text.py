@@ -91,3 +91,27 @@ def test_odd_rows_and_depth(spark):
     parts = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "x", " y ", "<pre>", "\n", "&lt;", "<b", ">", "<!--", "-->", "</td>", "<br>", "<dl><dd>"]
     for _ in range(500):
         ht.rendered("".join(rng.choice(parts) for _ in range(rng.randint(0, 60))))
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
+        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
+        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
+    ],
+)
+def test_spans_and_visibility(source, want):
+    assert ht.rendered(source) == want
+
+
+def test_depth_costs_no_more_than_length():
+    """A page of 200,000 open elements is read in seconds."""
+    import time
+
+    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
+        began = time.monotonic()
+        assert ht.rendered(part * 100_000 + "end").endswith("end")
+        assert time.monotonic() - began < 60
