@@ -7,6 +7,13 @@ rows; a recursive query joins neighbours with `merges` and contracts each word's
 least rank until none is left. Rounds are bounded per query, and words that need more go through
 it again, so memory stays in proportion to the words however long one is.
 
+A word over `long` bytes is contracted in pieces by the same query, since a round costs its whole
+length. Tokens in a row are the word's encoding exactly if every two neighbours are the encoding of
+their own bytes (no merge would then cross a border), provided every token is the encoding of its
+own bytes, which is tried before the first long word. Borders of pieces are tried by that rule;
+where one fails, the tokens around it are contracted anew as one piece, of twice as many tokens in
+each pass.
+
 Defined results: a null text is an empty one with no ids; a null doc_id is kept; repeated rows
 are each encoded; bytes of ids outside the vocabulary raise an error; special tokens don't exist.
 """
@@ -24,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_frames, text_of
 
 
 @dataclass(frozen=True)
 class Settings:
-    """cache: distinct words a worker remembers; the rest bounds what one DuckDB query holds."""
+    """cache: bytes that a worker remembers distinct words in, about; long, piece: bytes from which words are cut, and of
+    a piece; the rest bounds what one DuckDB query holds.
+    """
 
-    cache: int = 1_200_000
+    cache: int = 200_000_000
+    long: int = 1000
+    piece: int = 256
     query_bytes: int = 400_000
     query_tokens: int = 1_000_000
     rounds: int = 32
@@ -91,8 +102,11 @@ class Codec:
         cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.ranks = ranks
+        self.token = {r: t for t, r in ranks.items()}
+        self.sound: bool | None = None
         #: word -> its ids as text, the bytes they decode to, their number
         self.known: dict[str, tuple[str, bytes, int]] = {}
+        self.held = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._table("tokens", {"id": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
         left, right, rank = (np.array(x, np.int32) for x in zip(*cuts, strict=True)) if cuts else (np.zeros(0, np.int32),) * 3
@@ -106,22 +120,61 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Ids of new words, by as many queries as their bytes ask for. A word that is itself a token is that token."""
         found = {w: [whole] for w in words if (whole := self.ranks.get(w.encode("utf-8"))) is not None}
-        self._merge([w for w in words if w not in found], found)
+        rest = [w for w in words if w not in found]
+        coded = [w.encode("utf-8") for w in rest]
+        short = [i for i, c in enumerate(coded) if len(c) <= self.s.long or not self._pieces_fit()]
+        found |= zip((rest[i] for i in short), self.contracted([coded[i] for i in short]), strict=True)
+        found |= {w: self._long(c) for w, c in zip(rest, coded, strict=True) if w not in found}
         for w, text in zip(found, self.decode([np.array(ids, np.int32) for ids in found.values()]), strict=True):
-            self.known[w] = ",".join(map(str, found[w])), text, len(found[w])
-
-    def _merge(self, words: list[str], found: dict[str, list[int]]) -> None:
-        at = 0
-        while at < len(words):
-            coded, size = [], 0
-            while at < len(words) and (not coded or size + len(coded[-1]) < self.s.query_bytes):
-                coded.append(words[at].encode("utf-8"))
-                size += len(coded[-1])
-                at += 1
-            self._encode(words[at - len(coded) : at], [self.byte[np.frombuffer(w, np.uint8)] for w in coded], found)
-
-    def _encode(self, words: list[str], rows: list[np.ndarray], known: dict[str, list[int]]) -> None:
-        open_ = list(range(len(words)))
+            ids = ",".join(map(str, found[w]))
+            self.known[w] = ids, text, len(found[w])
+            self.held += 350 + 2 * len(w) + len(ids) + len(text)  # what Python takes for an entry
+
+    def contracted(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words, by as many queries as their bytes ask for."""
+        out: list[list[int]] = []
+        while len(out) < len(words):
+            end, size = len(out), 0
+            while end < len(words) and (end == len(out) or size + len(words[end]) <= self.s.query_bytes):
+                size += len(words[end])
+                end += 1
+            out += self._query([self.byte[np.frombuffer(w, np.uint8)] for w in words[len(out) : end]])
+        return out
+
+    def _pieces_fit(self) -> bool:
+        """Whether every token is the encoding of its own bytes, so that long words may be cut."""
+        if self.sound is None:
+            self.sound = self.contracted(list(self.ranks)) == [[r] for r in self.ranks.values()]
+        return self.sound
+
+    def _long(self, word: bytes) -> list[int]:
+        parts = self.contracted([word[i : i + self.s.piece] for i in range(0, len(word), self.s.piece)])
+        whole = lambda ids: b"".join(map(self.token.__getitem__, ids))
+        fits: dict[tuple[int, int], bool] = {}
+        k = 8
+        while True:
+            borders = [(a[-1], b[0]) for a, b in zip(parts, parts[1:], strict=False)]
+            new = sorted(set(borders) - fits.keys())
+            fits |= {pair: ids == list(pair) for pair, ids in zip(new, self.contracted([whole(pair) for pair in new]), strict=True)}
+            apart: list[int] = []
+            for i, pair in enumerate(borders):
+                if not fits[pair] and (not apart or i > apart[-1] + 1):
+                    apart.append(i)
+            if not apart:
+                return [x for ids in parts for x in ids]
+            mended = dict(zip(apart, self.contracted([whole(parts[i][-k:] + parts[i + 1][:k]) for i in apart]), strict=True))
+            after: list[list[int]] = []
+            for i, ids in enumerate(parts):
+                after.append(ids[k if i - 1 in mended else 0 : len(ids) - k if i in mended and len(ids) > k else 0 if i in mended else len(ids)])
+                if i in mended:
+                    after.append(mended[i])
+            parts = [ids for ids in after if ids]
+            k *= 2
+
+    def _query(self, rows: list[np.ndarray]) -> list[list[int]]:
+        """Ids of words given as the ids of their bytes."""
+        known: dict[int, list[int]] = {i: [] for i, x in enumerate(rows) if not len(x)}
+        open_ = [i for i in range(len(rows)) if i not in known]
         while open_:
             here = [rows[i] for i in open_]
             lengths = np.array([len(x) for x in here])
@@ -136,13 +189,15 @@ class Codec:
                     rows[i] = np.array(ids, np.int32)
                     left.append(i)
                 else:
-                    known[words[i]] = ids
+                    known[i] = ids
             open_ = left
+        return [known[i] for i in range(len(rows))]
 
     def split(self, texts: list[str]) -> Iterator[list[tuple]]:
         """For each text what is known of its words, in order."""
-        if len(self.known) > self.s.cache:
+        if self.held > self.s.cache:
             self.known.clear()
+            self.held = 0
         parts = [self.words.findall(t) for t in texts]
         self.learn(list({w for p in parts for w in p if w not in self.known}))
         for p in parts:
@@ -194,7 +249,7 @@ def encode(documents: DataFrame, path: str, pattern: str, settings: Settings | N
             for a, b in chunks(texts):
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b], "ids": codec.encode(texts[a:b])})
 
-    return documents.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return in_frames(documents.select("doc_id", text_of().alias("text")), run, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str, pattern: str, settings: Settings | None = None) -> DataFrame:
@@ -207,7 +262,7 @@ def decode(coded: DataFrame, path: str, pattern: str, settings: Settings | None
             ids = [np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in frame["ids"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "decoded": codec.decode(ids)})
 
-    return coded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded binary")
+    return in_frames(coded.select("doc_id", "ids"), run, "doc_id long, decoded binary")
 
 
 def digest(documents: DataFrame, path: str, pattern: str, settings: Settings | None = None) -> DataFrame:
@@ -230,4 +285,4 @@ def digest(documents: DataFrame, path: str, pattern: str, settings: Settings | N
                     decoded.append(hashlib.sha256(b"".join(back)).hexdigest())
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b], "n_tokens": counts, "ids_sha256": names, "decoded_sha256": decoded})
 
-    return documents.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_frames(documents.select("doc_id", text_of().alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, keep, text_of
+from .common import fold_of, in_frames, keep, text_of
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -391,7 +391,7 @@ def score(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
                     yield pd.DataFrame({"row": row + np.arange(len(part)), "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": ends - starts, "often": np.add.reduceat(often.astype(np.int64), starts), "base": base, "rare": rare, **dict(zip(("score", "words", "codes", "starts"), held, strict=True))})
                     row += len(part)
 
-    scored = keep(rows.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, often long, base double, rare array<long>, score double, words binary, codes binary, starts binary"), "scored")
+    scored = keep(in_frames(rows, run, "row long, doc_id long, held_out boolean, n_tokens long, often long, base double, rare array<long>, score double, words binary, codes binary, starts binary"), "scored")
     each = scored.select("row", F.explode("rare").alias("word")).join(vocabulary, "word", "left")
     found = each.groupBy("row").agg(F.count("c").alias("known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / norm)).alias("more"))
     zero = lambda c: F.coalesce(c, F.lit(0))

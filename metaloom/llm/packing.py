@@ -26,8 +26,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import new_dir, text_of
+from .common import in_frames, new_dir, text_of
 from .warc import filesystem
 
 
@@ -37,10 +38,11 @@ class Settings:
     buffer_tokens: int = 2_000_000
     end: int = 50256
     pad: int = 50256
+    ids: int = 50257
 
     @property
     def kind(self) -> str:
-        return "<u2" if max(self.end, self.pad) < 2**16 else "<u4"
+        return "<u2" if max(self.end, self.pad, self.ids - 1) < 2**16 else "<u4"
 
 
 class Capacities:
@@ -99,6 +101,8 @@ def matrix_of(docs: list[np.ndarray], s: Settings) -> tuple[np.ndarray, list[np.
     pieces = [(d, at, min(s.row, len(ids) - at)) for d, ids in enumerate(docs) for at in range(0, len(ids), s.row)]
     rows = best_fit([n for _, _, n in pieces], s.row)
     ids, positions = np.full((len(rows), s.row), s.pad, s.kind), np.zeros((len(rows), s.row), np.int32)
+    if any(len(d) and d.max() > np.iinfo(ids.dtype).max for d in docs):
+        raise ValueError("an id is too large for the matrices: state the vocabulary's size in Settings.ids")
     lengths, places = [], []
     for r, inside in enumerate(rows):
         at, ends = 0, [0]
@@ -114,7 +118,7 @@ def matrix_of(docs: list[np.ndarray], s: Settings) -> tuple[np.ndarray, list[np.
     return ids, lengths, positions, places
 
 
-MANIFEST = "file string, rows long, sha1 string, doc_id array<long>, document array<int>, start array<int>, row array<int>, column array<int>"
+MANIFEST = "file string, rows long, sha1 string, keys array<string>, document array<int>, start array<int>, row array<int>, column array<int>"
 
 
 def write(documents: DataFrame, folder: str, vocabulary: str, pattern: str, settings: Settings | None = None) -> DataFrame:
@@ -131,7 +135,7 @@ def write(documents: DataFrame, folder: str, vocabulary: str, pattern: str, sett
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 ids.append(np.array([*coder.encode_ordinary(text), s.end], np.uint32))
-                keys.append(None if pd.isna(doc_id) else int(doc_id))
+                keys.append(doc_id)
                 held += len(ids[-1])
                 if held >= s.buffer_tokens:
                     yield flushed(fs, path, f"part-{part:06d}-{sequence:05d}", keys, ids, s)
@@ -140,11 +144,11 @@ def write(documents: DataFrame, folder: str, vocabulary: str, pattern: str, sett
             yield flushed(fs, path, f"part-{part:06d}-{sequence:05d}", keys, ids, s)
 
     temporary = f"{folder}/_manifest"
-    documents.select("doc_id", text_of().alias("text")).mapInPandas(run, MANIFEST).write.parquet(temporary)
+    documents.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text")).mapInPandas(run, MANIFEST).write.parquet(temporary)
     return documents.sparkSession.read.parquet(temporary)
 
 
-def flushed(fs, path: str, name: str, keys: list[int | None], docs: list[np.ndarray], s: Settings) -> pd.DataFrame:
+def flushed(fs, path: str, name: str, keys: list[str | None], docs: list[np.ndarray], s: Settings) -> pd.DataFrame:
     import zstandard
 
     ids, lengths, positions, places = matrix_of(docs, s)
@@ -157,7 +161,7 @@ def flushed(fs, path: str, name: str, keys: list[int | None], docs: list[np.ndar
         fs.move(temporary, f"{path}/{name}.{ending}")
         whole.update(content)
     document, start, row, column = (np.array(x, np.int32) for x in zip(*places, strict=True))
-    return pd.DataFrame({"file": [name], "rows": [len(ids)], "sha1": [whole.hexdigest()], "doc_id": [keys], "document": [document], "start": [start], "row": [row], "column": [column]})
+    return pd.DataFrame({"file": [name], "rows": [len(ids)], "sha1": [whole.hexdigest()], "keys": [keys], "document": [document], "start": [start], "row": [row], "column": [column]})
 
 
 def encoding(vocabulary: str, pattern: str):
@@ -210,11 +214,10 @@ def read(manifest: DataFrame, folder: str, settings: Settings | None = None) ->
                     whole = np.concatenate([x for _, x in sorted(parts, key=lambda p: p[0])])
                     if whole[-1] != s.end:
                         raise ValueError(f"{f.file}: document {d} has no end")
-                    key = f.doc_id[d]
-                    rows.append((None if pd.isna(key) else int(key), len(whole), len(parts), hashlib.sha256(",".join(map(str, whole[:-1].tolist())).encode()).hexdigest(), f.file))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_pieces", "ids_sha256", "file"]).astype({"doc_id": "Int64"})
+                    rows.append((f.keys[d], len(whole), len(parts), hashlib.sha256(",".join(map(str, whole[:-1].tolist())).encode()).hexdigest(), f.file))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_pieces", "ids_sha256", "file"])
 
-    return manifest.mapInPandas(run, "doc_id long, n_tokens long, n_pieces long, ids_sha256 string, file string")
+    return in_frames(manifest, run, "doc_id long, n_tokens long, n_pieces long, ids_sha256 string, file string", ("doc_id",))
 
 
 def round_trip(spark: SparkSession, documents: DataFrame, vocabulary: str, pattern: str, settings: Settings | None = None) -> DataFrame:

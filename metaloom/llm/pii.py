@@ -5,8 +5,9 @@ candidate, base or not, labelers vote for (1), against (-1) or not at all (0): f
 (regex), name and number lists (gazetteer), and nearby words and neighbouring characters
 (context). Votes are counted over all documents; expectation-maximisation on these counts (a cell
 for each combination, so of fixed size however many documents there are) estimates how reliable
-each labeler is, and a logistic classifier fitted on its posteriors decides on the candidates that
-no base pattern has.
+each labeler is. A logistic classifier is then fitted on its posteriors; it sees the votes and
+traits that no labeler looks at (how long a span is, how much of it are digits, what stands before
+and after it), and decides on the candidates that no base pattern has.
 
 Defined results: a null text is an empty one, without spans; a null doc_id is kept; repeated rows
 are each reported; with an empty table there is nothing to estimate and nothing is added.
@@ -16,6 +17,8 @@ Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, text_of
+from .common import in_frames, keep, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "checksum", "list", "near", "edges", "shape")
@@ -35,19 +38,28 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 DIGITS = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-DOMAINS = frozenset("com org net edu gov info biz io de fr es uk eu us it nl ch at be".split())
-CARD_STARTS = tuple("2 34 35 36 37 38 4 5 6".split())
-SPELLED = re.compile(r"([A-Za-z0-9][A-Za-z0-9._%+-]*)\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?([A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?)[A-Za-z0-9-]+)+)")
+#: Top-level domains: the first generic ones, some later ones, and the countries' of ISO 3166 with the most names.
+DOMAINS = frozenset((
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "museum", "aero", "coop", "jobs", "mobi", "travel", "asia", "cat", "tel",
+    "app", "dev", "io", "ai", "xyz", "online", "site", "shop", "store", "club", "tech", "cloud", "blog", "email",
+    "ar", "at", "au", "be", "bg", "br", "by", "ca", "ch", "cl", "cn", "co", "cz", "de", "dk", "ee", "es", "eu", "fi", "fr", "gr", "hk", "hr", "hu", "ie", "il",
+    "in", "ir", "is", "it", "jp", "kr", "kz", "lt", "lu", "lv", "me", "mx", "my", "nl", "no", "nz", "pe", "pl", "pt", "ro", "rs", "ru", "se", "sg", "si", "sk",
+    "th", "tr", "tv", "tw", "ua", "uk", "us", "vn", "za",
+))
+#: First digits of issuers' numbers by ISO/IEC 7812: travel (1, 2, 3), banking (4, 5, 6), among them the card brands' ranges.
+CARD_STARTS = ("2", "34", "35", "36", "37", "38", "4", "5", "6")
+AT = re.compile(r"\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?")
+AFTER_AT = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?)[A-Za-z0-9-]+)+")
 LOOSE_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+.-])00[1-9][0-9]{0,2}(?:[\x20.-]?\(?[0-9]{2,4}\)?){3,4}(?![\w-])")
 RUN = re.compile(r"[0-9]+")
 GROUPED = re.compile(r"(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])|(?<![0-9])3[0-9]{3}([\x20-])[0-9]{6}\2[0-9]{5}(?![0-9])")
 FOR_WORDS = {
-    "email": frozenset("email mail e-mail contact write correo courriel".split()),
-    "ip": frozenset("ip host server address addr client from adresse".split()),
-    "card": frozenset("card visa mastercard amex credit debit cc karte carte tarjeta".split()),
-    "phone": frozenset("phone tel call mobile fax cell telefon téléphone teléfono".split()),
+    "email": frozenset(("email", "mail", "e-mail", "contact", "write", "correo", "courriel")),
+    "ip": frozenset(("ip", "host", "server", "address", "addr", "client", "from", "adresse")),
+    "card": frozenset(("card", "visa", "mastercard", "amex", "credit", "debit", "cc", "karte", "carte", "tarjeta")),
+    "phone": frozenset(("phone", "tel", "call", "mobile", "fax", "cell", "telefon", "téléphone", "teléfono")),
 }
-AGAINST_WORDS = frozenset("version release v license isbn order token key sha hash build id ref".split())
+AGAINST_WORDS = frozenset(("version", "release", "v", "license", "isbn", "order", "token", "key", "sha", "hash", "build", "id", "ref"))
 WORD_BEFORE = re.compile(r"[\w-]+")
 
 
@@ -101,19 +113,36 @@ def base_phones(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in PLUS.finditer(text) if 10 <= len(_plain(text, *m.span())) <= 15]
 
 
+def spelled_emails(text: str) -> list[tuple[int, int]]:
+    """Addresses whose at sign is spelled in brackets: the name is read backwards from the bracket, so that long words cost nothing."""
+    out, end = [], 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > end and LOCAL.match(text[start - 1]):
+            start -= 1
+        while start < m.start() and not (text[start].isascii() and text[start].isalnum()):
+            start += 1
+        after = AFTER_AT.match(text, m.end()) if start < m.start() else None
+        if after:
+            out.append((start, after.end()))
+            end = after.end()
+    return out
+
+
 def proposals(text: str, base: dict[str, list[tuple[int, int]]], bad_cards: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Spans that no base pattern accepts but a looser one does, apart from the base spans of their kind."""
     out = []
     if "(" in text or "[" in text or "{" in text or "<" in text:
-        out += [("email", *m.span()) for m in SPELLED.finditer(text)]
+        out += [("email", *span) for span in spelled_emails(text)]
     for a, b in bad_cards:  # card numbers that other digits stand beside
         inner = [m.span() for m in RUN.finditer(text, a, b)] + [m.span() for m in GROUPED.finditer(text, a, b)]
         out += [("card", x, y) for x, y in inner if 14 <= len(d := _plain(text, x, y)) <= 19 and luhn(d)]
     out += [("phone", *m.span()) for m in LOOSE_PHONE.finditer(text)]
     free, taken = [], {k: sorted(v) for k, v in base.items()}
     for kind, a, b in sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], -x[2])):
-        if all(b <= x or y <= a for x, y in taken[kind]):
-            taken[kind].append((a, b))
+        at = bisect_left(taken[kind], (a, b))  # spans of a kind lie apart, so only the neighbours can meet this one
+        if all(b <= x or y <= a for x, y in taken[kind][max(0, at - 1) : at + 1]):
+            taken[kind].insert(at, (a, b))
             free.append((kind, a, b))
     return free
 
@@ -159,19 +188,47 @@ def found_in(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     else:
         extra = [x for x in proposals(text, base, []) if x[0] == "email"]
     spans = [(KINDS.index(k), a, b) for k in KINDS for a, b in base[k]]
-    cells = [(KINDS.index(k), a, b, -1 - cell_of(votes(text, k, a, b, True))) for k in KINDS for a, b in base[k]]
-    cells += [(KINDS.index(k), a, b, cell_of(votes(text, k, a, b, False))) for k, a, b in extra]
+    cells = [(KINDS.index(k), a, b, -1 - cell_of(votes(text, k, a, b, True), traits(text, a, b))) for k in KINDS for a, b in base[k]]
+    cells += [(KINDS.index(k), a, b, cell_of(votes(text, k, a, b, False), traits(text, a, b))) for k, a, b in extra]
     return sorted(spans, key=lambda x: (x[1], x[0])), cells
 
 
-def cell_of(v: list[int]) -> int:
-    return sum((x + 1) * 3**i for i, x in enumerate(v))
+#: How many values each trait has: length, share of digits, what stands before, what stands after.
+TRAITS = (4, 3, 4, 4)
+
+
+def traits(text: str, start: int, end: int) -> tuple[int, ...]:
+    """What the classifier sees of a span beside the votes."""
+    span = text[start:end]
+    digits = sum(c.isdigit() for c in span)
+    beside = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalnum() else 3
+    return min(3, len(span) // 8), 0 if not digits else 1 if 2 * digits < len(span) else 2, beside(text[start - 1 : start]), beside(text[end : end + 1])
+
+
+def cell_of(v: list[int], seen: tuple[int, ...]) -> int:
+    """Votes and traits as one number below CELLS."""
+    out = 0
+    for x, n in zip(reversed(seen), reversed(TRAITS), strict=True):
+        out = out * n + x
+    return out * 3 ** len(LABELERS) + sum((x + 1) * 3**i for i, x in enumerate(v))
+
+
+CELLS = 3 ** len(LABELERS) * int(np.prod(TRAITS))
 
 
 def votes_of(cell: int) -> np.ndarray:
     return np.array([cell // 3**i % 3 - 1 for i in range(len(LABELERS))])
 
 
+def features_of(cell: int) -> np.ndarray:
+    """Votes for and against, and each value of each trait but the first."""
+    rest, out = cell // 3 ** len(LABELERS), [votes_of(cell) == 1, votes_of(cell) == -1]
+    for n in TRAITS:
+        rest, value = divmod(rest, n)
+        out.append(np.arange(1, n) == value)
+    return np.concatenate(out)
+
+
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 50
@@ -183,7 +240,11 @@ def estimate(cells: dict[tuple[int, int], int], s: Settings) -> dict[tuple[int,
     """Posterior of each (kind, cell) by expectation-maximisation: two classes, and for each labeler the chances of its votes in either."""
     out = {}
     for kind in sorted({k for k, _ in cells}):
-        own = [(c, n) for (k, c), n in sorted(cells.items()) if k == kind]
+        own = Counter()
+        for (k, c), count in cells.items():
+            if k == kind:
+                own[c % 3 ** len(LABELERS)] += count
+        own = sorted(own.items())
         v = np.array([votes_of(c) for c, _ in own])
         n = np.array([n for _, n in own], float)
         share = 0.7
@@ -201,16 +262,17 @@ def estimate(cells: dict[tuple[int, int], int], s: Settings) -> dict[tuple[int,
                 for j in range(len(LABELERS)):
                     counts = prior[cls, j] + np.array([weight[v[:, j] == x].sum() for x in (-1, 0, 1)])
                     chance[cls, j] = counts / counts.sum()
-        out |= {(kind, c): float(p) for (c, _), p in zip(own, post, strict=True)}
+        found = {c: float(p) for (c, _), p in zip(own, post, strict=True)}
+        out |= {(k, c): found[c % 3 ** len(LABELERS)] for k, c in cells if k == kind}
     return out
 
 
 def classifier(cells: dict[tuple[int, int], int], posterior: dict[tuple[int, int], float], s: Settings) -> set[tuple[int, int]]:
-    """The cells whose candidates are taken: a logistic model over kinds and votes, fitted on the posteriors by Newton's method."""
+    """The cells whose candidates are taken: a logistic model over kinds, votes and traits, fitted on the posteriors by Newton's method."""
     if not cells:
         return set()
     keys = sorted(cells)
-    x = np.array([np.concatenate([np.eye(len(KINDS))[k], votes_of(c) == 1, votes_of(c) == -1]) for k, c in keys], float)
+    x = np.array([np.concatenate([np.eye(len(KINDS))[k], features_of(c)]) for k, c in keys], float)
     y = np.array([posterior[k] for k in keys])
     n = np.array([cells[k] for k in keys], float)
     w, ridge = np.zeros(x.shape[1]), 0.5 * np.eye(x.shape[1])
@@ -226,7 +288,7 @@ SPANS = "array<struct<kind:int,start:int,end:int>>"
 CANDIDATES = "array<struct<kind:int,start:int,end:int,cell:int>>"
 
 
-def candidates(documents: DataFrame, others: list[str] | None = None) -> DataFrame:
+def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, base and candidate spans of every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +296,7 @@ def candidates(documents: DataFrame, others: list[str] | None = None) -> DataFra
             found = [found_in(t) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "base": [_structs(b, ("kind", "start", "end")) for b, _ in found], "candidates": [_structs(c, ("kind", "start", "end", "cell")) for _, c in found]})
 
-    return documents.select("doc_id", text_of().alias("text")).mapInPandas(run, f"doc_id long, base {SPANS}, candidates {CANDIDATES}")
+    return in_frames(documents.select("doc_id", text_of().alias("text")), run, f"doc_id long, base {SPANS}, candidates {CANDIDATES}")
 
 
 def _structs(rows: list[tuple], names: tuple[str, ...]) -> list[dict]:
@@ -242,7 +304,7 @@ def _structs(rows: list[tuple], names: tuple[str, ...]) -> list[dict]:
 
 
 def accepted_cells(found: DataFrame, s: Settings) -> set[tuple[int, int]]:
-    """Counts of vote cells over all documents, at most four times 729 rows, then estimation on the driver."""
+    """Counts of cells over all documents, at most CELLS rows for each kind, then estimation on the driver."""
     each = found.select(F.explode("candidates").alias("c"))
     cell = F.when(F.col("c.cell") < 0, -1 - F.col("c.cell")).otherwise(F.col("c.cell"))
     rows = each.groupBy(F.col("c.kind").alias("kind"), cell.alias("cell")).count().collect()
@@ -253,8 +315,8 @@ def accepted_cells(found: DataFrame, s: Settings) -> set[tuple[int, int]]:
 def spans(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, base and all accepted spans, by start and then kind, of every document."""
     found = keep(candidates(documents), "candidates")
-    taken = sorted(k * 3 ** len(LABELERS) + c for k, c in accepted_cells(found, settings or Settings()))
-    code = lambda c: c["kind"] * F.lit(3 ** len(LABELERS)) + c["cell"]
+    taken = sorted(k * CELLS + c for k, c in accepted_cells(found, settings or Settings()))
+    code = lambda c: c["kind"] * F.lit(CELLS) + c["cell"]
     fits = (lambda c: (c["cell"] >= 0) & code(c).isin(taken)) if taken else (lambda c: F.lit(False))
     extra = F.transform(F.filter("candidates", fits), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     by_start = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))

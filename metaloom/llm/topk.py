@@ -36,6 +36,7 @@ class Settings:
     query_block: int = 1024
     candidate_block: int = 4096
     lanes: int = 64
+    held: int = 16
 
 
 def quantised(vectors: DataFrame, column: str, scale: int) -> DataFrame:
@@ -56,22 +57,22 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
-def candidate_blocks(vectors: DataFrame, width: int, blocks: int, kind: str, s: Settings) -> DataFrame:
-    """Each partition packs its rows into blocks; a row of them for each query block, in a lane."""
+def candidate_blocks(vectors: DataFrame, width: int, lanes: int, kind: str, s: Settings) -> DataFrame:
+    """Each partition packs its rows into blocks, each in a lane."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), s.candidate_block):
                 part = frame.iloc[at : at + s.candidate_block]
                 ids = part["vec_id"].to_numpy(np.int64)
-                lane = int((ids[0] * 0x9E3779B1) % s.lanes)
+                lane = int((ids[0] * 0x9E3779B1) % lanes)
                 yield pd.DataFrame({"lane": [lane], "n": [len(part)], "ids": [ids.tobytes()], "matrix": [_matrix(part["v"].tolist(), width).astype(kind).tobytes()]})
 
     packed = vectors.mapInPandas(pack, f"lane int, {BLOCK}")
-    return packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "lane", *(F.col(c).alias(f"c_{c}") for c in ("n", "ids", "matrix")))
+    return packed.select("lane", *(F.col(c).alias(f"c_{c}") for c in ("n", "ids", "matrix")))
 
 
-def query_blocks(queries: DataFrame, width: int, blocks: int, kind: str, s: Settings) -> DataFrame:
+def query_blocks(queries: DataFrame, width: int, blocks: int, lanes: int, kind: str) -> DataFrame:
     """Queries with their state (low, high, size of a bin, still wanted) packed into blocks by a hash of the id, in every lane."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -81,8 +82,7 @@ def query_blocks(queries: DataFrame, width: int, blocks: int, kind: str, s: Sett
 
     tagged = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     packed = tagged.groupBy("block").applyInPandas(pack, f"block int, {BLOCK}, state binary")
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(s.lanes - 1))).alias("lane")
-    return packed.select("block", lanes, *(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "matrix", "state")))
+    return packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), *(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "matrix", "state")))
 
 
 def _scored(row, width: int, kind: str):
@@ -105,6 +105,9 @@ def histograms(pairs: DataFrame, width: int, kind: str, s: Settings) -> DataFram
         sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for frame in frames:
             for row in frame.itertuples():
+                if len(sums) >= s.held and row.block not in sums:
+                    yield from highest(sums)
+                    sums.clear()
                 q_ids, _, state, scores = _scored(row, width, kind)
                 fits = (scores >= state[:, :1]) & (scores < state[:, 1:2])
                 slots = np.floor((scores - state[:, :1]) / state[:, 2:3])
@@ -113,6 +116,9 @@ def histograms(pairs: DataFrame, width: int, kind: str, s: Settings) -> DataFram
                 counts = np.bincount(flat, minlength=len(q_ids) * s.bins).reshape(len(q_ids), s.bins)
                 old = sums.get(row.block)
                 sums[row.block] = (q_ids.copy(), state[:, 3].copy(), counts if old is None else old[2] + counts)
+        yield from highest(sums)
+
+    def highest(sums: dict) -> Iterator[pd.DataFrame]:
         for q_ids, want, counts in sums.values():
             above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
             which, slot = np.nonzero((counts > 0) & (above < want[:, None]))
@@ -149,15 +155,18 @@ def search(vectors: DataFrame, queries: Column, column: str = "embedding", scale
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(1, width)
-    # no score is beyond a query's sum of sizes times the largest component: exact in doubles far beyond 2 ** 50
+    # no score is beyond a query's sum of sizes times the largest component
     bound = F.greatest(F.lit(1.0), size * (top or 0.0))
     bin_ = F.greatest(F.lit(1.0), F.ceil((2 * bound + 1) / s.bins).cast("double"))
     state = keep(asking.select("vec_id", "v", (-bound).alias("low"), (bound + 1).alias("high"), bin_.alias("bin"), F.lit(float(s.k)).alias("want")), "state")
-    count = state.count()
+    count, farthest = state.agg(F.count("*"), F.max("high")).first()
+    if farthest is not None and farthest > 2**53:
+        raise ValueError("scores may pass 2 ** 53, beyond which doubles are not exact: use a smaller scale")
     blocks = max(1, -(-count // s.query_block))
+    lanes = max(s.lanes, -(-n // (8 * s.candidate_block)))
     kind = "i2" if (top or 0) < 2**15 else "f8"
-    packed = keep(candidate_blocks(rows, width, blocks, kind, s), "candidates")
-    meet = lambda now: packed.join(query_blocks(now, width, blocks, kind, s), ["block", "lane"])
+    packed = keep(candidate_blocks(rows, width, lanes, kind, s), "candidates")
+    meet = lambda now: packed.join(query_blocks(now, width, blocks, lanes, kind), "lane")
     while True:
         done = state.agg(F.max("bin")).first()[0]
         counted = histograms(meet(state), width, kind, s).groupBy("vec_id", "slot").agg(F.sum("count").alias("count"))

@@ -1,17 +1,20 @@
 """A deterministic sharded WARC writer, and a reader of what it wrote.
 
 Records are dealt into shards by ranges of page_id. The ranges are cut from a histogram of payload
-bytes over fixed-width intervals, so they depend on the rows alone, and no shard is named after a
-task. Within a shard records stand in order of page_id; a shard rolls over to its next file when
+bytes over intervals; an interval with more than a shard's bytes is cut again between its own least
+and greatest page_id, and one page_id (or none) by the payload's digest, so that far-off, repeated
+and null ids make no large shard. The ranges depend on the rows alone, and no shard is named after
+a task. Within a shard records stand in order of page_id; a shard rolls over to its next file when
 the compressed file has `file_bytes`. Headers and digests are made anew from the payload. A task
 writes under a temporary name and renames when a file is whole, so a lost executor's second
 attempt replaces the same files with the same bytes; the manifest, written last, names every
 file with its records, bytes and SHA-1, and a reader follows the manifest alone.
 
 Defined results: a null html is an empty payload; null urls are written as empty; records without
-a page_id stand in the first shard, after a first one that they may refer to; of equal payloads
-of `revisit_from` bytes or more the smallest page_id (nulls last) is the response, and of repeated
-rows of it the first in order of url; an empty table gives an empty manifest.
+a page_id stand in the last shards, and may refer to one that has it; of equal payloads of
+`revisit_from` bytes or more the smallest page_id (nulls last) is the response, and of repeated
+rows of it, or if none has a page_id, the first in order of url; an empty table gives an empty
+manifest.
 """
 
 from __future__ import annotations
@@ -24,20 +27,24 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, new_dir, text_of
+from .common import in_frames, keep, new_dir, text_of
 
 
 @dataclass(frozen=True)
 class Settings:
-    """date: WARC-Date of every record, so that equal rows give equal files."""
+    """file_bytes: compressed bytes at which a shard goes on in its next file; shard_bytes: payload bytes of a shard, more
+    where `shards` of them would not do; date: WARC-Date of every record, so that equal rows give equal files.
+    """
 
-    file_bytes: int = 64 << 20
-    shard_bytes: int = 16 << 20
+    file_bytes: int = 4 << 20
+    shard_bytes: int = 32 << 20
+    shards: int = 20_000
     intervals: int = 16384
     revisit_from: int = 0
     date: str = "2000-01-01T00:00:00Z"
@@ -125,24 +132,58 @@ def planned(pages: DataFrame, s: Settings) -> tuple[DataFrame, int]:
     """The pages with shard, digest, revisit and refers_to."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), text_of("url").alias("url"), text_of("html").alias("html"))
     small = keep(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("size")), "digests")
-    first = small.where(F.col("size") >= s.revisit_from).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("sha", "first_id")
+    first = small.where(F.col("size") >= s.revisit_from).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("sha", "first_id", F.lit(True).alias("repeated"))
     first = keep(first, "first")
-    low, high, total = small.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // s.intervals))
-    interval = F.coalesce(F.floor((F.col("page_id") - low) / F.lit(width)), F.lit(0)).cast("int")
-    # at most `intervals` rows come to the driver, and go out again as a broadcast
-    sizes = sorted(tuple(r) for r in small.groupBy(interval.alias("interval")).agg(F.sum("size")).collect())
+    most = max(s.shard_bytes, -(-(small.agg(F.sum("size")).first()[0] or 0) // s.shards))
+    path_of, sizes = _ranges(small, most, s)
     shards, held, number = [], 0, 0
-    for i, size in sizes:
-        if held and held + size > s.shard_bytes:
+    for path, size in sizes:
+        if held and held + size > most:
             held, number = 0, number + 1
-        held += size or 0
-        shards.append((i, number))
-    cut = pages.sparkSession.createDataFrame(shards, "interval int, shard int") if shards else pages.sparkSession.createDataFrame([], "interval int, shard int")
-    dealt = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("interval", interval).join(F.broadcast(cut), "interval")
+        held += size
+        shards.append((path, number))
+    cut = pages.sparkSession.createDataFrame(shards, "path array<long>, shard int")
+    dealt = path_of(rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))).join(F.broadcast(cut), "path")
     marked = dealt.join(_bounded(first), "sha", "left")
-    return marked.select("shard", "page_id", "url", "html", "sha", F.col("first_id").alias("refers_to"), F.col("first_id").isNotNull().alias("repeated")), number + 1
+    return marked.select("shard", "page_id", "url", "html", "sha", F.col("first_id").alias("refers_to"), F.col("repeated").isNotNull().alias("repeated")), number + 1
+
+
+def _ranges(small: DataFrame, most: int, s: Settings):
+    """A function that adds `path`, the interval of a row and those within it, to rows with page_id and sha; and the bytes of each path in order.
+
+    At most `intervals` rows come to the driver and, for each range of more than `most` bytes, four for each shard that
+    it makes, or 4096 for an id.
+    """
+    spark, steps, by_digest = small.sparkSession, [], set()
+    low, high = small.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high = low or 0, high or 0
+    digest = F.shiftright(F.conv(F.substring("sha", 1, 8), 16, 10).cast("long"), 20)
+    number = lambda low, width: F.expr(f"cast((cast(page_id as decimal(20,0)) - {low}) div {width} as long)")
+    start = F.when(F.col("page_id").isNull(), F.array(F.lit(1).cast("long"), digest)).otherwise(F.array(F.lit(0).cast("long"), number(low, -(-(high - low + 1) // s.intervals))))
+
+    def path_of(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("path", start)
+        for step in steps:
+            within = F.when(F.col("low").isNull(), digest).otherwise(number("low", "width"))
+            rows = rows.join(F.broadcast(step), "path", "left")
+            rows = rows.withColumn("path", F.when(F.col("width").isNull(), F.col("path")).otherwise(F.concat("path", F.array(within)))).drop("low", "width")
+        return rows
+
+    while True:
+        found = path_of(small).groupBy("path").agg(F.sum("size").alias("size"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).collect()
+        sizes = sorted((list(r.path), r["size"] or 0, r.low, r.high) for r in found)
+        more = []
+        for path, size, least, greatest in sizes:
+            if size <= most or path[0] == 1 or tuple(path[:-1]) in by_digest:
+                continue
+            if least == greatest:
+                by_digest.add(tuple(path))
+                more.append((path, None, Decimal(1)))
+            else:
+                more.append((path, Decimal(least), Decimal(-(-(greatest - least + 1) // (4 * -(-size // most))))))
+        if not more:
+            return path_of, [(path, size) for path, size, _, _ in sizes]
+        steps.append(spark.createDataFrame(more, "path array<long>, low decimal(20,0), width decimal(20,0)"))
 
 
 def _bounded(side: DataFrame, most: int = 500_000) -> DataFrame:
@@ -166,11 +207,10 @@ def write(pages: DataFrame, folder: str, settings: Settings | None = None) -> Da
                         shard.close()
                         done += shard.done
                     shard = Shard(fs, path, r.shard, s)
-                page_id = None if pd.isna(r.page_id) else int(r.page_id)
-                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
+                page_id, refers = r.page_id, r.refers_to
                 payload = r.html.encode("utf-8")
                 # repeated rows of the response stand in a row: only the first is the response
-                is_first = page_id is not None and page_id == refers and last != (page_id, r.sha)
+                is_first = page_id == refers and last != (page_id, r.sha)
                 last = (page_id, r.sha)
                 shard.add(record_of(page_id, r.url, payload, base32(payload), refers, bool(r.repeated) and not is_first, s))
         if shard is not None:
@@ -180,7 +220,8 @@ def write(pages: DataFrame, folder: str, settings: Settings | None = None) -> Da
 
     sorted_rows = rows.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "sha", "url")
     temporary = f"{folder}/_manifest"
-    sorted_rows.mapInPandas(run, MANIFEST).write.json(temporary)
+    texts = sorted_rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    texts.mapInPandas(run, MANIFEST).write.json(temporary)
     return pages.sparkSession.read.schema(MANIFEST).json(temporary)
 
 
@@ -209,7 +250,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pd.DataFrame(found, columns=NAMES)
 
     files = manifest.select("file", "records", "sha1").repartition(max(1, min(spark.sparkContext.defaultParallelism * 4, manifest.count())), "file")
-    return files.mapInPandas(run, RECORDS)
+    return in_frames(files, run, RECORDS, ("page_id", "refers_to"))
 
 
 NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
@@ -234,7 +275,7 @@ class Hashed(io.RawIOBase):
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:
     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    number = lambda name: int(headers[name]) if headers.get(name) else None
+    number = lambda name: headers.get(name) or None
     if f"sha1:{base32(block)}" != headers["WARC-Block-Digest"]:
         raise ValueError("a block is not as its digest says")
     revisit, payload = headers["WARC-Type"] == "revisit", None
@@ -242,7 +283,7 @@ def _row(headers: dict[str, str], block: bytes) -> tuple:
         payload = block[block.index(b"\r\n\r\n") + 4 :]
         if base32(payload) != digest:
             raise ValueError("a payload is not as its digest says")
-    size = number("WARC-Payload-Length") if revisit else len(payload)
+    size = int(headers["WARC-Payload-Length"]) if revisit else len(payload)
     return number("WARC-Page-ID"), size, digest, "revisit" if revisit else "response", number("WARC-Refers-To-Page-ID") if revisit else None, headers.get("WARC-Target-URI", ""), payload and payload.decode("utf-8")
 
 

@@ -31,3 +31,16 @@ def test_equals_the_library(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
     assert bpe.digest(documents.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_long_words_in_pieces():
+    """Words of 100,000 letters, and short ones cut small, get the library's ids."""
+    import random
+
+    want, rng = encoding(), random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "a" * 100_001, "ing" * 30_000, "日本語" * 9_000]
+    codec = bpe.Codec(PATH, P.PATTERN, bpe.Settings())
+    assert [list(x) for x in codec.encode(words)] == [want.encode_ordinary(w) for w in words]
+    small = bpe.Codec(PATH, P.PATTERN, bpe.Settings(long=12, piece=7))
+    words = ["".join(rng.choice(["a", "ab", "th", "e", "in", "g", "é", "日", "-"]) for _ in range(rng.randint(8, 60))) for _ in range(200)]
+    assert [list(x) for x in small.encode(words)] == [want.encode_ordinary(w) for w in words]

@@ -66,6 +66,54 @@ def test_windows_change_nothing():
     rows = made(60, 4)
     model = tx.train([(t, lang, y) for _, t, lang, y in rows], SMALL)
     texts = [t for _, t, _, _ in rows]
-    whole = model.scores(texts, tx.Vocabulary(SMALL))
-    model.settings = tx.Settings(buckets=1 << 12, epochs=2, filters=4, window=7)
-    assert np.allclose(whole, model.scores(texts, tx.Vocabulary(SMALL)))
+    whole = model.scores(texts, tx.Known(model))
+    model.settings = tx.Settings(buckets=1 << 12, epochs=2, filters=4, window=7, cache=50)
+    assert np.allclose(whole, model.scores(texts, tx.Known(model)))
+
+
+def loss(model, ids, buckets, label):
+    pooled, _ = model.read(ids, model.matrix(buckets))
+    z = np.maximum(pooled, 0) @ model.head + model.offset
+    return float(np.log1p(np.exp(-z if label else z)))
+
+
+def test_gradients_against_differences():
+    s = tx.Settings(buckets=64, size=4, filters=3, prefixes=(3,))
+    rows = [(t, lang, y) for _, t, lang, y in made(80, 5)]
+    model = tx.train(rows, tx.Settings(buckets=64, size=4, filters=3, prefixes=(3,), epochs=1))
+    vocabulary = tx.Vocabulary(s)
+    ids = vocabulary.encode(rows[0][0])
+    buckets = np.asarray(vocabulary.rows)
+    for name in ("table", "head"):
+        setattr(model, name, getattr(model, name).astype(float))
+    model.kernels, model.biases = [k.astype(float) for k in model.kernels], [b.astype(float) for b in model.biases]
+    for label in (0, 1):
+        found = tx.gradients(model, ids, buckets, label)
+        table = np.zeros_like(model.table)
+        for at, change in found["table"]:
+            for b in at:
+                table[b] += change
+        pairs = [(model.head, found["head"]), (model.table, table), *zip(model.kernels, found["kernels"], strict=True), *zip(model.biases, found["biases"], strict=True)]
+        for values, grads in pairs:
+            for spot in np.ndindex(*values.shape) if values.size < 60 else [np.unravel_index(i, values.shape) for i in np.flatnonzero(grads)[:20]]:
+                kept = values[spot]
+                values[spot] = kept + 1e-5
+                up = loss(model, ids, buckets, label)
+                values[spot] = kept - 1e-5
+                down = loss(model, ids, buckets, label)
+                values[spot] = kept
+                assert abs((up - down) / 2e-5 - grads[spot]) < 1e-4
+
+
+def test_training_beats_the_start(spark):
+    """Held-out log loss on the given tables: the trained network's is below that of the embeddings it starts from."""
+    where = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+
+    def held_out(s):
+        rows = [(r.score, truth[r.doc_id]) for r in tx.score(documents, labels, s).collect() if r.held_out and r.doc_id in truth]
+        p, y = np.clip(np.array([r[0] for r in rows]), 1e-3, 1 - 1e-3), np.array([r[1] for r in rows])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    assert held_out(tx.Settings()) < held_out(tx.Settings(epochs=0))

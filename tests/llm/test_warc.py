@@ -60,3 +60,22 @@ def test_a_second_reader_agrees():
     found = list(warc.records_of(io.BytesIO(one + two)))
     assert [h["WARC-Type"] for h, _ in found] == ["response", "revisit"]
     assert found[0][1].endswith(b"\r\n\r\nabc") and found[0][0]["WARC-Target-URI"] == "http://xy"
+
+
+def test_hot_and_distant_ids(spark):
+    """A far id, null ids and an id of many rows are cut into shards of their own; ids over 2 ** 53 stay what they are."""
+    data = [(i, "u", f"<p>{i}</p>" * 20) for i in range(300)] + [(2**62 + 1, "u", "<i>far</i>"), (-(2**63), "u", "<i>low</i>")]
+    data += [(None, "u", f"<b>{i}</b>" * 20) for i in range(200)] + [(7, f"u{i}", f"<u>{i}</u>" * 20) for i in range(200)]
+    data += [(None, "a", "<i>twice</i>"), (None, "b", "<i>twice</i>")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    s, folder = warc.Settings(file_bytes=400, shard_bytes=2000, intervals=64), new_dir(spark, "warc")
+    manifest = warc.write(pages, folder, s)
+    most = manifest.groupBy("shard").count().agg({"count": "max"}).first()[0]
+    assert manifest.select("shard").distinct().count() > 20 and most > 1
+    got = warc.read(manifest, folder)
+    want = [r for r in brute(data) if r[4] is not None or r[0] is not None or "twice" not in str(r)]
+    twice = base64.b32encode(hashlib.sha1(b"<i>twice</i>").digest()).decode()
+    rows_ = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()]
+    assert sorted((r for r in rows_ if r[2] != twice), key=str) == [r for r in want if r[2] != twice]
+    assert sorted(r[3] for r in rows_ if r[2] == twice) == ["response", "revisit"]
+    assert max(r.records for r in manifest.collect()) < 100
