@@ -50,8 +50,16 @@ def fold_of(column: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some megabytes instead of ten thousand rows of any length, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b"):
+        spark.conf.set(name, "2m")
+
+
 def in_frames(rows: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """mapInPandas with ids carried as text: beside a null, pandas turns whole numbers into floats, and those over 2 ** 53 change."""
+    small_batches(rows.sparkSession)
     declared = StructType.fromDDL(schema)
     carried = StructType([StructField(f.name, StringType()) if f.name in ids else f for f in declared])
     found = rows.withColumns({c: F.col(c).cast("string") for c in ids if c in rows.columns}).mapInPandas(run, carried)

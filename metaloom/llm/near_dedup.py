@@ -70,7 +70,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words; a worker remembers up to `most` of them."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.seen: dict[str, int] = {}
         self.most = most
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_frames, keep, text_of
+from .common import in_frames, keep, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "checksum", "list", "near", "edges", "shape")
@@ -358,5 +358,6 @@ def redact(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
             out.append("".join(parts) + text[end:])
         return pd.Series(out, dtype=object)
 
+    small_batches(documents.sparkSession)
     hidden = documents.withColumn("text", hide(F.col("text").cast("string")))
     return hidden.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else hidden

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, in_frames, text_of
+from .common import fold_of, in_frames, small_batches, text_of
 
 WORD = re.compile(r"\w+")
 CUT = 0.7
@@ -46,7 +46,7 @@ class Settings:
     rate: float = 0.05
     seed: int = 7
     window: int = 1 << 15
-    cache: int = 100_000
+    cache: int = 60_000
 
 
 class Vocabulary:
@@ -348,4 +348,5 @@ def keep_clean(documents: DataFrame, labels: DataFrame, settings: Settings | Non
         for part in parts:
             yield pd.Series(model.value.scores(part.tolist(), known))
 
+    small_batches(documents.sparkSession)
     return documents.where(rate(text_of()) < CUT)
