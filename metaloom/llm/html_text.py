@@ -33,12 +33,12 @@ class Settings:
 
 
 # What HTML says of its elements.
-HEAD = frozenset("base link meta noframes noscript script style template title".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas meta link".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure hr".split())
-BLOCKS = SPACED | frozenset("html body div section article aside nav header footer main address form fieldset legend details summary li dt dd tr caption figcaption center dir thead tbody tfoot td th option optgroup".split())
+HEAD = frozenset(("base", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
+UNSEEN = frozenset(("head", "script", "style", "title", "template", "noscript", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "meta", "link"))
+SPACED = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "menu", "dl", "table", "pre", "blockquote", "figure", "hr"))
+BLOCKS = SPACED | frozenset(("html", "body", "div", "section", "article", "aside", "nav", "header", "footer", "main", "address", "form", "fieldset", "legend", "details", "summary", "li", "dt", "dd", "tr", "caption", "figcaption", "center", "dir", "thead", "tbody", "tfoot", "td", "th", "option", "optgroup"))
 #: A start tag closes the nearest of the first names, unless one of the second stands in between.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -55,7 +55,7 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 CLOSE_P = (BLOCKS - {"td", "th", "tr", "li", "dt", "dd", "caption", "thead", "tbody", "tfoot", "option", "optgroup", "html", "body", "legend"}) | {"li", "dt", "dd"}
-P_SCOPE = frozenset("td th table caption button object body html li".split())
+P_SCOPE = frozenset(("td", "th", "table", "caption", "button", "object", "body", "html", "li"))
 MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
