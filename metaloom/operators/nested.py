@@ -25,4 +25,7 @@ def distinct_ordered(rows: DataFrame, keys: list[str], order: str, value: str, n
     """keys, name: the different values by their first place in order, the first `most` of them or all."""
     firsts = rows.groupBy(*keys, value).agg(F.min(order).alias("_first"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value])
-    return firsts.groupBy(*keys).agg((listed if most is None else F.slice(listed, 1, most)).alias(name))
+    if most is not None:  # ranked before they are collected, so that a hub's list is never built whole
+        place = f"row_number() over (partition by {', '.join(keys)} order by _first, {value})"
+        firsts = firsts.withColumn("_place", F.expr(place)).where(F.col("_place") <= most)
+    return firsts.groupBy(*keys).agg(listed.alias(name))

@@ -13,8 +13,8 @@ UNTITLED = "Без названия"
 # What is dropped, what holds the content, what HTML never closes.
 DROPPED = frozenset(("script", "style", "noscript"))
 CHROME = re.compile(r"nav|menu|sidebar|footer|header")
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-PARAGRAPHS = frozenset("p div section article main body table ul ol dl blockquote form header footer nav aside pre figure".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+PARAGRAPHS = frozenset(("p", "div", "section", "article", "main", "body", "table", "ul", "ol", "dl", "blockquote", "form", "header", "footer", "nav", "aside", "pre", "figure"))
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 

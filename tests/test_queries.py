@@ -5,8 +5,10 @@ import pytest
 
 import __spark_entry__ as entry
 from metaloom import catalog_queries as cq
+from metaloom import index_queries as iq
 
 TABLES = (*cq.TABLES, "benchmark", "labels")
+QUERIES, ORACLE_SQL = cq.QUERIES | iq.QUERIES, cq.ORACLE_SQL | iq.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -21,15 +23,15 @@ def value(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(cq.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = cq.QUERIES[name](spark, "/root/testdata/sf0.001")
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
     columns = sorted(df.columns)
     got = sorted((tuple(map(value, r)) for r in df.select(columns).collect()), key=repr)
-    if name not in cq.ORACLE_SQL:
+    if name not in ORACLE_SQL:
         assert got
         return
-    found = db.execute(cq.ORACLE_SQL[name])
+    found = db.execute(ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted((tuple(value(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
