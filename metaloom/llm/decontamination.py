@@ -28,10 +28,7 @@ from pyspark.sql import functions as F
 from .common import keep, text_of
 
 TOKEN = "[\\p{L}\\p{N}]+"
-#: Masks of the SQL that checks the query; it may miss passages that TIERS find.
-MASKS = ((0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 5, 6, 8, 11), (0, 1, 2, 5, 8, 10, 11))
 SHORT = 5
-SHORT_MASK = tuple(range(SHORT))
 #: Least tokens of an item and its masks: offsets of the tokens that a mask looks at; the first is looked at by all.
 TIERS = (
     (20, ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 1, 2, 4, 5, 6))),
@@ -47,10 +44,6 @@ class Settings:
     broadcast_rows: int = 1_000_000
 
 
-def span(masks: tuple[tuple[int, ...], ...]) -> int:
-    return 1 + max(max(m) for m in masks)
-
-
 def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 

@@ -70,21 +70,17 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
 }
 
+
 def _decontamination_sql() -> str:
-    """The same seeds and windows; a seed is its tokens as text instead of a hash of them."""
-    key = lambda mask: " || ' ' || ".join(f"h[pos + {o}]" for o in mask)
-    seeds = lambda source, masks, where: " UNION ALL ".join(f"SELECT *, {i} AS mask, {key(m)} AS seed FROM {source} WHERE pos + {decontamination.span(masks) - 1} <= len(h) AND {where}" for i, m in enumerate(masks))
-    long, short = decontamination.MASKS, (decontamination.SHORT_MASK,)
-    words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
-    return f"""WITH d AS (SELECT doc_id, {words} AS h FROM documents), b AS (SELECT DISTINCT item_id, {words} AS h FROM benchmark),
-dp AS (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS pos FROM d), bp AS (SELECT item_id, h, unnest(range(1, len(h) + 1)) AS pos FROM b),
-ds AS ({seeds("dp", long, "true")}), bs AS ({seeds("bp", long, "true")}),
-ds2 AS ({seeds("dp", short, "true")}), bs2 AS ({seeds("bp", short, f"len(h) < {decontamination.span(long)}")}),
-hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.h AS h, bs.h AS item, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (mask, seed)
-  UNION SELECT ds2.doc_id, bs2.item_id, ds2.h, bs2.h, ds2.pos - bs2.pos FROM ds2 JOIN bs2 USING (mask, seed)),
-same AS (SELECT doc_id, item_id, least(20, len(item)) AS wide, list_transform(range(1, len(item) + 1), lambda i: CASE WHEN diagonal + i >= 1 AND h[diagonal + i] = item[i] THEN 1 ELSE 0 END) AS same FROM hits),
-best AS (SELECT doc_id, item_id, wide, list_max(list_transform(range(1, len(same) - wide + 2), lambda i: list_sum(same[i:i + wide - 1]))) AS agreed FROM same)
-SELECT doc_id, item_id, max(agreed)::INTEGER AS agreed FROM best WHERE agreed >= ceil(wide * 0.8) GROUP BY doc_id, item_id"""
+    """No seeds: every diagonal of every document and item on which enough tokens agree, and its best window."""
+    s, words = decontamination.Settings(), "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {words} AS h FROM documents),
+b AS (SELECT row_number() OVER () AS j, * FROM (SELECT DISTINCT item_id, {words} AS h FROM benchmark)),
+dp AS (SELECT k, doc_id, unnest(h) AS token, generate_subscripts(h, 1) AS pos FROM d),
+bp AS (SELECT j, item_id, len(h) AS n, least({s.window}, len(h)) AS wide, unnest(h) AS token, generate_subscripts(h, 1) AS pos FROM b WHERE len(h) >= {decontamination.SHORT}),
+diagonals AS (SELECT k, j, doc_id, item_id, n, wide, list(bp.pos) AS same FROM dp JOIN bp USING (token) GROUP BY k, j, doc_id, item_id, n, wide, dp.pos - bp.pos HAVING count(*) >= ceil(wide * {s.agree})),
+best AS (SELECT doc_id, item_id, wide, list_max(list_transform(range(1, n - wide + 2), lambda i: len(list_filter(same, lambda p: p >= i AND p < i + wide)))) AS agreed FROM diagonals)
+SELECT doc_id, item_id, max(agreed)::INTEGER AS agreed FROM best WHERE agreed >= ceil(wide * {s.agree}) GROUP BY doc_id, item_id"""
 
 
 ORACLE_SQL: dict[str, str] = {
