@@ -1,10 +1,10 @@
 """Byte-level BPE in DuckDB: encoding by recursive queries, decoding by ordered aggregation.
 
 Each Python worker holds an in-memory DuckDB with two tables made from the rank file: `tokens`
-(id, bytes as hex) and `merges` (left id, right id, rank), a row for every way to cut a token in
-two tokens. A partition's distinct words that the worker hasn't met yet become token-position
-rows; a recursive query joins neighbours with `merges` and contracts each word's leftmost pair of
-least rank until none is left. Rounds are bounded per query, and words that need more go through
+(id, bytes as hex) and `merges` (both ids in one number, rank), a row for every way to cut a token
+in two tokens. A partition's distinct words that the worker hasn't met yet become token-position
+rows, keyed by both in one number; a recursive query joins neighbours with `merges` and contracts
+each word's leftmost pair of least rank until none is left. Rounds are bounded per query, and words that need more go through
 it again, so memory stays in proportion to the words however long one is.
 
 A word over `long` bytes is contracted in pieces by the same query, since a round costs its whole
@@ -21,9 +21,11 @@ are each encoded; bytes of ids outside the vocabulary raise an error; special to
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,11 +38,11 @@ from .common import in_frames, text_of
 
 @dataclass(frozen=True)
 class Settings:
-    """cache: bytes that a worker remembers distinct words in, about; long, piece: bytes from which words are cut, and of
+    """cache: bytes that a worker remembers distinct words in, about, half of them for words met lately; long, piece: bytes from which words are cut, and of
     a piece; the rest bounds what one DuckDB query holds.
     """
 
-    cache: int = 200_000_000
+    cache: int = 240_000_000
     long: int = 1000
     piece: int = 256
     query_bytes: int = 400_000
@@ -49,23 +51,23 @@ class Settings:
 
 
 ENCODE = """
-WITH RECURSIVE step(word, pos, id, round) AS (
-    SELECT word, pos, id, 0::INTEGER FROM start_rows
+WITH RECURSIVE step(key, id, round) AS (
+    SELECT key, id, 0::INTEGER FROM start_rows
     UNION ALL
-    SELECT p.word, p.pos - (p.pos > b.hit)::INTEGER, CASE WHEN p.pos = b.hit THEN b.rank ELSE p.id END, p.round + 1
+    SELECT p.key - (p.key > b.hit)::INTEGER, CASE WHEN p.key = b.hit THEN b.rank ELSE p.id END, p.round + 1
     FROM step p JOIN (
-        SELECT word, (min(best) >> 32)::INTEGER AS rank, (min(best) & 4294967295)::INTEGER AS hit
+        SELECT word, word << 32 | (best & 4294967295) AS hit, (best >> 32)::INTEGER AS rank
         FROM (
-            SELECT n.word, m.rank::BIGINT * 4294967296 + n.pos AS best
-            FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM step) n
-            JOIN merges m ON n.id = m.l AND n.next = m.r
-        ) GROUP BY word
-    ) b ON p.word = b.word
-    WHERE p.round < {rounds} AND p.pos <> b.hit + 1
+            SELECT a.key >> 32 AS word, min(m.rank::BIGINT << 32 | (a.key & 4294967295)) AS best
+            FROM step a JOIN step n ON n.key = a.key + 1 JOIN merges m ON m.pair = (a.id::BIGINT << 32 | n.id)
+            GROUP BY a.key >> 32
+        )
+    ) b ON p.key >> 32 = b.word
+    WHERE p.round < {rounds} AND p.key <> b.hit + 1
 )
-SELECT word, list(id ORDER BY pos) AS ids, round FROM step
-WHERE (word, round) IN (SELECT (word, max(round)) FROM step GROUP BY word)
-GROUP BY word, round
+SELECT s.key >> 32 AS word, s.id, s.round
+FROM step s JOIN (SELECT key >> 32 AS word, max(round) AS last FROM step GROUP BY 1) m ON s.key >> 32 = m.word AND s.round = m.last
+ORDER BY s.key
 """
 
 DECODE = """
@@ -92,6 +94,7 @@ class Codec:
         import duckdb
         import regex
 
+        gc.set_threshold(200_000, 20, 50)  # words and entries are many and hold no cycles
         self.s, self.words = s, regex.compile(pattern)
         ranks = {}
         with open(path, "rb") as lines:
@@ -106,11 +109,12 @@ class Codec:
         self.sound: bool | None = None
         #: word -> its ids as text, the bytes they decode to, their number
         self.known: dict[str, tuple[str, bytes, int]] = {}
+        self.older: dict[str, tuple[str, bytes, int]] = {}
         self.held = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._table("tokens", {"id": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
-        left, right, rank = (np.array(x, np.int32) for x in zip(*cuts, strict=True)) if cuts else (np.zeros(0, np.int32),) * 3
-        self._table("merges", {"l": left, "r": right, "rank": rank})
+        left, right, rank = (np.array(x, np.int64) for x in zip(*cuts, strict=True)) if cuts else (np.zeros(0, np.int64),) * 3
+        self._table("merges", {"pair": left << 32 | right, "rank": rank.astype(np.int32)})
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -119,16 +123,19 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words, by as many queries as their bytes ask for. A word that is itself a token is that token."""
-        found = {w: [whole] for w in words if (whole := self.ranks.get(w.encode("utf-8"))) is not None}
-        rest = [w for w in words if w not in found]
-        coded = [w.encode("utf-8") for w in rest]
-        short = [i for i, c in enumerate(coded) if len(c) <= self.s.long or not self._pieces_fit()]
-        found |= zip((rest[i] for i in short), self.contracted([coded[i] for i in short]), strict=True)
-        found |= {w: self._long(c) for w, c in zip(rest, coded, strict=True) if w not in found}
-        for w, text in zip(found, self.decode([np.array(ids, np.int32) for ids in found.values()]), strict=True):
-            ids = ",".join(map(str, found[w]))
-            self.known[w] = ids, text, len(found[w])
-            self.held += 350 + 2 * len(w) + len(ids) + len(text)  # what Python takes for an entry
+        coded = [w.encode("utf-8") for w in words]
+        found = {c: [whole] for c in coded if (whole := self.ranks.get(c)) is not None}
+        rest = [c for c in coded if c not in found]
+        short = [c for c in rest if len(c) <= self.s.long or not self._pieces_fit()]
+        found |= zip(short, self.contracted(short), strict=True)
+        found |= {c: self._long(c) for c in rest if c not in found}
+        every = [found[c] for c in coded]
+        for w, ids, text in zip(words, every, self._texts(_flat(every), np.array([len(x) for x in every], np.int64)), strict=True):
+            self._hold(w, (",".join(map(str, ids)), text, len(ids)))
+
+    def _hold(self, word: str, entry: tuple[str, bytes, int]) -> None:
+        self.known[word] = entry
+        self.held += 350 + 2 * len(word) + len(entry[0]) + len(entry[1])  # what Python takes for an entry
 
     def contracted(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words, by as many queries as their bytes ask for."""
@@ -138,7 +145,10 @@ class Codec:
             while end < len(words) and (end == len(out) or size + len(words[end]) <= self.s.query_bytes):
                 size += len(words[end])
                 end += 1
-            out += self._query([self.byte[np.frombuffer(w, np.uint8)] for w in words[len(out) : end]])
+            part = words[len(out) : end]
+            ids, lengths = self._query(self.byte[np.frombuffer(b"".join(part), np.uint8)], np.array([len(w) for w in part], np.int64))
+            ends, ids = np.cumsum(lengths).tolist(), ids.tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
     def _pieces_fit(self) -> bool:
@@ -171,35 +181,30 @@ class Codec:
             parts = [ids for ids in after if ids]
             k *= 2
 
-    def _query(self, rows: list[np.ndarray]) -> list[list[int]]:
-        """Ids of words given as the ids of their bytes."""
-        known: dict[int, list[int]] = {i: [] for i, x in enumerate(rows) if not len(x)}
-        open_ = [i for i in range(len(rows)) if i not in known]
-        while open_:
-            here = [rows[i] for i in open_]
-            lengths = np.array([len(x) for x in here])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            pos = np.arange(lengths.sum()) - np.repeat(starts, lengths)
-            self._table("start_rows", {"word": np.repeat(np.arange(len(open_), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "id": np.concatenate(here).astype(np.int32)})
-            found = self.db.execute(ENCODE.format(rounds=self.s.rounds)).to_arrow_table()
-            left = []
-            for w, ids, r in zip(found["word"].to_pylist(), found["ids"].to_pylist(), found["round"].to_pylist(), strict=True):
-                i = open_[w]
-                if r >= self.s.rounds:
-                    rows[i] = np.array(ids, np.int32)
-                    left.append(i)
-                else:
-                    known[i] = ids
-            open_ = left
-        return [known[i] for i in range(len(rows))]
+    def _query(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row and their numbers, from the ids of their bytes given likewise."""
+        count = len(lengths)
+        names, done = np.arange(count), []
+        while len(names):
+            pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            self._table("start_rows", {"key": np.repeat(np.arange(len(names)), lengths) << 32 | pos, "id": ids.astype(np.int32)})
+            found = self.db.execute(ENCODE.format(rounds=self.s.rounds)).fetchnumpy()
+            word, ids, left = found["word"], found["id"], found["round"] >= self.s.rounds
+            done.append((names[word[~left]], ids[~left]))
+            again, lengths = np.unique(word[left], return_counts=True)
+            names, ids = names[again], ids[left]
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=count)
 
     def split(self, texts: list[str]) -> Iterator[list[tuple]]:
-        """For each text what is known of its words, in order."""
-        if self.held > self.s.cache:
-            self.known.clear()
-            self.held = 0
+        """For each text what is known of its words, in order. Words that were not met lately are forgotten first."""
+        if self.held > self.s.cache // 2:
+            self.older, self.known, self.held = self.known, {}, 0
         parts = [self.words.findall(t) for t in texts]
-        self.learn(list({w for p in parts for w in p if w not in self.known}))
+        met = set().union(*parts).difference(self.known)
+        for w in met & self.older.keys():
+            self._hold(w, self.older.pop(w))
+        self.learn([w for w in met if w not in self.known])
         for p in parts:
             yield list(map(self.known.__getitem__, p))
 
@@ -208,14 +213,14 @@ class Codec:
 
     def decode(self, coded: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id sequence."""
-        out, at = [b""] * len(coded), 0
-        while at < len(coded):
-            end, size = at, 0
-            while end < len(coded) and (end == at or size + len(coded[end]) <= self.s.query_tokens):
-                size += len(coded[end])
-                end += 1
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded[at:end]])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded[at:end]).astype(np.int32)))
+        return self._texts(np.concatenate(coded) if coded else np.zeros(0, np.int32), np.array([len(x) for x in coded], np.int64))
+
+    def _texts(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """The bytes of id sequences that stand in a row, by as many queries as their ids ask for."""
+        out, ends, at = [b""] * len(lengths), np.concatenate([[0], np.cumsum(lengths)]), 0
+        while at < len(lengths):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + self.s.query_tokens, "right")) - 1)
+            lists = pa.ListArray.from_arrays(pa.array((ends[at : end + 1] - ends[at]).astype(np.int32)), pa.array(ids[ends[at] : ends[end]].astype(np.int32)))
             self.db.register("coded", pa.table({"doc": pa.array(np.arange(at, end)), "ids": lists}))
             for doc, text, whole in self.db.execute(DECODE).fetchall():
                 if not whole:
@@ -226,6 +231,10 @@ class Codec:
         return out
 
 
+def _flat(parts: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(parts), np.int32)
+
+
 def chunks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `most` characters."""
     at, size = 0, 0
