@@ -86,7 +86,8 @@ def embedded(rows: DataFrame, column: str, model: Provider) -> DataFrame:
         for part in parts:
             yield pd.Series(model(part.tolist()), index=part.index)
 
-    return rows.withColumn("embedding", run(column))
+    # not deterministic, or a filter on the result would run it again, and below joins that spare it most rows
+    return rows.withColumn("embedding", run.asNondeterministic()(column))
 
 
 def query_vector(model: Provider, text: str) -> list[float]:

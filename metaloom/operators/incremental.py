@@ -53,6 +53,29 @@ def ledger_after(ledger: DataFrame, updates: DataFrame) -> DataFrame:
     return ledger.join(counted.select(*keys), keys, "left_anti").unionByName(counted.select(ledger.columns))
 
 
+def functions_after(ledger: DataFrame, updates: DataFrame) -> DataFrame:
+    """The ledger of definitions (path, function_name, collection, hash, indexed_at) after updates: the last one of a key holds."""
+    keys = ["path", "function_name", "collection"]
+    last = last_write_wins(updates, keys, ["indexed_at"])
+    return ledger.join(last.select(*keys), keys, "left_anti").unionByName(last.select(ledger.columns))
+
+
+def forgotten(ledger: DataFrame, files: DataFrame, collection: str) -> DataFrame:
+    """A ledger, of files or of definitions, without what it has of these files (path) in a collection: they are new again."""
+    gone = files.select("path", F.lit(collection).alias("collection"))
+    return ledger.join(gone, ["path", "collection"], "left_anti")
+
+
+def cleared(ledger: DataFrame, collection: str | None = None) -> DataFrame:
+    """A ledger or a table of vectors without one collection, or empty."""
+    return ledger.where(F.lit(False) if collection is None else ~F.col("collection").eqNullSafe(collection))
+
+
+def file_status(ledger: DataFrame, listing: DataFrame, collection: str) -> DataFrame:
+    """path, status of each file for a collection: listing (path, hash) against what the ledger has of it."""
+    return snapshot_diff(ledger.where(F.col("collection") == collection), listing, "path", "hash")
+
+
 def retry_queue(ledger: DataFrame, collection: str | None = None, max_retries: int = 3) -> DataFrame:
     rows = ledger.where((F.col("status") == "failed") & (F.col("retry_count") < max_retries))
     if collection is not None:

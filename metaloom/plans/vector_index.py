@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths
 from ..operators import chunks, incremental
 from ..operators.embedding import Provider, embedded
+from ..sources import code, decode, files, reports
 from ..sources.help import help_rows
+from . import build as build_plans
 from . import vocabulary as words
+from .build import Index
 from .catalog import Catalog, chunk_table
 from .shared import keep
+from .vocabulary import Vocabulary
 
 COLUMNS = ["id", "source_file", "full_path", "object_type", "name", "functions", "module_type", "is_export", "chunk_index", "content"]
 
 
 @dataclass(frozen=True)
 class Config:
-    """Sizes of chunks; bodies of fewer lines than `least_lines` are left out."""
+    """Sizes of chunks; bodies of fewer lines than `least_lines` are left out. Mode `fast` makes no vectors, `full` does."""
 
     mode: str = "fast"
     chunk: int = 1000
@@ -53,6 +59,24 @@ def code_chunks(catalog: Catalog, config: Config | None = None) -> DataFrame:
     return _numbered(chunks.function_chunks(rows, keys, F.col("summary"), header, F.col("body"), c.whole).withColumnRenamed("chunk", "content").withColumn("object_type", F.lit("function")), "source_file", "name")
 
 
+def file_chunks(records: DataFrame, chunked: DataFrame, config: Config | None = None, v: Vocabulary | None = None) -> DataFrame:
+    """Modules of which `chunked` has no definition, cut: names of what they define, then their text.
+
+    records: what sources.code.file_records gives, with module keys as paths.
+    """
+    from ..sources.files import skipped
+
+    c, v = config or Config(), v or Vocabulary()
+    rest = records.where(~skipped(F.col("path"), list(c.skip))).join(chunked.select(F.col("source_file").alias("path")), "path", "left_anti")
+    names = F.when(F.size("function_names") > 0, F.concat(F.lit(f"{words.DEFINED}: "), F.array_join("function_names", ", "), F.lit("\n\n"))).otherwise("")
+    key = F.to_json(F.struct(F.col("path").alias("source_file"), "name", F.array_join("function_names", ",").alias("functions")))
+    parts = chunks.chunks(rest.select(key.alias("_k"), F.concat(names, "content").alias("content")), "_k", "content", c.chunk, c.overlap)
+    rows = parts.select(F.from_json("_k", "source_file string, name string, functions string").alias("k"), "chunk_index", F.col("chunk").alias("content")).select("k.*", "chunk_index", "content")
+    module_type = paths.module_type(F.col("source_file"))
+    rows = rows.withColumns({"module_type": module_type, "full_path": F.concat_ws(".", paths.owner(F.col("source_file"), list(v.owner_folders)), module_type), "object_type": F.lit("module"), "is_export": F.lit(False)})
+    return _numbered(rows, "source_file", "name")
+
+
 def metadata_chunks(objects: DataFrame, config: Config | None = None) -> DataFrame:
     """objects: what sources.reports.report_objects gives."""
     c = config or Config()
@@ -71,6 +95,59 @@ def help_chunks(pages: DataFrame, config: Config | None = None) -> DataFrame:
     return _numbered(parts, "source_file", "name")
 
 
+def tree_chunks(spark: SparkSession, index: Index, root: str, config: Config | None = None, v: Vocabulary | None = None) -> dict[str, DataFrame]:
+    """Chunks of all collections of a tree: definitions and modules without any; help pages; objects of text reports, where the index has none of its own."""
+    modules = files.texts(spark, root, "*.bsl").withColumn("path", F.col("module_key"))
+    defined = code_chunks(Catalog(index), config)
+    found = {"code": defined.unionByName(file_chunks(code.file_records(modules, v), defined, config, v))}
+    pages = files.texts(spark, root, "*.html", decode.HELP).select("path", F.col("text").alias("html"))
+    found["help"] = help_chunks(pages, config)
+    if index.objects.isEmpty():
+        found["metadata"] = metadata_chunks(reports.report_objects(files.texts(spark, root, "*.txt", decode.REPORT).select("path", "text")), config)
+    return found
+
+
+def refresh(spark: SparkSession, root: str, before: str | None, after: str, provider: Provider | None = None, config: Config | None = None, v: Vocabulary | None = None, force: bool = False) -> dict:
+    """Brings an index up to date as a new snapshot in the folder `after`, and tells what was done.
+
+    Without `before`, with an empty index there, or by `force` all is built; else what changed. Vectors are made in
+    mode `full`, which needs a provider; those of unchanged chunks are taken over, whoever made them, so a later
+    provider works on changes alone. The answer has changed_files, deleted_files, mode, stats and counts of vectors.
+    """
+    c = config or Config()
+    if c.mode == "full" and provider is None:
+        raise ValueError("mode full needs a provider")
+    old = None if before is None or force else build_plans.load(spark, f"{before}/tables")
+    if old is None or old.files.isEmpty():
+        index, old = build_plans.rebuild(spark, root, after, v), None
+        changed, deleted = index.files.count(), 0
+    else:
+        index, counts = build_plans.update(old, spark, root, f"{after}/tables", v)
+        changed, deleted = sum(counts.get(x, 0) for x in ("new", "modified")), counts.get("deleted", 0)
+    done = {"changed_files": changed, "deleted_files": deleted, "mode": c.mode, "stats": Catalog(index).stats().first().asDict()}
+    if c.mode == "full":
+        parts = tree_chunks(spark, index, root, c, v)
+        if old is None or not _has(spark, f"{before}/vectors"):
+            rows = build(spark, parts, provider, f"{after}/vectors")
+        else:
+            stored = spark.read.parquet(f"{before}/vectors")
+            fresh = reduce(DataFrame.unionByName, (df.withColumn("collection", F.lit(name)) for name, df in parts.items()))
+            delta(stored, fresh, stored, provider).write.mode("overwrite").partitionBy("collection").parquet(f"{after}/vectors")
+            rows = spark.read.parquet(f"{after}/vectors")
+        done["vectors"] = {r["collection"]: r["count"] for r in rows.groupBy("collection").count().collect()}
+    return done
+
+
+def _has(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written there."""
+    try:
+        return bool(spark.read.parquet(folder).columns)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
 def build(spark: SparkSession, parts: dict[str, DataFrame], provider: Provider, folder: str) -> DataFrame:
     """Embeds and writes all collections, partitioned by collection."""
     chunk_table(spark, parts, provider).write.mode("overwrite").partitionBy("collection").parquet(folder)

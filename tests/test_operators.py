@@ -95,6 +95,18 @@ def test_ledger(spark):
     assert [r.path for r in incremental.swept(after, after.where("path = 'a'"), "code").collect()] == ["b"]
 
 
+def test_ledger_of_definitions(spark):
+    schema = "path string, function_name string, collection string, hash string, indexed_at long"
+    ledger = spark.createDataFrame([("a", "f", "code", "1", 1), ("a_b", "f", "code", "2", 1), ("a", "f", "help", "3", 1)], schema)
+    after = incremental.functions_after(ledger, spark.createDataFrame([("a", "f", "code", "old", 4), ("a", "f", "code", "new", 5), ("c", None, "code", "9", 5)], schema))
+    have = lambda df: sorted((r.path, r.collection, r.hash) for r in df.collect())
+    assert have(after) == [("a", "code", "new"), ("a", "help", "3"), ("a_b", "code", "2"), ("c", "code", "9")]
+    assert have(incremental.forgotten(after, spark.createDataFrame([("a",), ("a%",)], "path string"), "code")) == [("a", "help", "3"), ("a_b", "code", "2"), ("c", "code", "9")]
+    assert have(incremental.cleared(after, "code")) == [("a", "help", "3")] and incremental.cleared(after).isEmpty()
+    listing = spark.createDataFrame([("a", "new"), ("a_b", "x"), ("d", "1")], "path string, hash string")
+    assert {r.path: r.status for r in incremental.file_status(after, listing, "code").collect()} == {"a": "unchanged", "a_b": "modified", "c": "deleted", "d": "new"}
+
+
 def test_chunks(spark):
     long = "\n\n".join(f"Paragraph {i}. " + "word " * 80 for i in range(20)) + "x" * 2500
     parts = chunks.split(long)

@@ -36,6 +36,38 @@ def test_config():
             vi.Config(**bad)
 
 
+def test_refresh_of_a_tree(spark, tmp_path):
+    root, long = tmp_path / "in", "Процедура Длинная()\n" + "    А = 1;\n" * 6 + "КонецПроцедуры\n"
+    put = {"src/CommonModules/M/Ext/Module.bsl": long, "src/CommonModules/N/Ext/Module.bsl": "// only statements\nА = 1;\n", "src/CommonModules/K/Ext/Module.bsl": "Процедура Мала()\nКонецПроцедуры\n", "Help/A/x.html": "<title>T</title><body><p>text</p></body>", "r.txt": '- Справочники.Валюты\n\tСиноним: "Все"\n'}
+    for name, text in put.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return hashed(texts)
+
+    with pytest.raises(ValueError):
+        vi.refresh(spark, str(root), None, str(tmp_path / "v0"), config=vi.Config(mode="full"))
+    first = vi.refresh(spark, str(root), None, str(tmp_path / "v1"), Provider(counted), vi.Config(mode="full"))
+    assert first["changed_files"] == 3 and first["deleted_files"] == 0 and first["stats"]["symbols"] == 2
+    assert first["vectors"] == {"code": 3, "help": 1, "metadata": 1}
+    rows = {r.source_file.split("/")[1]: r for r in spark.read.parquet(str(tmp_path / "v1/vectors")).where("collection = 'code'").collect()}
+    assert rows["M"].object_type == "function" and rows["M"].name == "Длинная"
+    assert (rows["N"].object_type, rows["N"].full_path, rows["N"].content) == ("module", "N.CommonModule", "// only statements\nА = 1;")
+    assert rows["K"].functions == "Мала" and rows["K"].content.startswith("Определяет: Мала\n\n") and rows["K"].is_export is False
+
+    (root / "src/CommonModules/N/Ext/Module.bsl").write_text("// other statements\n")
+    (root / "src/CommonModules/K/Ext/Module.bsl").unlink()
+    start = calls.value
+    second = vi.refresh(spark, str(root), str(tmp_path / "v1"), str(tmp_path / "v2"), Provider(counted), vi.Config(mode="full"))
+    assert (second["changed_files"], second["deleted_files"], second["vectors"]) == (1, 1, {"code": 2, "help": 1, "metadata": 1})
+    assert calls.value - start == 1
+    third = vi.refresh(spark, str(root), str(tmp_path / "v2"), str(tmp_path / "v3"), force=True)
+    assert third["mode"] == "fast" and third["changed_files"] == 2 and "vectors" not in third
+
+
 def test_stream_of_modules(spark, tmp_path):
     root = tmp_path / "in" / "src" / "CommonModules" / "M" / "Ext"
     root.mkdir(parents=True)
