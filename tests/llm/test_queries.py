@@ -25,5 +25,5 @@ def test_query(spark, small, name):
 
 def test_all_are_registered():
     known = entry.queries()
-    assert "pipeline" in known and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES}
+    assert "pipeline" in known and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in queries.QUERIES}
     assert set(queries.QUERIES) <= set(known)
