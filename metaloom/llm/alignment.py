@@ -11,8 +11,8 @@ cuts (`cuts_at_blanks`), a unit is a whole text, and all else stays.
 
 The number of documents in which a pair of ids is linked is counted over the different pairs of each
 document. Units meet their documents in two ways that together cover all: the `frequent` most common short
-units are broadcast, all others are joined by a shuffle; each document comes from one exchange, so neither
-frequent units nor long documents are gathered.
+units are broadcast, all others are joined by a shuffle. Documents and encoded units are written as tables bucketed by the
+task that writes them, so what groups the units of a document, or the tokens of a unit, shuffles nothing.
 
 Defined results: null and empty texts have no tokens, nor have texts where a side's tokens don't give back
 the bytes; they count zero and have '' as digest. Repeated rows and repeated or null ids are each answered, and each
@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import functools
 import os
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ SHIFT = 1 << 24
 @dataclass(frozen=True)
 class Settings:
     #: At most so many units are broadcast, of so many bytes each at most.
-    frequent: int = 1 << 18
+    frequent: int = 1 << 19
     frequent_bytes: int = 64
 
 
@@ -117,52 +117,66 @@ def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 @contextmanager
-def _co_partitioned(spark: SparkSession):
-    """Within, rows dealt by unit are joined by unit and more keys as they lie."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def _as_dealt(spark: SparkSession):
+    """Within, rows are joined, windowed and grouped where they lie, if they lie by some of the keys; and tables are read by their buckets."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    tables: list[str] = []
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
-        yield
+        yield tables
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _lying(rows: DataFrame, tables: list[str]) -> DataFrame:
+    """The rows as a table bucketed by `task`, the task that writes them: each task writes one file, nothing is shuffled,
+    and whatever is grouped by task and more keys later isn't either."""
+    name = f"alignment_{uuid.uuid4().hex[:12]}"
+    tables.append(name)
+    n = min(max(rows.rdd.getNumPartitions(), 1), 50_000)
+    rows.withColumn("task", F.spark_partition_id()).write.bucketBy(n, "task").saveAsTable(name)
+    return rows.sparkSession.table(name)
 
 
 def tokens(rows: DataFrame, side: str) -> DataFrame:
-    """no, place, id, end: a row for each token of a side, with the byte at which it ends."""
-    each = rows.select("no", F.posexplode(F.arrays_zip(F.col(f"{side}_ids").alias("id"), F.col(f"{side}_sizes").alias("size"))).alias("place", "t"))
-    so_far = Window.partitionBy("no").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("no", "place", "t.id", F.sum("t.size").over(so_far).alias("end"))
+    """task, no, place, id, end: a row for each token of a side, with the byte at which it ends."""
+    each = rows.select("task", "no", F.posexplode(F.arrays_zip(F.col(f"{side}_ids").alias("id"), F.col(f"{side}_sizes").alias("size"))).alias("place", "t"))
+    so_far = Window.partitionBy("task", "no").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("task", "no", "place", "t.id", F.sum("t.size").over(so_far).alias("end"))
 
 
 def grouped(mine: DataFrame, other: DataFrame) -> DataFrame:
-    """no, part, place, id: tokens with the number of cuts before them. A cut is an end that the other side has too."""
-    cut = mine.join(other.select("no", "end", F.lit(1).alias("cut")), ["no", "end"], "left")
-    before = Window.partitionBy("no").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return cut.select("no", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int").alias("part"), "place", "id")
+    """task, no, part, place, id: tokens with the number of cuts before them. A cut is an end that the other side has too."""
+    cut = mine.join(other.select("task", "no", "end", F.lit(1).alias("cut")), ["task", "no", "end"], "left")
+    before = Window.partitionBy("task", "no").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.select("task", "no", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int").alias("part"), "place", "id")
 
 
 def parts_of(rows: DataFrame, side: str) -> DataFrame:
     ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string")), ",")
-    return rows.groupBy("no", "part").agg(ids.alias(f"{side}_list"), F.count("*").alias(f"{side}_size"))
-
-
-def aligned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For encoded units: (no, n_a, n_b, n_groups, n_links, groups) and (no, a, b, times), the pairs of ids linked in each."""
-    with _co_partitioned(rows.sparkSession):
-        dealt = rows.where("ok").repartition("no")
-        ends = {s: tokens(dealt, s) for s in "ab"}
-        sides = {"a": keep(grouped(ends["a"], ends["b"]), "side_a"), "b": keep(grouped(ends["b"], ends["a"]), "side_b")}
-        both = parts_of(sides["a"], "a").join(parts_of(sides["b"], "b"), ["no", "part"])
-        line = F.struct("part", F.concat_ws("|", "a_list", "b_list").alias("text"))
-        text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), ";").alias("groups")
-        sums = [F.sum("a_size").alias("n_a"), F.sum("b_size").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("a_size") * F.col("b_size")).alias("n_links")]
-        units = keep(both.groupBy("no").agg(*sums, text), "aligned")
-        # equal ids of a group are counted before the sides meet, so a group of n tokens makes no n * n rows unless all differ
-        counted = {s: sides[s].groupBy("no", "part", F.col("id").alias(s)).agg(F.count("*").alias(f"{s}_times")) for s in "ab"}
-        met = counted["a"].join(counted["b"], ["no", "part"])
-        links = keep(met.groupBy("no", "a", "b").agg(F.sum(F.col("a_times") * F.col("b_times")).alias("times")), "links")
-    return units, links
+    return rows.groupBy("task", "no", "part").agg(ids.alias(f"{side}_list"), F.count("*").alias(f"{side}_size"))
+
+
+def aligned(rows: DataFrame) -> DataFrame:
+    """For encoded units (task, no, ..): n_a, n_b, n_groups, n_links, groups, and links, the different pairs of ids linked in each with their times."""
+    fine = rows.where("ok")
+    ends = {s: tokens(fine, s) for s in "ab"}
+    sides = {"a": grouped(ends["a"], ends["b"]), "b": grouped(ends["b"], ends["a"])}
+    both = parts_of(sides["a"], "a").join(parts_of(sides["b"], "b"), ["task", "no", "part"])
+    line = F.struct("part", F.concat_ws("|", "a_list", "b_list").alias("text"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), ";").alias("groups")
+    sums = [F.sum("a_size").alias("n_a"), F.sum("b_size").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("a_size") * F.col("b_size")).alias("n_links")]
+    # equal ids of a group are counted before the sides meet, so a group of n tokens makes no n * n rows unless all differ
+    counted = {s: sides[s].groupBy("task", "no", "part", F.col("id").alias(s)).agg(F.count("*").alias(f"{s}_times")) for s in "ab"}
+    pair = (F.col("a") * F.lit(SHIFT).cast("long") + F.col("b")).alias("pair")
+    met = counted["a"].join(counted["b"], ["task", "no", "part"]).groupBy("task", "no", pair).agg(F.sum(F.col("a_times") * F.col("b_times")).alias("times"))
+    links = met.groupBy("task", "no").agg(F.collect_list(F.struct("pair", "times")).alias("links"))
+    return both.groupBy("task", "no").agg(*sums, text).join(links, ["task", "no"])
 
 
 # texts from their units
@@ -186,58 +200,54 @@ def _met(rows: DataFrame, payload: DataFrame, s: Settings, aggregates: list) ->
     """Aggregates by row of rows (row, .., unit) with what payload has for their units: of frequent units and of others."""
     frequent, others = _split(payload, s)
     known = F.broadcast(frequent.drop("docs"))
-    first = rows.join(known, "unit").groupBy("row").agg(*aggregates)
-    rest = rows.join(F.broadcast(frequent.select("unit")), "unit", "left_anti").join(others.drop("docs"), "unit").groupBy("row").agg(*aggregates)
+    first = rows.join(known, "unit").groupBy("task", "row").agg(*aggregates)
+    rest = rows.join(F.broadcast(frequent.select("unit")), "unit", "left_anti").join(others.drop("docs"), "unit").groupBy("task", "row").agg(*aggregates)
     return [first, rest]
 
 
 def align(documents: DataFrame, a_path: str, b_path: str, settings: Settings | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (`a1,a2|b1;..`) of every row."""
-    s = settings or Settings()
-    spark = documents.sparkSession
-    whole = F.concat(F.lit(" "), text_of())
-    units = F.split(whole, CUT, -1) if cuts_at_blanks(a_path, b_path) else F.array(whole)
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(text_of() != "", units).alias("units"))
-    rows = rows.repartition("row").persist(StorageLevel.DISK_ONLY)
-    try:
-        each = rows.select(F.explode(F.array_distinct("units")).alias("unit")).groupBy("unit").agg(F.count("*").alias("docs"))
-        known = keep(each.withColumn("no", F.monotonically_increasing_id()), "units")
-        coded = keep(encoded(known, a_path, b_path), "encoded")
-        sums, links = aligned(coded)
-        links = links.withColumn("pair", F.col("a") * F.lit(SHIFT).cast("long") + F.col("b"))
-
-        # documents of each pair: its units' pairs, each once
-        pairs = links.groupBy("no").agg(F.collect_list("pair").alias("pairs"))
-        of_unit = known.join(coded.select("no", "ok"), "no").join(pairs, "no", "left").select("unit", "docs", "ok", "pairs")
-        once = rows.select("row", F.explode(F.array_distinct("units")).alias("unit"))
-        first, rest = _met(once, keep(of_unit, "unit_pairs"), s, [F.min("ok").alias("ok"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")])
-        joined = first.join(rest.select("row", F.col("ok").alias("ok2"), F.col("pairs").alias("pairs2")), "row", "full")
-        none = F.array().cast("array<bigint>")
-        union = F.array_union(F.coalesce("pairs", none), F.coalesce("pairs2", none))
-        linked = joined.where(F.coalesce("ok", F.lit(True)) & F.coalesce("ok2", F.lit(True))).select(F.explode(union).alias("pair"))
-        counts = keep(linked.groupBy("pair").agg(F.count("*").alias("docs")), "pair_docs")
-
-        # what each unit adds to n_best and count_sum
-        best = counts.groupBy(F.floor(F.col("pair") / SHIFT).alias("a")).agg(F.max("docs").alias("most"))
-        rated = counts.withColumn("a", F.floor(F.col("pair") / SHIFT)).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))
-        added = links.select("no", "pair", "times").join(rated, "pair").groupBy("no").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
-        names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-        full = known.join(coded.select("no", "ok"), "no").join(sums, "no", "left").join(added, "no", "left")
-        full = keep(full.select("unit", "docs", "ok", "groups", *names), "unit_sums")
-
-        placed = rows.select("row", F.posexplode("units").alias("place", "unit"))
-        lists = [F.min("ok").alias("ok"), F.collect_list(F.struct("place", "groups")).alias("listed"), *(F.sum(n).alias(n) for n in names)]
-        first, rest = _met(placed, full, s, lists)
-        rest = rest.select("row", *(F.col(c).alias(f"{c}_2") for c in rest.columns if c != "row"))
-        out = rows.select("row", "doc_id").join(first, "row", "left").join(rest, "row", "left")
-        fine = F.coalesce("ok", "ok_2").isNotNull() & F.coalesce("ok", F.lit(True)) & F.coalesce("ok_2", F.lit(True))
-        empty = F.array().cast("array<struct<place:int,groups:string>>")
-        text = F.array_join(F.transform(F.sort_array(F.concat(F.coalesce("listed", empty), F.coalesce("listed_2", empty))), lambda x: x["groups"]), ";")
-        zero = F.lit(0).cast("long")
-        summed = [F.when(fine, F.coalesce(n, zero) + F.coalesce(f"{n}_2", zero)).otherwise(zero).alias(n) for n in names]
-        return keep(out.select("doc_id", *summed, F.when(fine, text).alias("groups")), "alignment")
-    finally:
-        rows.unpersist()
+    with _as_dealt(documents.sparkSession) as tables:
+        return keep(_align(documents, a_path, b_path, settings or Settings(), tables), "alignment")
+
+
+def _align(documents: DataFrame, a_path: str, b_path: str, s: Settings, tables: list[str]) -> DataFrame:
+    rows = _lying(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of().alias("text")), tables)
+    whole = F.concat(F.lit(" "), "text")
+    cut = F.split(whole, CUT, -1) if cuts_at_blanks(a_path, b_path) else F.array(whole)
+    full = rows.where(F.col("text") != "")
+    once = full.select("task", "row", F.explode(F.array_distinct(cut)).alias("unit"))
+    known = keep(once.groupBy("unit").agg(F.count("*").alias("docs")).withColumn("no", F.monotonically_increasing_id()), "units")
+    coded = _lying(encoded(known, a_path, b_path), tables)
+    found = keep(known.join(coded.select("no", "ok"), "no").join(aligned(coded).drop("task"), "no", "left"), "aligned")
+
+    # documents of each pair: its units' pairs, each once
+    pairs = F.transform("links", lambda x: x["pair"])
+    first, rest = _met(once, found.select("unit", "docs", "ok", pairs.alias("pairs")), s, [F.min("ok").alias("ok"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")])
+    joined = first.join(rest.select("task", "row", F.col("ok").alias("ok_2"), F.col("pairs").alias("pairs_2")), ["task", "row"], "full")
+    none = F.array().cast("array<bigint>")
+    union = F.array_union(F.coalesce("pairs", none), F.coalesce("pairs_2", none))
+    linked = joined.where(F.coalesce("ok", F.lit(True)) & F.coalesce("ok_2", F.lit(True))).select(F.explode(union).alias("pair"))
+    counts = keep(linked.groupBy("pair").agg(F.count("*").alias("docs")), "pair_docs")
+
+    # what each unit adds to n_best and count_sum
+    of_a = F.floor(F.col("pair") / SHIFT).alias("a")
+    best = counts.groupBy(of_a).agg(F.max("docs").alias("most"))
+    rated = counts.select("pair", F.col("docs").alias("held"), of_a).join(best, "a").select("pair", "held", (F.col("held") == F.col("most")).cast("long").alias("best"))
+    added = found.select("no", F.explode("links").alias("l")).select("no", "l.*").join(rated, "pair").groupBy("no").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("held")).alias("count_sum"))
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    summed = keep(found.join(added, "no", "left").select("unit", "docs", "ok", "groups", *names), "unit_sums")
+
+    placed = full.select("task", "row", F.posexplode(cut).alias("place", "unit"))
+    first, rest = _met(placed, summed, s, [F.min("ok").alias("ok"), F.collect_list(F.struct("place", "groups")).alias("listed"), *(F.sum(n).alias(n) for n in names)])
+    rest = rest.select("task", "row", *(F.col(c).alias(f"{c}_2") for c in rest.columns if c not in ("task", "row")))
+    out = rows.select("task", "row", "doc_id").join(first, ["task", "row"], "left").join(rest, ["task", "row"], "left")
+    fine = F.coalesce("ok", "ok_2").isNotNull() & F.coalesce("ok", F.lit(True)) & F.coalesce("ok_2", F.lit(True))
+    empty = F.array().cast("array<struct<place:int,groups:string>>")
+    text = F.array_join(F.transform(F.sort_array(F.concat(F.coalesce("listed", empty), F.coalesce("listed_2", empty))), lambda x: x["groups"]), ";")
+    zero = F.lit(0).cast("long")
+    total = [F.when(fine, F.coalesce(n, zero) + F.coalesce(f"{n}_2", zero)).otherwise(zero).alias(n) for n in names]
+    return out.select("doc_id", *total, F.when(fine, text).alias("groups"))
 
 
 def digest(documents: DataFrame, a_path: str, b_path: str, settings: Settings | None = None) -> DataFrame:
