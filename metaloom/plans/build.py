@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, paths
 from ..operators import graph, incremental, joins
 from ..operators.lookup import folded
+from ..operators.postings import Postings
 from ..sources import code, files, xml
 from .vocabulary import Vocabulary
 
@@ -102,3 +103,26 @@ def update(index: Index, spark: SparkSession, root: str, folder: str, v: Vocabul
     after = Index(**{f.name: tables.get(f.name, getattr(index, f.name)) for f in fields(Index)}).save(folder)
     status.unpersist()
     return after, counts
+
+
+def index_words(index: Index, folder: str) -> Postings:
+    """The words of all bodies with their positions, for greps."""
+    return Postings.write(_bodies(index.bodies), "words", folder)
+
+
+def index_types(index: Index, folder: str) -> Postings:
+    """The trigrams of all types that attributes have, each type once."""
+    types = index.attributes.select("type_ref").unionByName(index.tab_part_attributes.select("type_ref")).where("type_ref is not null").distinct()
+    return Postings.write(types.select(F.xxhash64("type_ref").alias("doc"), F.col("type_ref").alias("text")), "trigrams", folder)
+
+
+def reindexed_words(words: Postings, before: Index, after: Index, folder: str) -> Postings:
+    """The index of `before` with a segment of what `update` changed: bodies that are gone, new, or another text under their id."""
+    old, new = (i.bodies.select("symbol_id", F.xxhash64("body", "path", "function_name", "line_start").alias("print")) for i in (before, after))
+    gone = old.join(new, ["symbol_id", "print"], "left_anti").select(F.col("symbol_id").alias("doc"))
+    fresh = after.bodies.join(new.join(old, ["symbol_id", "print"], "left_anti").select("symbol_id"), "symbol_id", "left_semi")
+    return words.updated(_bodies(fresh), gone, folder)
+
+
+def _bodies(bodies: DataFrame) -> DataFrame:
+    return bodies.select(F.col("symbol_id").alias("doc"), F.col("body").alias("text"), "path", "function_name", "line_start")

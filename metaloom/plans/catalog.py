@@ -1,4 +1,4 @@
-"""The named queries of the index: each gives a DataFrame, and none runs before its rows are asked for."""
+"""The named queries of the index: each gives a DataFrame. Lookups of one thing write its row first; greps by an index ask how much it finds."""
 
 from __future__ import annotations
 
@@ -12,17 +12,23 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import shortened
-from ..operators import lookup, nested, ranking, text, vectors
+from ..operators import joins, lookup, nested, ranking, text, vectors
 from ..operators.embedding import Provider, embedded, query_vector
+from ..operators.postings import Postings
 from . import vocabulary as words
 from .build import Index
+from .shared import keep
 
 
 class Catalog:
-    """Queries over one snapshot. `fold` is by case in any alphabet throughout."""
+    """Queries over one snapshot. `fold` is by case in any alphabet throughout.
 
-    def __init__(self, index: Index):
-        self.i = index
+    With an index of the words of bodies (`build.index_words`), greps read the postings of their words and the texts these
+    name; with one of the trigrams of attribute types (`build.index_types`), references are looked up there. Rows are the same without.
+    """
+
+    def __init__(self, index: Index, words: Postings | None = None, types: Postings | None = None):
+        self.i, self.words, self.types = index, words, types
         self.placed = index.symbols.join(index.files.select("file_id", F.col("path").alias("module_path"), "module_type", "object_name"), "file_id")
 
     # lookups
@@ -46,10 +52,13 @@ class Catalog:
         last = full_name.rpartition(".")[2]
         tier = F.when(F.col("full_name") == full_name, 0).when(lookup.folded("name") == last.lower(), 1)
         one = self.i.objects.withColumn("tier", tier).where("tier is not null").orderBy("tier", "object_id").limit(1)
-        attributes = self.i.attributes.groupBy("object_id").agg(_by("pos", F.struct(F.col("name"), F.col("type_ref").alias("type"), F.col("is_required").alias("required")), "attributes"))
-        inner = self.i.tab_part_attributes.groupBy("tab_part_id").agg(_by("pos", F.struct(F.col("name"), F.col("type_ref").alias("type")), "inner"))
-        parts = self.i.tab_parts.join(inner, "tab_part_id", "left").groupBy("object_id").agg(_by("pos", F.struct(F.col("name"), F.col("inner").alias("attributes")), "tab_parts"))
-        moves = self.i.register_movements.groupBy(F.col("document_id").alias("object_id")).agg(F.array_sort(F.collect_set("register_name")).alias("registers"))
+        one = _one(one)
+        of = lambda rows, key, owner, at: rows.join(F.broadcast(owner.select(F.col(at).alias(key))), key, "left_semi")
+        attributes = of(self.i.attributes, "object_id", one, "object_id").groupBy("object_id").agg(_by("pos", F.struct(F.col("name"), F.col("type_ref").alias("type"), F.col("is_required").alias("required")), "attributes"))
+        sections = of(self.i.tab_parts, "object_id", one, "object_id")
+        inner = self.i.tab_part_attributes.join(sections.select("tab_part_id"), "tab_part_id", "left_semi").groupBy("tab_part_id").agg(_by("pos", F.struct(F.col("name"), F.col("type_ref").alias("type")), "inner"))
+        parts = sections.join(inner, "tab_part_id", "left").groupBy("object_id").agg(_by("pos", F.struct(F.col("name"), F.col("inner").alias("attributes")), "tab_parts"))
+        moves = of(self.i.register_movements, "document_id", one, "object_id").groupBy(F.col("document_id").alias("object_id")).agg(F.array_sort(F.collect_set("register_name")).alias("registers"))
         return one.join(attributes, "object_id", "left").join(parts, "object_id", "left").join(moves, "object_id", "left").select("name", "object_type", "synonym", "full_name", "attributes", "tab_parts", "registers")
 
     def find_references_to(self, full_name: str) -> DataFrame:
@@ -58,7 +67,13 @@ class Catalog:
         flat = self.i.attributes.join(self.i.objects, "object_id").select(F.col("full_name").alias("referencing_object"), self.i.attributes["name"].alias("attribute_name"), F.col("type_ref").alias("attribute_type"))
         inner = self.i.tab_part_attributes.withColumnRenamed("name", "attribute_name").join(self.i.tab_parts.select("tab_part_id", "object_id", F.col("name").alias("part")), "tab_part_id").join(self.i.objects.select("object_id", "full_name"), "object_id")
         inner = inner.select(F.concat_ws(".", "full_name", "part").alias("referencing_object"), "attribute_name", F.col("type_ref").alias("attribute_type"))
-        return flat.unionByName(inner).where(lookup.has_substring("attribute_type", name)).distinct().orderBy("referencing_object", "attribute_name")
+        rows = flat.unionByName(inner)
+        if self.types is not None:
+            named = self.types.containing(name).select(F.col("text").alias("attribute_type"))
+            rows = rows.join(F.broadcast(named) if named.limit(100_001).count() <= 100_000 else named, "attribute_type", "left_semi")
+        else:
+            rows = rows.where(lookup.has_substring("attribute_type", name))
+        return rows.distinct().orderBy("referencing_object", "attribute_name")
 
     # the graph
 
@@ -66,7 +81,7 @@ class Catalog:
         """The one symbol a name means: where the hint fits first, then exports, then rank."""
         fits = (lookup.has_substring("module_path", hint) | (lookup.folded("object_name") == hint.lower())) if hint else F.lit(False)
         rows = self.placed.where(lookup.folded("name") == name.lower()).withColumn("object_matched", F.coalesce(fits, F.lit(False)))
-        return rows.orderBy(F.desc("object_matched"), F.desc("is_export"), F.desc("centrality"), "symbol_id").limit(1)
+        return _one(rows.orderBy(F.desc("object_matched"), F.desc("is_export"), F.desc("centrality"), "symbol_id").limit(1))
 
     def _callers(self, picked: DataFrame) -> DataFrame:
         """Symbols that call the picked one: by resolved edge, or by name where the edge has no end."""
@@ -79,25 +94,31 @@ class Catalog:
 
     def get_function_context(self, name: str, object_name: str | None = None) -> DataFrame:
         one = self._picked(name, object_name)
-        calls = self.i.edges.groupBy("src_symbol_id").agg(F.array_sort(F.collect_set("callee_name")).alias("calls")).withColumnRenamed("src_symbol_id", "symbol_id")
+        calls = self._of(self.i.edges, one).groupBy("src_symbol_id").agg(F.array_sort(F.collect_set("callee_name")).alias("calls")).withColumnRenamed("src_symbol_id", "symbol_id")
         callers = self._callers(one).groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("module", "name", "line_start"))).alias("called_by")).withColumnRenamed("target_id", "symbol_id")
         return one.join(F.broadcast(self._same_name(name))).join(calls, "symbol_id", "left").join(callers, "symbol_id", "left").select("name", "type", "params", "is_export", "module_path", "module_type", "line_start", "calls", "called_by", F.size(F.coalesce("called_by", F.array())).alias("called_by_count"), "ambiguous_definitions")
 
+    @staticmethod
+    def _of(rows: DataFrame, one: DataFrame) -> DataFrame:
+        """Rows of the picked symbol alone, before anything is grouped: its one id is broadcast."""
+        return rows.join(F.broadcast(one.select(F.col("symbol_id").alias("src_symbol_id"))), "src_symbol_id", "left_semi")
+
     def _same_name(self, name: str) -> DataFrame:
         return self.placed.where(lookup.folded("name") == name.lower()).agg(F.count("*").alias("ambiguous_definitions"))
 
     def read_function(self, name: str, budget_chars: int = 6000, object_name: str | None = None, include_body: bool = True) -> DataFrame:
         """The context of a function in one row: body, callees, callers, objects it touches, registers of its owner."""
         one = self._picked(name, object_name)
-        edges = self.i.edges.groupBy("src_symbol_id", "qualifier", "callee_name").agg(F.max("resolved").alias("resolved"), F.min("edge_type").alias("edge_type"), F.min("pos").alias("pos"))
+        edges = self._of(self.i.edges, one).groupBy("src_symbol_id", "qualifier", "callee_name").agg(F.max("resolved").alias("resolved"), F.min("edge_type").alias("edge_type"), F.min("pos").alias("pos"))
         callees = edges.groupBy(F.col("src_symbol_id").alias("symbol_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct((~F.col("resolved")).alias("open"), "pos", "callee_name", "qualifier", "edge_type", "resolved"))), lambda x: F.struct(x["callee_name"].alias("name"), x["qualifier"].alias("qualifier"), x["edge_type"].alias("edge_type"), x["resolved"].alias("resolved"))).alias("callees"))
         callers = self._callers(one).groupBy(F.col("target_id").alias("symbol_id")).agg(F.array_sort(F.collect_list(F.struct("name", "module", "line_start"))).alias("callers"))
-        touched = nested.distinct_ordered(self.i.query_refs, ["src_symbol_id"], "pos", "object_full_name", "touched_objects").withColumnRenamed("src_symbol_id", "symbol_id")
-        moves = self.i.register_movements.join(self.i.objects.select(F.col("object_id").alias("document_id"), F.col("name").alias("object_name")), "document_id").groupBy("object_name").agg(F.array_sort(F.collect_set("register_name")).alias("registers"))
+        touched = nested.distinct_ordered(self._of(self.i.query_refs, one), ["src_symbol_id"], "pos", "object_full_name", "touched_objects").withColumnRenamed("src_symbol_id", "symbol_id")
+        owner = self.i.objects.select(F.col("object_id").alias("document_id"), F.col("name").alias("object_name")).join(F.broadcast(one.select("object_name")), "object_name", "left_semi")
+        moves = self.i.register_movements.join(owner, "document_id").groupBy("object_name").agg(F.array_sort(F.collect_set("register_name")).alias("registers"))
         row = one.join(F.broadcast(self._same_name(name))).join(callees, "symbol_id", "left").join(callers, "symbol_id", "left").join(touched, "symbol_id", "left").join(moves, "object_name", "left")
         columns = ["name", "type", "params", "is_export", "module_path", "module_type", F.col("object_name").alias("owner"), "line_start", "line_end", "callees", "callers", "touched_objects", "registers", "ambiguous_definitions", F.lit(object_name).alias("requested_object"), "object_matched"]
         if include_body:
-            body = self.i.bodies.select("symbol_id", shortened(F.col("body"), budget_chars, "\n... [truncated]").alias("body"))
+            body = self.i.bodies.join(F.broadcast(one.select("symbol_id")), "symbol_id", "left_semi").select("symbol_id", shortened(F.col("body"), budget_chars, "\n... [truncated]").alias("body"))
             row, columns = row.join(body, "symbol_id", "left"), [*columns, "body"]
         return row.select(*columns)
 
@@ -144,8 +165,11 @@ class Catalog:
     def cards(self, path: str | None = None) -> DataFrame:
         """symbol, signature, module_type, owner, synonym, calls, touches, doc, summary of every symbol (of one module): one plan for all."""
         rows = self.placed if path is None else self.placed.where(F.col("module_path") == path)
-        calls = nested.distinct_ordered(self.i.edges.where("resolved"), ["src_symbol_id"], "pos", "callee_name", "calls", 15)
-        touches = nested.distinct_ordered(self.i.query_refs, ["src_symbol_id"], "pos", "object_full_name", "touches", 15)
+        return self._cards(rows, self.i.edges, self.i.query_refs)
+
+    def _cards(self, rows: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
+        calls = nested.distinct_ordered(edges.where("resolved"), ["src_symbol_id"], "pos", "callee_name", "calls", 15)
+        touches = nested.distinct_ordered(refs, ["src_symbol_id"], "pos", "object_full_name", "touches", 15)
         synonyms = self.i.objects.groupBy(F.col("name").alias("object_name")).agg(F.min_by("synonym", "object_id").alias("synonym"))
         rows = rows.join(calls.withColumnRenamed("src_symbol_id", "symbol_id"), "symbol_id", "left").join(touches.withColumnRenamed("src_symbol_id", "symbol_id"), "symbol_id", "left").join(synonyms, "object_name", "left")
         empty = F.array().cast("array<string>")
@@ -153,16 +177,19 @@ class Catalog:
         return rows.select(F.col("name").alias("symbol"), "signature", "module_type", F.col("object_name").alias("owner"), "synonym", "calls", "touches", "doc", card_text().alias("summary"), "module_path", "symbol_id", "is_export", "line_start")
 
     def card(self, name: str) -> DataFrame:
-        one = self._picked(name).select("symbol_id")
-        return self.cards().join(one, "symbol_id", "left_semi").drop("module_path", "symbol_id", "is_export", "line_start")
+        one = self._picked(name)
+        return self._cards(self.placed.join(F.broadcast(one.select("symbol_id")), "symbol_id", "left_semi"), self._of(self.i.edges, one), self._of(self.i.query_refs, one)).drop("module_path", "symbol_id", "is_export", "line_start")
 
     # text
 
     def code_grep(self, pattern: str, case_sensitive: bool = False, limit: int = 100) -> DataFrame:
         """Lines of definitions that hold the pattern, where the definition has its words: sorted, then cut, with a row that says so where more were found."""
-        bodies = self.i.bodies.withColumnRenamed("line_start", "first")
-        grams = re.findall(r"\w+", pattern)
-        bodies = text.token_prefix(bodies, "body", grams[0]) if len(grams) == 1 and "_" not in grams[0] else text.phrase(bodies, "body", pattern) if grams else bodies
+        if self.words is not None:
+            bodies = self.words.words(pattern).select("path", "function_name", F.col("line_start").alias("first"), F.col("text").alias("body"))
+        else:
+            bodies = self.i.bodies.withColumnRenamed("line_start", "first")
+            grams = re.findall(r"\w+", pattern)
+            bodies = text.token_prefix(bodies, "body", grams[0]) if len(grams) == 1 and "_" not in grams[0] else text.phrase(bodies, "body", pattern) if grams else bodies
         rows = text.grep(bodies, ["path", "function_name", "first"], "body", pattern, case_sensitive)
         types = self.i.files.select("path", "module_type")
         rows = rows.join(types, "path").select(F.col("path").alias("file"), (F.col("first") + F.col("line") - 1).alias("line"), F.col("content").alias("text"), F.col("function_name").alias("function"), "module_type", "context")
@@ -177,6 +204,11 @@ class Catalog:
         return reduce(lambda a, b: a.join(F.broadcast(b)), [*counts, edges, kinds])
 
 
+def _one(row: DataFrame) -> DataFrame:
+    """The one row, written: it is joined to several tables, and each join would look it up again."""
+    return keep(row, "picked")
+
+
 def _by(order: str, value: Column, name: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"]).alias(name)
 
@@ -206,10 +238,11 @@ def truncated(rows: DataFrame, limit: int, order: tuple[str, ...] = ("file", "li
 
 
 def scan_grep(texts: DataFrame, functions: DataFrame, pattern: str, case_sensitive: bool = False, limit: int = 20) -> DataFrame:
-    """Lines of whole files with the definition each stands in. texts: path, text; functions: path, name, line_start, line_end."""
+    """Lines of whole files with the definition each stands in, the one that starts last. texts: path, text (such as an index of
+    trigrams finds by `containing`); functions: path, name, line_start, line_end."""
     rows = text.grep(texts, ["path"], "text", pattern, case_sensitive)
-    inside = rows.join(functions.select("path", "name", "line_start", "line_end"), (rows.path == functions.path) & F.col("line").between(F.col("line_start"), F.col("line_end")), "left").drop(functions.path)
-    inner = inside.groupBy("path", "line", "content", "context").agg(F.max_by("name", "line_start").alias("function"))
+    met = joins.within(rows.select("path", "line").distinct(), "line", functions.select("path", "name", "line_start", "line_end"), "line_start", "line_end", 32, ["path"])
+    inner = rows.join(met.groupBy("path", "line").agg(F.max_by("name", F.struct("line_start", "name")).alias("function")), ["path", "line"], "left")
     out = inner.select(F.col("path").alias("file"), "line", F.col("content").alias("text"), F.coalesce("function", F.lit("module level")).alias("function"), paths.module_type(F.col("path")).alias("module_type"), "context")
     return truncated(out, limit)
 
