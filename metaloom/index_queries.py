@@ -8,13 +8,18 @@ other engines can say the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import incremental
+from .operators import graph, incremental
+from .operators.cells import Cells
+from .operators.postings import Postings
+from .plans import build
 from .plans.build import Index, handlers
-from .plans.catalog import Catalog
+from .plans.catalog import Catalog, scan_grep
+from .plans.shared import keep, new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,13 +169,18 @@ def catalog_verify_call(spark, d):
     return one.unionByName(more[0]).unionByName(more[1])
 
 
-@query("""SELECT true AS holds, 'attribute' AS "where", NULL::VARCHAR AS available FROM objects WHERE name = 'Customer#000000007' UNION ALL
-SELECT false, NULL, (SELECT string_agg(name, ',' ORDER BY pos) FROM (SELECT a.name, pos FROM attributes a JOIN objects o USING (object_id) WHERE o.name = 'Customer#000000007' ORDER BY pos LIMIT 30)) FROM objects WHERE name = 'Customer#000000007'""")
+ASKED = "('A0'), ('a3'), ('a6'), ('X1'), ('x4'), ('none')"
+
+
+@query(f""", f(field) AS (VALUES {ASKED}), o AS (SELECT * FROM objects WHERE name = 'Customer#000000007'),
+own AS (SELECT field, count(*) AS n FROM f JOIN attributes a ON lower(a.name) = lower(field) JOIN o USING (object_id) GROUP BY field),
+part AS (SELECT field, arg_min(p.name, p.tab_part_id) AS name FROM f JOIN tab_part_attributes i ON lower(i.name) = lower(field) JOIN tab_parts p USING (tab_part_id) JOIN o USING (object_id) GROUP BY field),
+w AS (SELECT field, CASE WHEN own.n > 0 THEN 'attribute' WHEN part.name IS NOT NULL THEN 'tab_part:' || part.name END AS place FROM f LEFT JOIN own USING (field) LEFT JOIN part USING (field))
+SELECT field, place IS NOT NULL AS holds, place AS "where", CASE WHEN place IS NULL THEN (SELECT string_agg(name, ',' ORDER BY pos) FROM (SELECT a.name, pos FROM attributes a JOIN o USING (object_id) ORDER BY pos LIMIT 30)) END AS available FROM w, o""")
 def catalog_verify_field(spark, d):
     c = catalog(spark, d)
-    first = c.get_object_details("Customer#000000007").select(F.get("attributes", F.lit(0))["name"].alias("n")).first()["n"]
-    rows = c.verify_field("Customer#000000007", first.upper()).unionByName(c.verify_field("Customer#000000007", "none"))
-    return rows.withColumn("available", joined("available"))
+    one, *more = (c.verify_field("Customer#000000007", name).withColumn("field", F.lit(name)) for name in ("A0", "a3", "a6", "X1", "x4", "none"))
+    return reduce(DataFrame.unionByName, more, one).withColumn("available", joined("available"))
 
 
 ALL_CARDS = """, c AS (SELECT src_symbol_id AS symbol_id, list(callee_name ORDER BY pos, callee_name) AS calls FROM (SELECT src_symbol_id, callee_name, min(pos) AS pos FROM edges WHERE resolved GROUP BY src_symbol_id, callee_name) GROUP BY src_symbol_id),
@@ -204,3 +214,123 @@ def ledger_changes(spark, d):
     now = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     listing = now.select(path, F.timestamp_seconds(F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1)).alias("mtime"), F.length("text").alias("size"))
     return incremental.detect_changes(stored, listing, now.select(path, F.encode("text", "utf-8").alias("content"))).select("path", "status")
+
+
+# indexes
+
+
+def _changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as they were, what is new of them, and which are gone."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), "text", "source", "lang")
+    fresh = docs.where("doc % 5 = 1 and doc % 7 <> 0").withColumn("text", F.concat(F.lit("Changed Words\nof the "), F.lower("text")))
+    return docs.where("doc % 3 <> 0"), fresh, docs.where("doc % 7 = 0").select("doc")
+
+
+NOW = """now AS (SELECT doc_id AS doc, CASE WHEN doc_id % 5 = 1 THEN 'Changed Words' || chr(10) || 'of the ' || lower(text) ELSE text END AS text, source, lang FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 3 <> 0 OR doc_id % 5 = 1))"""
+
+
+def updated_index(spark: SparkSession, d: str, kind: str) -> Postings:
+    """An index of documents after an update that adds, replaces and deletes."""
+    before, fresh, gone = _changed(spark, d)
+    return Postings.write(before, kind, new_dir(spark, kind)).updated(fresh, gone, new_dir(spark, kind))
+
+
+PATTERNS = ("the of", "Of THE with", "inter", "wit", "words\nof", "(of the", "keine", "xq")
+PHRASES = ", ".join("('" + p.replace("\n", "' || chr(10) || '") + "')" for p in PATTERNS)
+
+
+@query(f""", {NOW}, p(pattern) AS (VALUES {PHRASES}), w AS (SELECT pattern, regexp_extract_all(lower(pattern), '[\\p{{L}}\\p{{N}}]+') AS ws FROM p),
+t AS (SELECT doc, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS padded FROM now)
+SELECT pattern, doc FROM w, t WHERE contains(padded, ' ' || array_to_string(ws, ' ') || CASE WHEN len(ws) > 1 THEN ' ' ELSE '' END)""")
+def index_words(spark, d):
+    """Phrases, and beginnings of words, from the postings of their words alone."""
+    index = updated_index(spark, d, "words")
+    return reduce(DataFrame.unionByName, (index.words(p).select(F.lit(p).alias("pattern"), "doc") for p in PATTERNS))
+
+
+NEEDLES = ("e", "on", "ing t", "THE OF", "ß", "@", "in,", "Words of", "not in any of these texts")
+
+
+@query(f""", {NOW}, n(needle) AS (VALUES {", ".join(f"('{n}')" for n in NEEDLES)}) SELECT needle, doc, length(text)::INTEGER AS length FROM n, now WHERE contains(lower(text), lower(needle))""")
+def index_trigrams(spark, d):
+    """Substrings of any length by their rarest trigrams, checked on the texts found."""
+    index = updated_index(spark, d, "trigrams")
+    return reduce(DataFrame.unionByName, (index.containing(n).select(F.lit(n).alias("needle"), "doc", F.length("text").alias("length")) for n in NEEDLES))
+
+
+@query(f""", {NOW}, l AS (SELECT *, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line, string_split(text, chr(10)) AS lines FROM now
+  WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ', ' the of ')),
+hits AS (SELECT 'src/' || doc AS file, line, trim(content) AS text, lang AS function, source AS module_type, array_to_string(lines[greatest(1, line - 2):line + 2], chr(10)) AS context FROM l WHERE contains(lower(content), 'the of')),
+placed_ AS (SELECT *, row_number() OVER (ORDER BY file, line) AS place FROM hits)
+SELECT CASE WHEN place <= 40 THEN file END AS file, CASE WHEN place <= 40 THEN line::INTEGER END AS line, CASE WHEN place <= 40 THEN text END AS text, CASE WHEN place <= 40 THEN function END AS function,
+  CASE WHEN place <= 40 THEN module_type END AS module_type, CASE WHEN place <= 40 THEN context END AS context, place > 40 AS truncated FROM placed_ WHERE place <= 41""")
+def catalog_code_grep(spark, d):
+    """The catalogue's grep over an index of words that was updated."""
+    before, fresh, gone = _changed(spark, d)
+    as_body = lambda df: df.select("doc", "text", F.concat(F.lit("src/"), "doc").alias("path"), F.col("lang").alias("function_name"), F.lit(1).alias("line_start"))
+    words = Postings.write(as_body(before), "words", new_dir(spark, "words")).updated(as_body(fresh), gone, new_dir(spark, "words"))
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("src/"), "doc_id").alias("path"), F.col("source").alias("module_type"), F.col("doc_id").alias("file_id"), F.lit(None).cast("string").alias("object_name"))
+    made = index(spark, d)
+    made.files = files
+    return Catalog(made, words).code_grep("the of", limit=40)
+
+
+@query(f""", {NOW}, f AS (SELECT 'src/' || (p_partkey % 400) AS path, p_name AS name, p_size % 20 AS line_start, p_size % 20 + p_size AS line_end FROM part),
+l AS (SELECT 'src/' || doc AS path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line, string_split(text, chr(10)) AS lines FROM now),
+hits AS (SELECT path, line, trim(content) AS text, array_to_string(lines[greatest(1, line - 2):line + 2], chr(10)) AS context FROM l WHERE contains(lower(content), 'ring')),
+named AS (SELECT path AS file, line, text, coalesce((SELECT max({{'s': line_start, 'n': name}}).n FROM f WHERE f.path = hits.path AND line BETWEEN line_start AND line_end), 'module level') AS function, context FROM hits),
+placed_ AS (SELECT *, row_number() OVER (ORDER BY file, line) AS place FROM named)
+SELECT CASE WHEN place <= 500 THEN file END AS file, CASE WHEN place <= 500 THEN line END AS line, CASE WHEN place <= 500 THEN text END AS text, CASE WHEN place <= 500 THEN function END AS function,
+  CASE WHEN place <= 500 THEN 'Module' END AS module_type, CASE WHEN place <= 500 THEN context END AS context, place > 500 AS truncated FROM placed_ WHERE place <= 501""")
+def catalog_scan_grep(spark, d):
+    """Lines with a substring, the texts by trigrams, and the definition each line stands in by dyadic blocks."""
+    path = lambda column: F.concat(F.lit("src/"), column)
+    texts = updated_index(spark, d, "trigrams").containing("ring").select(path("doc").alias("path"), "text")
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    functions = parts.select(path(F.col("p_partkey") % 400).alias("path"), F.col("p_name").alias("name"), (F.col("p_size") % 20).alias("line_start"), (F.col("p_size") % 20 + F.col("p_size")).alias("line_end"))
+    return scan_grep(texts, functions, "Ring", limit=500)
+
+
+@query(ORACLE_SQL["catalog_references"].removeprefix(f"WITH {TABLES} "))
+def catalog_references_by_trigrams(spark, d):
+    made = index(spark, d)
+    return Catalog(made, types=build.index_types(made, new_dir(spark, "types"))).find_references_to("MACHINERY.Customer#000000007")
+
+
+_GAP = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2))"
+
+
+@query(f""", r AS (SELECT q.vec_id AS query_id, e.vec_id, round({_GAP}, 9) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_GAP}, e.vec_id) AS place
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (0, 1, 2, 3)) q WHERE q.vec_id < 2 OR e.label = 3) SELECT query_id, vec_id, distance FROM r WHERE place <= 10""")
+def knn_by_cells(spark, d):
+    """Exact neighbours, with and without a filter, from the cells that can hold them; a fifth of the rows came later."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    cells = Cells.write(rows.where("vec_id % 5 <> 4"), "vec_id", "embedding", new_dir(spark, "cells")).added(rows.where("vec_id % 5 = 4"), new_dir(spark, "cells"))
+    asked = {r["vec_id"]: list(r["embedding"]) for r in rows.where("vec_id < 4").collect()}
+    found = [cells.nearest(v, 10, None if i < 2 else F.col("label") == 3).select(F.lit(i).cast("long").alias("query_id"), "vec_id", F.round("distance", 9).alias("distance")) for i, v in sorted(asked.items())]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(""", e AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey AS src_symbol_id, l_suppkey AS src_file_id, CASE WHEN l_linestatus = 'F' THEN 'Object' || l_suppkey END AS qualifier, coalesce(p_name, 'none') || (l_partkey % 2) AS callee_name FROM lineitem LEFT JOIN part ON p_partkey = l_suppkey),
+s AS (SELECT p_partkey AS symbol_id, p_partkey % 60 AS file_id, p_name || (p_partkey % 2) AS name, 'Object' || (p_partkey % 60) AS object_name, CASE WHEN p_partkey % 3 = 0 THEN 'CommonModule' ELSE 'ObjectModule' END AS module_type FROM part WHERE p_partkey % 11 <> 3),
+t AS (SELECT e.*, lower(callee_name) AS c, (SELECT min(symbol_id) FROM s WHERE module_type = 'CommonModule' AND object_name = qualifier AND lower(name) = lower(callee_name)) AS common,
+  (SELECT min(symbol_id) FROM s WHERE file_id = src_file_id AND lower(name) = lower(callee_name)) AS local, EXISTS (SELECT 1 FROM s WHERE lower(name) = lower(callee_name)) AS known FROM e)
+SELECT edge_id, CASE WHEN qualifier IS NULL THEN local ELSE common END AS dst_symbol_id,
+CASE WHEN qualifier IS NOT NULL AND common IS NOT NULL THEN 'call_commonmodule' WHEN qualifier IS NULL AND local IS NOT NULL THEN 'call_local' WHEN qualifier IS NOT NULL THEN 'call_dynamic' WHEN NOT known THEN 'call_platform' ELSE 'call_unresolved' END AS edge_type FROM t""")
+def edges_re_resolved(spark, d):
+    """Edges resolved against some symbols, then again after a change of symbols, by the delta of their names."""
+    part, lines = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("part", "lineitem"))
+    symbols = part.select(
+        F.col("p_partkey").alias("symbol_id"), (F.col("p_partkey") % 60).alias("file_id"), F.concat("p_name", F.col("p_partkey") % 2).alias("name"),
+        F.concat(F.lit("Object"), F.col("p_partkey") % 60).alias("object_name"), F.when(F.col("p_partkey") % 3 == 0, "CommonModule").otherwise("ObjectModule").alias("module_type"),
+    )
+    named = lines.join(part.select(F.col("p_partkey").alias("l_suppkey"), "p_name"), "l_suppkey", "left")
+    edges = named.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").alias("src_symbol_id"), F.col("l_suppkey").alias("src_file_id"),
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("Object"), "l_suppkey")).alias("qualifier"), F.concat(F.coalesce("p_name", F.lit("none")), F.col("l_partkey") % 2).alias("callee_name"),
+    )
+    old, new = symbols.where("symbol_id % 13 <> 5"), symbols.where("symbol_id % 11 <> 3")
+    later = F.col("edge_id") % 17 == 0
+    known = keep(graph.classify(edges.where(~later), old), "edges")
+    gone, come = (a.join(b, "symbol_id", "left_anti").select("symbol_id", "name") for a, b in ((old, new), (new, old)))
+    return build.re_resolved(known, edges.where(later), gone, come, new).select("edge_id", "dst_symbol_id", "edge_type")

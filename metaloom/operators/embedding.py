@@ -16,12 +16,13 @@ Embed = Callable[[list[str]], list[list[float] | None]]
 
 @dataclass(frozen=True)
 class Provider:
-    """batch: texts of one call; retries: how often a failed call is made again, waiting twice as long each time."""
+    """batch: texts of one call; retries: how often a failed call is made again, waiting twice as long each time; name: of the model, which vectors carry."""
 
     embed: Embed
     batch: int = 64
     retries: int = 2
     wait: float = 1.0
+    name: str = ""
 
     def __call__(self, texts: list[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
@@ -75,7 +76,7 @@ def register(name: str, factory: Callable[..., Embed]) -> None:
 def provider(name: str, batch: int = 64, **options) -> Provider:
     if name not in REGISTRY:
         raise ValueError(f"no provider {name!r}; there are {sorted(REGISTRY)}")
-    return Provider(REGISTRY[name](**options), batch)
+    return Provider(REGISTRY[name](**options), batch, name=":".join([name, *(f"{k}={options[k]}" for k in sorted(options))]))
 
 
 def embedded(rows: DataFrame, column: str, model: Provider) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import graph, incremental, joins
 from ..operators.lookup import folded
 from ..operators.postings import Postings
 from ..sources import code, files, xml
+from .shared import keep
 from .vocabulary import Vocabulary
 
 
@@ -79,7 +80,7 @@ def changes(index: Index, spark: SparkSession, root: str) -> DataFrame:
 
 
 def update(index: Index, spark: SparkSession, root: str, folder: str, v: Vocabulary | None = None) -> tuple[Index, dict[str, int]]:
-    """Replaces what changed, purges what is gone, resolves again; ranks stay as they were until `resolved` is called.
+    """Replaces what changed, purges what is gone, resolves what that touches; ranks stay as they were until `resolved` is called.
 
     The new snapshot is written whole into folder before anyone reads it.
     """
@@ -95,9 +96,9 @@ def update(index: Index, spark: SparkSession, root: str, folder: str, v: Vocabul
     refs = index.query_refs.join(gone.withColumnRenamed("symbol_id", "src_symbol_id"), "src_symbol_id", "left_anti")
     tables["query_refs"] = refs.unionByName(fresh["query_refs"])
     kept = index.edges.join(gone.withColumnRenamed("symbol_id", "src_symbol_id"), "src_symbol_id", "left_anti")
-    kept = graph.demote(kept, gone, "dst_symbol_id", "symbol_id")
     placed = tables["symbols"].join(tables["files"].select("file_id", "object_name", "module_type"), "file_id")
-    tables["edges"] = graph.classify(kept.drop("dst_symbol_id", "resolved", "edge_type").unionByName(fresh["edges"]), placed)
+    before = index.symbols.join(out, "file_id", "left_semi").select("symbol_id", "name")
+    tables["edges"] = re_resolved(kept, fresh["edges"], before, fresh["symbols"].select("symbol_id", "name"), placed)
     for name in ("subscriptions", "entry_points"):
         tables[name] = handlers(getattr(index, name).drop("handler_symbol_id"), placed)
     after = Index(**{f.name: tables.get(f.name, getattr(index, f.name)) for f in fields(Index)}).save(folder)
@@ -105,6 +106,25 @@ def update(index: Index, spark: SparkSession, root: str, folder: str, v: Vocabul
     return after, counts
 
 
+def re_resolved(kept: DataFrame, fresh: DataFrame, gone: DataFrame, come: DataFrame, placed: DataFrame) -> DataFrame:
+    """Edges after a change of symbols: those that mention a changed name and the fresh ones are resolved, all others stay.
+
+    An edge's end and kind depend on the symbols of its callee's name alone. Names of symbols that went or
+    came (symbol_id, name) are the delta; one that went and came back as it was has not changed.
+    """
+    keys = ["symbol_id", "name"]
+    delta = gone.join(come, keys, "left_anti").unionByName(come.join(gone, keys, "left_anti"))
+    names = keep(delta.select(folded("name").alias("_callee")).distinct(), "changed_names")
+    few = F.broadcast(names) if names.limit(200_001).count() <= 200_000 else names
+    named = kept.withColumn("_callee", folded("callee_name"))
+    open_again = named.join(few, "_callee", "left_semi").drop("_callee", "dst_symbol_id", "resolved", "edge_type")
+    stale = keep(open_again.unionByName(fresh), "stale_edges")
+    wanted = stale.select(folded("callee_name").alias("_callee")).distinct()
+    targets = placed.withColumn("_callee", folded("name")).join(wanted, "_callee", "left_semi").drop("_callee")
+    still = named.join(few, "_callee", "left_anti").drop("_callee")
+    return still.unionByName(graph.classify(stale, targets).select(still.columns))
+
+
 def index_words(index: Index, folder: str) -> Postings:
     """The words of all bodies with their positions, for greps."""
     return Postings.write(_bodies(index.bodies), "words", folder)

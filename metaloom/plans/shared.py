@@ -19,8 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A path of its own there for each call."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet there and reads it back: a cut lineage that outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

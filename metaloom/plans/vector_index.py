@@ -111,8 +111,8 @@ def refresh(spark: SparkSession, root: str, before: str | None, after: str, prov
     """Brings an index up to date as a new snapshot in the folder `after`, and tells what was done.
 
     Without `before`, with an empty index there, or by `force` all is built; else what changed. Vectors are made in
-    mode `full`, which needs a provider; those of unchanged chunks are taken over, whoever made them, so a later
-    provider works on changes alone. The answer has changed_files, deleted_files, mode, stats and counts of vectors.
+    mode `full`, which needs a provider; those of unchanged chunks are taken over if a provider of the same name made
+    them, else all are made anew, so a table never mixes vectors of two models. The answer has changed_files, deleted_files, mode, stats and counts of vectors.
     """
     c = config or Config()
     if c.mode == "full" and provider is None:
@@ -131,8 +131,10 @@ def refresh(spark: SparkSession, root: str, before: str | None, after: str, prov
             rows = build(spark, parts, provider, f"{after}/vectors")
         else:
             stored = spark.read.parquet(f"{before}/vectors")
+            same = F.col("provider").eqNullSafe(provider.name) if "provider" in stored.columns else F.lit(False)
+            stored = stored.withColumn("embedding", F.when(same, F.col("embedding"))).drop("provider")
             fresh = reduce(DataFrame.unionByName, (df.withColumn("collection", F.lit(name)) for name, df in parts.items()))
-            delta(stored, fresh, stored, provider).write.mode("overwrite").partitionBy("collection").parquet(f"{after}/vectors")
+            delta(stored, fresh, stored, provider).withColumn("provider", F.lit(provider.name)).write.mode("overwrite").partitionBy("collection").parquet(f"{after}/vectors")
             rows = spark.read.parquet(f"{after}/vectors")
         done["vectors"] = {r["collection"]: r["count"] for r in rows.groupBy("collection").count().collect()}
     return done
@@ -149,8 +151,8 @@ def _has(spark: SparkSession, folder: str) -> bool:
 
 
 def build(spark: SparkSession, parts: dict[str, DataFrame], provider: Provider, folder: str) -> DataFrame:
-    """Embeds and writes all collections, partitioned by collection."""
-    chunk_table(spark, parts, provider).write.mode("overwrite").partitionBy("collection").parquet(folder)
+    """Embeds and writes all collections, partitioned by collection, with the name of who made the vectors."""
+    chunk_table(spark, parts, provider).withColumn("provider", F.lit(provider.name)).write.mode("overwrite").partitionBy("collection").parquet(folder)
     return spark.read.parquet(folder)
 
 
