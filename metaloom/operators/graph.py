@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import keep
@@ -37,34 +39,60 @@ def demote(edges: DataFrame, removed: DataFrame, dst: str, key: str) -> DataFram
     return rows.withColumn(dst, F.when(~lost, F.col(dst))).withColumn("edge_type", F.when(lost, F.lit("call_unresolved")).otherwise(F.col("edge_type"))).drop("_gone")
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, start: DataFrame | None = None) -> DataFrame:
     """id, rank. Parallel edges count as often as they stand; the mass of vertices without edges goes to all.
 
-    Vertices: id. Edges: src, dst. Edges are first summed to weights src -> dst; a vertex without
-    edges sends all it has to the null vertex, whose sum is the mass to be spread. Each iteration
-    is one job that writes what every vertex got, which cuts the lineage; sums are combined before
-    the shuffle, and a hub's rank meets its edges in a join that Spark can split.
+    Vertices: id. Edges: src, dst. start: id, rank to begin with (a warm start after a small change needs few
+    iterations); vertices it doesn't have begin with the average.
+
+    Edges are first summed to weights src -> dst. Weights and ranks are tables with equal buckets, weights by
+    src and ranks by id, so an iteration joins them where they lie; its one shuffle carries what each task sends to
+    each vertex, already summed. What it gives is written as the next table of ranks, which cuts the lineage.
     """
-    ids = keep(vertices.select("id").distinct(), "vertices")
+    spark = vertices.sparkSession
+    ids = keep(vertices.select("id").where("id is not null").distinct(), "vertices")
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     counted = edges.groupBy("src", "dst").agg(F.count("*").alias("times"))
     out = counted.groupBy("src").agg(F.sum("times").alias("degree"))
-    sends = ids.select(F.col("id").alias("src")).join(counted.join(out, "src"), "src", "left")
-    weights = keep(sends.select("src", "dst", F.coalesce(F.col("times") / F.col("degree"), F.lit(1.0)).alias("weight")), "weights")
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(iterations):
-        sent = weights.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("weight")).alias("got"))
-        sent = keep(sent, "sent")
-        loose = F.broadcast(sent.where("id is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("loose")))
-        rank = F.lit((1 - damping) / n) + damping * F.col("loose") / n + damping * F.coalesce("got", F.lit(0.0))
-        ranks = ids.join(sent, "id", "left").join(loose).select("id", rank.alias("rank"))
-    return ranks
-
-
-def adjacency(edges: DataFrame, key: Column, other: Column, name: str, most: int | None = None) -> DataFrame:
-    """For each key the different others in the order of the edge's id."""
-    pairs = edges.groupBy(key.alias("id"), other.alias("_other")).agg(F.min("edge_id").alias("_order"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_order", "_other"))), lambda x: x["_other"])
-    return pairs.groupBy("id").agg((F.slice(listed, 1, most) if most else listed).alias(name))
+    tables = Buckets(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        weights = tables.write(counted.join(out, "src").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", (F.col("times") / F.col("degree")).alias("weight")), "src")
+        first = F.lit(1.0 / n) if start is None else F.coalesce("rank", F.lit(1.0 / n))
+        known = ids.join(out.select(F.col("src").alias("id"), F.lit(False).alias("loose")), "id", "left")
+        begun = known if start is None else known.join(start.select("id", "rank"), "id", "left")
+        ranks = tables.write(begun.select("id", first.alias("rank"), F.coalesce("loose", F.lit(True)).alias("loose")), "id")
+        if start is not None:
+            total = ranks.agg(F.sum("rank")).first()[0]
+            ranks = tables.write(ranks.withColumn("rank", F.col("rank") / total), "id")
+        for _ in range(iterations):
+            ranks = tables.write(_round(ranks, weights, n, damping), "id", dealt=True)
+        return keep(ranks.select("id", "rank"), "ranks")
+    finally:
+        tables.drop()
+
+
+def _round(ranks: DataFrame, weights: DataFrame, n: int, damping: float) -> DataFrame:
+    sent = ranks.select(F.col("id").alias("src"), "rank").join(weights.hint("merge"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("weight")).alias("got"))
+    loose = F.broadcast(ranks.where("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("mass")))
+    rank = F.lit((1 - damping) / n) + damping * F.col("mass") / n + damping * F.coalesce("got", F.lit(0.0))
+    return ranks.select("id", "loose").join(sent.hint("merge"), "id", "left").join(loose).select("id", rank.alias("rank"), "loose")
+
+
+class Buckets:
+    """Tables with the same number of buckets, dropped together."""
+
+    def __init__(self, spark: SparkSession, n: int):
+        self.spark, self.n, self.names = spark, n, []
+
+    def write(self, rows: DataFrame, key: str, dealt: bool = False) -> DataFrame:
+        """Rows as a table bucketed and sorted by a key, a file for each bucket. dealt: they come from a join of such tables by the key, and lie as they should."""
+        name = f"bucketed_{uuid.uuid4().hex[:12]}"
+        self.names.append(name)
+        (rows if dealt else rows.repartition(self.n, key)).write.bucketBy(self.n, key).sortBy(key).saveAsTable(name)
+        return self.spark.table(name)
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")

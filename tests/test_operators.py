@@ -134,3 +134,27 @@ def test_providers():
     assert with_fallback(flaky, lambda t: [[2.0]] * len(t))(["bad"]) == [[2.0]]
     with pytest.raises(ValueError):
         provider("none")
+
+
+def test_pagerank_shuffles_once_an_iteration(spark):
+    """Weights and ranks are joined where they lie; what is sent is shuffled by its target."""
+    tables = graph.Buckets(spark, 4)
+    try:
+        weights = tables.write(spark.createDataFrame([(1, 2, 1.0), (2, 1, 0.5), (2, 3, 0.5)], "src long, dst long, weight double"), "src")
+        ranks = tables.write(spark.createDataFrame([(1, 0.3, False), (2, 0.3, False), (3, 0.4, True)], "id long, rank double, loose boolean"), "id")
+        plan = graph._round(ranks, weights, 3, 0.85)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        tables.drop()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pagerank_from_a_warm_start(spark):
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 40) for i in range(40) for j in range(3)], "src long, dst long")
+    vertices = spark.range(40).select("id")
+    whole = {r.id: r["rank"] for r in graph.pagerank(vertices, edges, iterations=30).collect()}
+    more = edges.unionByName(spark.createDataFrame([(0, 5), (50, 1)], "src long, dst long"))
+    again = vertices.unionByName(spark.createDataFrame([(50,)], "id long"))
+    cold = {r.id: r["rank"] for r in graph.pagerank(again, more, iterations=30).collect()}
+    begun = spark.createDataFrame(list(whole.items()), "id long, rank double")
+    warm = {r.id: r["rank"] for r in graph.pagerank(again, more, iterations=8, start=begun).collect()}
+    assert abs(sum(warm.values()) - 1) < 1e-9 and max(abs(warm[i] - cold[i]) for i in cold) < 1e-3

@@ -6,9 +6,10 @@ import pytest
 import __spark_entry__ as entry
 from metaloom import catalog_queries as cq
 from metaloom import index_queries as iq
+from metaloom import tree_queries as tq
 
 TABLES = (*cq.TABLES, "benchmark", "labels")
-QUERIES, ORACLE_SQL = cq.QUERIES | iq.QUERIES, cq.ORACLE_SQL | iq.ORACLE_SQL
+QUERIES, ORACLE_SQL = cq.QUERIES | iq.QUERIES | tq.QUERIES, cq.ORACLE_SQL | iq.ORACLE_SQL | tq.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
