@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .operators import graph, incremental
 from .operators.cells import Cells
 from .operators.postings import Postings
-from .plans import build
+from .plans import build, sql
 from .plans.build import Index, handlers
 from .plans.catalog import Catalog, scan_grep
 from .plans.shared import keep, new_dir
@@ -334,3 +334,47 @@ def edges_re_resolved(spark, d):
     known = keep(graph.classify(edges.where(~later), old), "edges")
     gone, come = (a.join(b, "symbol_id", "left_anti").select("symbol_id", "name") for a, b in ((old, new), (new, old)))
     return build.re_resolved(known, edges.where(later), gone, come, new).select("edge_id", "dst_symbol_id", "edge_type")
+
+
+# from SQL
+
+
+def _from_sql(spark: SparkSession, d: str, statement: str) -> DataFrame:
+    sql.register(index(spark, d), "idx_")
+    return spark.sql(statement)
+
+
+@query(f", {PICKED.replace(' ORDER BY is_export DESC, centrality DESC, symbol_id LIMIT 1', '')}, {CALLERS} SELECT DISTINCT p.symbol_id, p.name, p.module_path, p.line_start FROM callers JOIN placed p ON p.symbol_id = src_symbol_id")
+def sql_callers_of(spark, d):
+    return _from_sql(spark, d, "SELECT symbol_id, name, module_path, line_start FROM idx_callers_of('Red Widget')")
+
+
+@query("SELECT s.name, e.qualifier, e.callee_name, e.edge_type, count(*) AS times FROM placed s JOIN edges e ON e.src_symbol_id = s.symbol_id WHERE lower(s.name) = 'red widget' GROUP BY ALL")
+def sql_callees_of(spark, d):
+    return _from_sql(spark, d, "SELECT f.name, qualifier, callee_name, edge_type, count(*) AS times FROM idx_callees_of('red widget') JOIN idx_functions_named('RED widget') f USING (symbol_id) GROUP BY ALL")
+
+
+@query("SELECT edge_id, edge_type, resolved, e.qualifier FROM edges e JOIN placed s ON s.symbol_id = src_symbol_id WHERE lower(s.name) = 'red widget' AND lower(callee_name) = 'small ring'")
+def sql_calls_between(spark, d):
+    return _from_sql(spark, d, "SELECT * FROM idx_calls_between('red widget', 'Small Ring')")
+
+
+@query("SELECT module_path, count(*) AS functions, count(*) FILTER (is_export) AS exported FROM placed WHERE contains(lower(module_path), '#00000000') AND contains(lower(name), 'ring') GROUP BY module_path")
+def sql_functions_of_module(spark, d):
+    return _from_sql(spark, d, "SELECT module_path, count(*) AS functions, count_if(is_export) AS exported FROM idx_functions_of_module('#00000000') JOIN (SELECT symbol_id FROM idx_functions_like('RING')) USING (symbol_id) GROUP BY module_path")
+
+
+@query("""SELECT full_name, NULL AS part, a.pos, a.name, type_ref FROM objects o JOIN attributes a USING (object_id) WHERE o.name = 'Customer#000000007'
+UNION ALL SELECT full_name, t.name, i.pos, i.name, type_ref FROM objects o JOIN tab_parts t USING (object_id) JOIN tab_part_attributes i USING (tab_part_id) WHERE o.name = 'Customer#000000007'""")
+def sql_attributes_of(spark, d):
+    return _from_sql(spark, d, "SELECT a.* FROM idx_attributes_of('customer#000000007') a JOIN idx_objects_named('Customer#000000007') USING (full_name)")
+
+
+@query(ORACLE_SQL["catalog_references"].removeprefix(f"WITH {TABLES} "))
+def sql_references_to(spark, d):
+    return _from_sql(spark, d, "SELECT * FROM idx_references_to('Customer#000000007')")
+
+
+@query("""SELECT 'src/' || source AS path, lang AS function_name, line::INTEGER AS line, trim(content) AS text FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE contains(lower(content), 'the of')""")
+def sql_body_lines(spark, d):
+    return _from_sql(spark, d, "SELECT * FROM idx_body_lines('The of')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths
@@ -34,15 +34,36 @@ class Index:
     entry_points: DataFrame
 
     def save(self, folder: str) -> Index:
-        """Writes all tables below a new folder and reads them back; a reader of another snapshot isn't disturbed."""
+        """Writes all tables below a new folder and reads them back; a reader of another snapshot isn't disturbed.
+
+        Tables that are looked up by a name carry it in lower case, are sorted by it within their files, and have a Bloom
+        filter of it, so that a lookup by equality reads the row groups alone that may hold the name.
+        """
         spark = self.files.sparkSession
-        for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{folder}/{f.name}")
+        for name in TABLES:
+            rows = getattr(self, name)
+            if name in LOOKED_UP:
+                column, key = LOOKED_UP[name]
+                rows = rows.drop(key).withColumn(key, folded(column)).sortWithinPartitions(key)
+                rows.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{folder}/{name}")
+            else:
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}")
         return load(spark, folder)
 
 
+TABLES = tuple(f.name for f in fields(Index))
+#: The column of a table that lookups compare, and the one that has it in lower case.
+LOOKED_UP = {"symbols": ("name", "name_key"), "objects": ("name", "name_key"), "edges": ("callee_name", "callee_key")}
+
+
+def named(rows: DataFrame, table: str, name: str) -> Column:
+    """Whether a row's name is this one whatever its case: by the stored key where there is one, so that Parquet can skip."""
+    column, key = LOOKED_UP[table]
+    return (F.col(key) if key in rows.columns else folded(column)) == name.lower()
+
+
 def load(spark: SparkSession, folder: str) -> Index:
-    return Index(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Index)})
+    return Index(**{name: spark.read.parquet(f"{folder}/{name}") for name in TABLES})
 
 
 def rebuild(spark: SparkSession, root: str, folder: str, v: Vocabulary | None = None) -> Index:
@@ -61,7 +82,7 @@ def resolved(index: Index) -> Index:
     ranks = graph.pagerank(index.symbols.select(F.col("symbol_id").alias("id")), edges.where("resolved").select(F.col("src_symbol_id").alias("src"), F.col("dst_symbol_id").alias("dst")))
     symbols = index.symbols.drop("centrality").join(ranks.select(F.col("id").alias("symbol_id"), F.col("rank").alias("centrality")), "symbol_id", "left")
     handled = lambda df: handlers(df.drop("handler_symbol_id"), placed)
-    return Index(**{f.name: getattr(index, f.name) for f in fields(Index)} | {"edges": edges, "symbols": symbols, "subscriptions": handled(index.subscriptions), "entry_points": handled(index.entry_points)})
+    return Index(**{name: getattr(index, name) for name in TABLES} | {"edges": edges, "symbols": symbols, "subscriptions": handled(index.subscriptions), "entry_points": handled(index.entry_points)})
 
 
 def handlers(rows: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -101,7 +122,7 @@ def update(index: Index, spark: SparkSession, root: str, folder: str, v: Vocabul
     tables["edges"] = re_resolved(kept, fresh["edges"], before, fresh["symbols"].select("symbol_id", "name"), placed)
     for name in ("subscriptions", "entry_points"):
         tables[name] = handlers(getattr(index, name).drop("handler_symbol_id"), placed)
-    after = Index(**{f.name: tables.get(f.name, getattr(index, f.name)) for f in fields(Index)}).save(folder)
+    after = Index(**{name: tables.get(name, getattr(index, name)) for name in TABLES}).save(folder)
     status.unpersist()
     return after, counts
 
@@ -116,12 +137,12 @@ def re_resolved(kept: DataFrame, fresh: DataFrame, gone: DataFrame, come: DataFr
     delta = gone.join(come, keys, "left_anti").unionByName(come.join(gone, keys, "left_anti"))
     names = keep(delta.select(folded("name").alias("_callee")).distinct(), "changed_names")
     few = F.broadcast(names) if names.limit(200_001).count() <= 200_000 else names
-    named = kept.withColumn("_callee", folded("callee_name"))
-    open_again = named.join(few, "_callee", "left_semi").drop("_callee", "dst_symbol_id", "resolved", "edge_type")
+    with_key = kept.drop("callee_key").withColumn("_callee", folded("callee_name"))
+    open_again = with_key.join(few, "_callee", "left_semi").drop("_callee", "dst_symbol_id", "resolved", "edge_type")
     stale = keep(open_again.unionByName(fresh), "stale_edges")
     wanted = stale.select(folded("callee_name").alias("_callee")).distinct()
     targets = placed.withColumn("_callee", folded("name")).join(wanted, "_callee", "left_semi").drop("_callee")
-    still = named.join(few, "_callee", "left_anti").drop("_callee")
+    still = with_key.join(few, "_callee", "left_anti").drop("_callee")
     return still.unionByName(graph.classify(stale, targets).select(still.columns))
 
 

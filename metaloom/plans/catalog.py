@@ -16,7 +16,7 @@ from ..operators import joins, lookup, nested, ranking, text, vectors
 from ..operators.embedding import Provider, embedded, query_vector
 from ..operators.postings import Postings
 from . import vocabulary as words
-from .build import Index
+from .build import Index, named
 from .shared import keep
 
 
@@ -80,7 +80,7 @@ class Catalog:
     def _picked(self, name: str, hint: str | None = None) -> DataFrame:
         """The one symbol a name means: where the hint fits first, then exports, then rank."""
         fits = (lookup.has_substring("module_path", hint) | (lookup.folded("object_name") == hint.lower())) if hint else F.lit(False)
-        rows = self.placed.where(lookup.folded("name") == name.lower()).withColumn("object_matched", F.coalesce(fits, F.lit(False)))
+        rows = self.placed.where(named(self.placed, "symbols", name)).withColumn("object_matched", F.coalesce(fits, F.lit(False)))
         return _one(rows.orderBy(F.desc("object_matched"), F.desc("is_export"), F.desc("centrality"), "symbol_id").limit(1))
 
     def _callers(self, picked: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ class Catalog:
         return rows.join(F.broadcast(one.select(F.col("symbol_id").alias("src_symbol_id"))), "src_symbol_id", "left_semi")
 
     def _same_name(self, name: str) -> DataFrame:
-        return self.placed.where(lookup.folded("name") == name.lower()).agg(F.count("*").alias("ambiguous_definitions"))
+        return self.placed.where(named(self.placed, "symbols", name)).agg(F.count("*").alias("ambiguous_definitions"))
 
     def read_function(self, name: str, budget_chars: int = 6000, object_name: str | None = None, include_body: bool = True) -> DataFrame:
         """The context of a function in one row: body, callees, callers, objects it touches, registers of its owner."""
@@ -146,8 +146,8 @@ class Catalog:
 
     def verify_call(self, caller: str, callee: str) -> DataFrame:
         """One row: whether an edge of these names exists, and the best evidence."""
-        source = self.placed.where(lookup.folded("name") == caller.lower()).select(F.col("symbol_id").alias("src_symbol_id"))
-        found = self.i.edges.where(lookup.folded("callee_name") == callee.lower()).join(source, "src_symbol_id", "left_semi")
+        source = self.placed.where(named(self.placed, "symbols", caller)).select(F.col("symbol_id").alias("src_symbol_id"))
+        found = self.i.edges.where(named(self.i.edges, "edges", callee)).join(source, "src_symbol_id", "left_semi")
         best = found.agg(F.min(F.struct((~F.col("resolved")).alias("open"), "edge_id", "edge_type", "resolved", "qualifier")).alias("e"))
         return best.select(F.col("e").isNotNull().alias("holds"), "e.edge_type", "e.resolved", "e.qualifier", F.when(F.col("e").isNull(), "no such call").alias("reason"))
 
