@@ -43,6 +43,10 @@ class Settings:
     agree: float = 0.8
     broadcast_rows: int = 1_000_000
 
+    def __post_init__(self):
+        if self.window != 20 or not 0.8 <= self.agree <= 1:
+            raise ValueError("the masks find all passages for windows of 20 tokens of which 80 % or more agree, and for no others")
+
 
 def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))

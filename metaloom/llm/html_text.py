@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,7 +56,10 @@ IMPLIED = {
 }
 CLOSE_P = (BLOCKS - {"td", "th", "tr", "li", "dt", "dd", "caption", "thead", "tbody", "tfoot", "option", "optgroup", "html", "body", "legend"}) | {"li", "dt", "dd"}
 P_SCOPE = frozenset(("td", "th", "table", "caption", "button", "object", "body", "html", "li"))
-MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
+NOTES = r"<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*+>"
+MARKUP = re.compile(NOTES + r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
+#: The same where quotes don't count.
+UNQUOTED = re.compile(NOTES + r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>()()()", re.S)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
@@ -121,16 +124,24 @@ class Open:
 
 
 def tree(source: str) -> Node:
-    """The elements of a page. Strings among the children are text as written, entities and all."""
+    """The elements of a page. Strings among the children are text as written, entities and all.
+
+    After a tag whose quotes are never closed they don't count any more, and behind the last `>` only comments
+    are looked for: each character is passed a fixed number of times, whatever a page leaves open.
+    """
     root = Node("html")
     open_ = Open(root)
-    at = 0
-    while m := MARKUP.search(source, at):
+    at, last, markup = 0, source.rfind(">") + 1, MARKUP
+    while m := markup.search(source, at, last):
+        if m.group(5):
+            markup = UNQUOTED
         if m.start() > at:
             _text(open_, source[at : m.start()])
         at = m.end()
         name = m.group(2) or m.group(5)
         if not name:
+            if source.startswith("<!--", m.start()) and not source.endswith("-->", m.start(), at):
+                at = len(source)  # a comment that nothing closes
             continue
         tag, ends = name.lower(), m.group(1) or m.group(4)
         if ends:
@@ -146,8 +157,9 @@ def tree(source: str) -> Node:
             at = close.end() if close else len(source)
         elif tag not in VOID:
             open_.push(node)
-    if at < len(source):
-        _text(open_, source[at:])
+    comment = source.find("<!--", at)
+    if at < len(source) and comment != at:
+        _text(open_, source[at : comment if comment > at else len(source)])
     return root
 
 
@@ -343,29 +355,33 @@ def _table(table: Node, s: Settings) -> list[str]:
 def _aligned(rows: list[list[tuple[list[str], int, int]]], page: Page, s: Settings) -> None:
     """Puts rows of cells (lines, columns, rows) where their columns begin."""
     widths: dict[int, int] = {}
-    held: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
+    taken: list[list[int]] = []  # columns from, to, and the row before which cells of rows above still take them
     placed = []
-    for row in rows:
-        at, here, new = 0, [], {}
+    for n, row in enumerate(rows):
+        taken = [t for t in taken if t[2] > n]
+        at, k, here, new = 0, 0, [], []
         for lines, columns, deep in row:
-            while at in held:
-                at += 1
+            while k < len(taken) and taken[k][0] <= at:
+                at, k = max(at, taken[k][1]), k + 1
             here.append((at, columns, lines))
             if columns == 1:
                 widths[at] = max(widths.get(at, 0), *map(_width, lines), 0)
             if deep > 1:
-                new |= {c: deep for c in range(at, at + columns)}
+                new.append([at, at + columns, min(n + deep, len(rows))])
             at += columns
-        held = {c: n - 1 for c, n in (held | new).items() if n > 1}
+        taken = _joined(taken + new)
         placed.append(here)
+    known = sorted(widths)
     for here in placed:
         for at, columns, lines in here:
             if columns > 1:
-                own = [widths[c] for c in range(at, at + columns) if c in widths]
-                short = max(map(_width, lines), default=0) - sum(own) - len(s.gap) * max(0, len(own) - 1)
+                under = known[bisect_left(known, at) : bisect_left(known, at + columns)]
+                short = max(map(_width, lines), default=0) - sum(widths[c] for c in under) - len(s.gap) * max(0, len(under) - 1)
                 if short > 0:
-                    last = max((c for c in range(at, at + columns) if c in widths), default=at)
-                    widths[last] = widths.get(last, 0) + short
+                    if not under:
+                        insort(known, at)
+                        widths[at] = 0
+                    widths[under[-1] if under else at] += short
     starts, total = {}, 0
     for c in sorted(widths):
         starts[c] = total
@@ -382,6 +398,17 @@ def _aligned(rows: list[list[tuple[list[str], int, int]]], page: Page, s: Settin
             page.put(line)
 
 
+def _joined(spans: list[list[int]]) -> list[list[int]]:
+    """Spans in order; neighbours that end with the same row are one, so cells that reach the end of a table cost one span."""
+    out: list[list[int]] = []
+    for low, high, until in sorted(spans):
+        if out and out[-1][1] >= low and out[-1][2] == until:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high, until])
+    return out
+
+
 def _cell(node: Node | str, seen: bool) -> tuple[list[str], int, int]:
     """Lines of a cell, and how many columns and rows it takes."""
     inner = Page()

@@ -311,10 +311,10 @@ def best(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def sample(documents: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, str, int]]:
-    """Labelled rows outside the held-out fold, those with the smallest hash of their id: as many as both bounds let in."""
+    """Labelled rows outside the held-out fold, those with the smallest hash of their id: as many as both bounds let in. A text that is over the bound of characters alone is passed over."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.where(fold_of("doc_id", 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
-    rows = documents.select("doc_id", text_of().alias("text"), "lang").join(F.broadcast(chosen), "doc_id")
+    rows = documents.select("doc_id", text_of().alias("text"), "lang").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= s.sample_chars)
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
     rows = rows.orderBy(*order).limit(s.sample).withColumn("chars", F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     return [(r.text, r.lang, int(r.toxic > 0)) for r in rows.where(F.col("chars") <= s.sample_chars).select("text", "lang", "toxic").collect()]

@@ -96,3 +96,11 @@ def test_only_found_texts_go(spark):
         left = dc.drop_contaminated(documents, benchmark, s)
         assert sorted(map(tuple, left.collect()), key=repr) == sorted([r for r in rows if item not in (r[1] or "")], key=repr)
     assert {(r.doc_id, r.agreed) for r in dc.overlaps(documents, benchmark).collect()} == {(None, 20), (7, 20), (8, 20)}
+
+
+def test_settings_that_the_masks_do_not_cover():
+    import pytest
+
+    for bad in ({"agree": 0.5}, {"window": 12}, {"agree": 1.2}):
+        with pytest.raises(ValueError):
+            dc.Settings(**bad)

@@ -117,193 +117,14 @@ def test_depth_costs_no_more_than_length():
         assert time.monotonic() - began < 60
 
 
-@pytest.mark.parametrize(
-    ("source", "want"),
-    [
-        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
-        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
-        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
-    ],
-)
-def test_spans_and_visibility(source, want):
-    assert ht.rendered(source) == want
-
-
-def test_depth_costs_no_more_than_length():
-    """A page of 200,000 open elements is read in seconds."""
-    import time
-
-    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
-        began = time.monotonic()
-        assert ht.rendered(part * 100_000 + "end").endswith("end")
-        assert time.monotonic() - began < 60
-
-
-@pytest.mark.parametrize(
-    ("source", "want"),
-    [
-        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
-        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
-        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
-    ],
-)
-def test_spans_and_visibility(source, want):
-    assert ht.rendered(source) == want
-
-
-def test_depth_costs_no_more_than_length():
-    """A page of 200,000 open elements is read in seconds."""
-    import time
-
-    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
-        began = time.monotonic()
-        assert ht.rendered(part * 100_000 + "end").endswith("end")
-        assert time.monotonic() - began < 60
-
-
-@pytest.mark.parametrize(
-    ("source", "want"),
-    [
-        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
-        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
-        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
-    ],
-)
-def test_spans_and_visibility(source, want):
-    assert ht.rendered(source) == want
-
-
-def test_depth_costs_no_more_than_length():
-    """A page of 200,000 open elements is read in seconds."""
-    import time
-
-    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
-        began = time.monotonic()
-        assert ht.rendered(part * 100_000 + "end").endswith("end")
-        assert time.monotonic() - began < 60
-
-
-@pytest.mark.parametrize(
-    ("source", "want"),
-    [
-        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
-        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
-        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
-    ],
-)
-def test_spans_and_visibility(source, want):
-    assert ht.rendered(source) == want
-
-
-def test_depth_costs_no_more_than_length():
-    """A page of 200,000 open elements is read in seconds."""
-    import time
-
-    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
-        began = time.monotonic()
-        assert ht.rendered(part * 100_000 + "end").endswith("end")
-        assert time.monotonic() - began < 60
-
-
-@pytest.mark.parametrize(
-    ("source", "want"),
-    [
-        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
-        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
-        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
-    ],
-)
-def test_spans_and_visibility(source, want):
-    assert ht.rendered(source) == want
-
-
-def test_depth_costs_no_more_than_length():
-    """A page of 200,000 open elements is read in seconds."""
+@pytest.mark.parametrize("source", ["<a b='" * 33_000, "<a b='" * 33_000 + ">", '<a ">"' * 33_000, "<td colspan=1000 rowspan=60000>" * 6_500, "<tr><td colspan=1000 rowspan=60000>x" * 5_500, "<!--" * 50_000, "<" * 200_000, "<p>x<!-- " + "y" * 200_000])
+def test_nothing_left_open_stalls(source):
     import time
 
-    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
-        began = time.monotonic()
-        assert ht.rendered(part * 100_000 + "end").endswith("end")
-        assert time.monotonic() - began < 60
-
-
-@pytest.mark.parametrize(
-    ("source", "want"),
-    [
-        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
-        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
-        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
-    ],
-)
-def test_spans_and_visibility(source, want):
-    assert ht.rendered(source) == want
-
-
-def test_depth_costs_no_more_than_length():
-    """A page of 200,000 open elements is read in seconds."""
-    import time
-
-    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
-        began = time.monotonic()
-        assert ht.rendered(part * 100_000 + "end").endswith("end")
-        assert time.monotonic() - began < 60
+    began = time.monotonic()
+    ht.rendered("<table>" + source if source.startswith("<t") else source)
+    assert time.monotonic() - began < 10  # about a second; the machine may be busy
 
 
-@pytest.mark.parametrize(
-    ("source", "want"),
-    [
-        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
-        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
-        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
-    ],
-)
-def test_spans_and_visibility(source, want):
-    assert ht.rendered(source) == want
-
-
-def test_depth_costs_no_more_than_length():
-    """A page of 200,000 open elements is read in seconds."""
-    import time
-
-    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
-        began = time.monotonic()
-        assert ht.rendered(part * 100_000 + "end").endswith("end")
-        assert time.monotonic() - began < 60
-
-
-@pytest.mark.parametrize(
-    ("source", "want"),
-    [
-        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
-        ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a    c"),
-        ("<table><tr><td>" * 12 + "x<td>y" + "</table>" * 12, "x  y"),
-    ],
-)
-def test_spans_and_visibility(source, want):
-    assert ht.rendered(source) == want
-
-
-def test_depth_costs_no_more_than_length():
-    """A page of 200,000 open elements is read in seconds."""
-    import time
-
-    for part in ("<div>", "<p><b>", "<li><ul>", "</i><span>"):
-        began = time.monotonic()
-        assert ht.rendered(part * 100_000 + "end").endswith("end")
-        assert time.monotonic() - began < 60
+def test_unclosed_comment_hides_the_rest():
+    assert ht.rendered("<p>a</p>b<!-- c > d") == ht.rendered("<p>a</p>b<!-- c") == "a\n\nb"

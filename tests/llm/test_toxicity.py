@@ -117,3 +117,11 @@ def test_training_beats_the_start(spark):
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
     assert held_out(tx.Settings()) < held_out(tx.Settings(epochs=0))
+
+
+def test_a_text_over_the_bound_is_passed_over(spark):
+    """One long text that sorts first doesn't empty the sample."""
+    docs = spark.createDataFrame([(i, "long " * 300 if i % 4 == 0 else f"text {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    found = tx.sample(docs, labels, tx.Settings(sample_chars=1000))
+    assert len(found) > 10 and all(len(text) < 20 for text, _, _ in found)
