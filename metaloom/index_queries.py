@@ -336,6 +336,12 @@ def edges_re_resolved(spark, d):
     return build.re_resolved(known, edges.where(later), gone, come, new).select("edge_id", "dst_symbol_id", "edge_type")
 
 
+@query("""SELECT src_symbol_id AS id, string_agg(callee_name, ',' ORDER BY first, callee_name) AS calls FROM (SELECT *, row_number() OVER (PARTITION BY src_symbol_id ORDER BY first, callee_name) AS place
+FROM (SELECT src_symbol_id, callee_name, min(edge_id) AS first FROM edges GROUP BY src_symbol_id, callee_name)) WHERE place <= 5 GROUP BY src_symbol_id""")
+def adjacency_lists(spark, d):
+    return graph.adjacency(index(spark, d).edges, F.col("src_symbol_id"), F.col("callee_name"), "calls", 5).select("id", joined("calls"))
+
+
 # from SQL
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import keep
@@ -80,6 +80,13 @@ def _round(ranks: DataFrame, weights: DataFrame, n: int, damping: float) -> Data
     return ranks.select("id", "loose").join(sent.hint("merge"), "id", "left").join(loose).select("id", rank.alias("rank"), "loose")
 
 
+def adjacency(edges: DataFrame, key: Column, other: Column, name: str, most: int) -> DataFrame:
+    """For each key the first different others, in the order of the edge's id. Ranked before they are listed, so a hub's list is never whole."""
+    pairs = edges.groupBy(key.alias("id"), other.alias("_other")).agg(F.min("edge_id").alias("_order"))
+    placed = pairs.withColumn("_place", F.row_number().over(Window.partitionBy("id").orderBy("_order", "_other"))).where(F.col("_place") <= most)
+    return placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_other"))), lambda x: x["_other"]).alias(name))
+
+
 class Buckets:
     """Tables with the same number of buckets, dropped together."""
 

@@ -31,11 +31,11 @@ LAST = "\U0010ffff"
 
 @dataclass(frozen=True)
 class Settings:
-    buckets: int = 64
+    buckets: int = 32
     #: Letters that choose a token's bucket; a search by a beginning of so many letters reads one bucket.
     letters: int = 3
     slots: int = 4
-    text_parts: int = 64
+    text_parts: int = 32
     #: Trigrams of a needle that are looked up: the rarest.
     grams: int = 3
     #: Ids that are broadcast; beyond, they are joined by a shuffle.

@@ -43,11 +43,6 @@ def phrase(rows: DataFrame, text: str, query: str) -> DataFrame:
     return rows.where(F.contains(padded(F.col(text)), F.lit(" " + " ".join(wanted) + " ")) if wanted else F.lit(False))
 
 
-def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """token, key, pos: an inverted index of the text."""
-    return rows.select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
-
-
 def running(rows: DataFrame, keys: list[str], order: str, marker: Column, name: str) -> DataFrame:
     """The last marker that isn't null, up to each row of its group."""
     over = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
