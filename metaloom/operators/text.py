@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import padded, words, words_of
+from ..functions.text import padded, words_of
 
 
 def grep(rows: DataFrame, keys: list[str], text: str, pattern: str, case_sensitive: bool = False, around: int = 2) -> DataFrame:
