@@ -91,24 +91,27 @@ def handlers(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return joins.resolve_least(rows.withColumn("_method", folded("handler_method")), targets, ["handler_module", "_method"], "symbol_id", "handler_symbol_id").drop("_method")
 
 
-def changes(index: Index, spark: SparkSession, root: str) -> DataFrame:
-    """path (module key), status, hash of the modules of a tree against the index; only files whose stat differs are read."""
-    rows = files.scan(spark, root, "*.bsl")
+def changes(index: Index, spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
+    """path (module key), status, hash of the modules of a tree, or of `only` one, against the index; only files whose stat differs are read."""
+    rows = files.scan(spark, root, "*.bsl", only)
     listing = rows.select(paths.module_key(F.col("full_path")).alias("path"), "mtime", "size")
     contents = rows.select(paths.module_key(F.col("full_path")).alias("path"), "content")
     stored = index.files.select("path", "mtime", "size", F.col("file_hash").alias("hash"))
+    if only is not None:
+        stored = stored.where(F.col("path") == paths.module_key(F.lit(f"{root.rstrip('/')}/{only}")))
     return incremental.detect_changes(stored, listing, contents)
 
 
-def update(index: Index, spark: SparkSession, root: str, folder: str, v: Vocabulary | None = None) -> tuple[Index, dict[str, int]]:
+def update(index: Index, spark: SparkSession, root: str, folder: str, v: Vocabulary | None = None, only: str | None = None) -> tuple[Index, dict[str, int]]:
     """Replaces what changed, purges what is gone, resolves what that touches; ranks stay as they were until `resolved` is called.
 
+    With `only`, a path below root, no other module is looked at.
     The new snapshot is written whole into folder before anyone reads it.
     """
-    status = changes(index, spark, root).cache()
+    status = changes(index, spark, root, only).cache()
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     touched = status.where("status in ('new', 'modified', 'touched')").select(F.col("path").alias("module_key"))
-    fresh = code.tables(files.texts(spark, root, "*.bsl").join(touched, "module_key", "left_semi"), v)
+    fresh = code.tables(files.texts(spark, root, "*.bsl", only=only).join(touched, "module_key", "left_semi"), v)
     out = status.where("status in ('modified', 'deleted', 'touched')").select(ids.file_id("path").alias("file_id"))
     tables = {"files": incremental.replaced(index.files, fresh["files"], out, "file_id")}
     gone = index.symbols.join(out, "file_id", "left_semi").select("symbol_id")

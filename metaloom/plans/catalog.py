@@ -44,7 +44,10 @@ class Catalog:
         rows = tagged.join(F.broadcast(tagged.agg(F.min("tier").alias("best"))), F.col("tier") == F.col("best"))
         return rows.select("name", "type", "params", "is_export", "line_start", "line_end", "module_type", "module_path").orderBy("module_path", "line_start")
 
-    def metadatasearch(self, query: str, limit: int = 10) -> DataFrame:
+    def metadatasearch(self, query: str, limit: int = 10, retrieval: Retrieval | None = None) -> DataFrame:
+        """By names; an index without any object or definition answers from the chunks of `retrieval`, with another row: full_path, object_type, name, content, score, source."""
+        if retrieval is not None and self.i.objects.isEmpty() and self.i.symbols.isEmpty():
+            return retrieval.search_metadata(query, limit).withColumn("source", F.lit("semantic"))
         return lookup.search_metadata(self.i.objects, query, limit).select("full_name", "object_type", "name", "synonym", F.lit("structural").alias("source"))
 
     def get_object_details(self, full_name: str) -> DataFrame:
@@ -100,7 +103,7 @@ class Catalog:
 
     @staticmethod
     def _of(rows: DataFrame, one: DataFrame) -> DataFrame:
-        """Rows of the picked symbol alone, before anything is grouped: its one id is broadcast."""
+        """Rows of the picked symbol, or of one module's, alone, before anything is grouped: these few ids are broadcast."""
         return rows.join(F.broadcast(one.select(F.col("symbol_id").alias("src_symbol_id"))), "src_symbol_id", "left_semi")
 
     def _same_name(self, name: str) -> DataFrame:
@@ -164,8 +167,10 @@ class Catalog:
 
     def cards(self, path: str | None = None) -> DataFrame:
         """symbol, signature, module_type, owner, synonym, calls, touches, doc, summary of every symbol (of one module): one plan for all."""
-        rows = self.placed if path is None else self.placed.where(F.col("module_path") == path)
-        return self._cards(rows, self.i.edges, self.i.query_refs)
+        if path is None:
+            return self._cards(self.placed, self.i.edges, self.i.query_refs)
+        rows = self.placed.where(F.col("module_path") == path)
+        return self._cards(rows, self._of(self.i.edges, rows), self._of(self.i.query_refs, rows))
 
     def _cards(self, rows: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
         calls = nested.distinct_ordered(edges.where("resolved"), ["src_symbol_id"], "pos", "callee_name", "calls", 15)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +12,22 @@ from ..functions import paths
 from .decode import CODE, decoded
 
 
-def scan(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """path (below root), mtime, size, content of files whose name fits; a listing that never selects content doesn't read it."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+def scan(spark: SparkSession, root: str, glob: str, only: str | None = None) -> DataFrame:
+    """path (below root), mtime, size, content of files whose name fits; a listing that never selects content doesn't read it.
+
+    only: the path below root of one file; no other is listed, and there is no row where it is gone.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if only is None:
+        rows = reader.load(root)
+    else:
+        literal = re.sub(r"([\\\[\]{}*?])", r"\\\1", only)
+        try:
+            rows = reader.load(f"{root.rstrip('/')}/{literal}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     return rows.select(below(root, F.col("path")).alias("path"), F.col("path").alias("full_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
 
 
@@ -22,9 +38,9 @@ def below(root: str, path: Column) -> Column:
     return F.when(at > 0, F.expr("substring(path, 1)").substr(at + F.length(bare), F.length(path))).otherwise(path)
 
 
-def texts(spark: SparkSession, root: str, glob: str, encodings: tuple[str, ...] = CODE) -> DataFrame:
+def texts(spark: SparkSession, root: str, glob: str, encodings: tuple[str, ...] = CODE, only: str | None = None) -> DataFrame:
     """path, module_key, text, hash of each file."""
-    rows = scan(spark, root, glob).withColumn("_read", decoded(F.col("content"), encodings))
+    rows = scan(spark, root, glob, only).withColumn("_read", decoded(F.col("content"), encodings))
     return rows.select("path", paths.module_key(F.col("full_path")).alias("module_key"), "mtime", "size", F.sha2("content", 256).alias("hash"), F.col("_read.text").alias("text"))
 
 

@@ -77,3 +77,71 @@ def test_stream_of_modules(spark, tmp_path):
         refresh.append_functions(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.module_key, r.name) for r in rows] == [("CommonModules/M/Ext/Module.bsl", "А")]
+
+
+def tree(root, put):
+    for name, text in put.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+
+def book(spark, folder):
+    return {(r.path, r.collection): (r.status, r.retry_count) for r in spark.read.parquet(f"{folder}/ledger/files").collect()}
+
+
+def test_ledger_of_a_tree(spark, tmp_path):
+    root, full = tmp_path / "in", vi.Config(mode="full", retries=2)
+    body = "Процедура Длинная()\n" + "    А = 1;\n" * 6 + "КонецПроцедуры\n"
+    tree(root, {"src/CommonModules/M/Ext/Module.bsl": body, "src/CommonModules/E/Ext/Module.bsl": "\n", "Help/A/bad[1].html": "<title>T</title><body><p>broken</p></body>", "Help/A/y.html": "<title>Y</title><body><p>fine</p></body>"})
+    calls = spark.sparkContext.accumulator(0)
+
+    def some(texts):
+        calls.add(len(texts))
+        return [None if "broken" in t else v for t, v in zip(texts, hashed(texts))]
+
+    model = Provider(some, name="some")
+    bad, module, blank = ("Help/A/bad[1].html", "help"), ("CommonModules/M/Ext/Module.bsl", "code"), ("CommonModules/E/Ext/Module.bsl", "code")
+    go = lambda n: (vi.refresh(spark, str(root), str(tmp_path / f"v{n - 1}") if n > 1 else None, str(tmp_path / f"v{n}"), model, full), book(spark, tmp_path / f"v{n}"))
+    done, rows = go(1)
+    assert done["tried"] == {"new": 4} and done["changed_definitions"] == 1 and done["vectors"] == {"code": 1, "help": 1}
+    assert rows[bad] == ("failed", 1) and rows[module] == ("indexed", 0) and rows[blank] == ("skipped", 0)
+    assert done["ledger"] == {"code": {"indexed": 1, "skipped": 1}, "help": {"failed": 1, "indexed": 1}}
+    before = calls.value
+    done, rows = go(2)
+    assert done["tried"] == {"retry": 1} and rows[bad] == ("failed", 2) and done["changed_definitions"] == 0 and calls.value > before
+    before = calls.value
+    done, rows = go(3)
+    assert done["tried"] == {} and rows[bad] == ("failed", 2) and calls.value == before  # given up as it is
+    (root / bad[0]).write_text("<title>T</title><body><p>mended</p></body>")
+    (root / "Help/A/y.html").unlink()
+    done, rows = go(4)
+    assert done["tried"] == {"modified": 1} and rows[bad] == ("indexed", 0) and ("Help/A/y.html", "help") not in rows and done["vectors"] == {"code": 1, "help": 1}
+
+    # one file at a time
+    one = lambda path, a, b, m=model: vi.refresh_file(spark, str(root), path, str(tmp_path / a), str(tmp_path / b), m, full)
+    assert one("src/CommonModules/M/Ext/Module.bsl", "v4", "x") == {"status": "unchanged", "chunks": 0, "snapshot": str(tmp_path / "v4")}
+    (root / "src/CommonModules/M/Ext/Module.bsl").write_text(body + body.replace("Длинная", "Другая"))
+    assert one("src/CommonModules/M/Ext/Module.bsl", "v4", "v5")["status"] == "modified"
+    code = spark.read.parquet(str(tmp_path / "v5/vectors")).where("collection = 'code'")
+    assert {r.name for r in code.collect()} == {"Длинная", "Другая"} and book(spark, tmp_path / "v5").keys() == rows.keys()
+    assert {r.function_name for r in spark.read.parquet(str(tmp_path / "v5/ledger/definitions")).collect()} == {"Длинная", "Другая"}
+    (root / bad[0]).unlink()
+    assert one(bad[0], "v5", "v6")["status"] == "deleted"
+    assert bad not in book(spark, tmp_path / "v6") and spark.read.parquet(str(tmp_path / "v6/vectors")).where("collection = 'help'").count() == 0
+    with pytest.raises(ValueError):
+        one(bad[0], "v5", "x", Provider(some, name="other"))
+    assert one("notes.md", "v6", "x")["status"] == "unchanged"
+
+
+def test_metadata_search_without_structure(spark):
+    from metaloom.plans.build import Index, TABLES
+    from metaloom.plans.catalog import Catalog, Retrieval, chunk_table
+
+    empty = Index(**{name: spark.createDataFrame([], "object_id long, symbol_id long, file_id long, path string, module_type string, object_name string, name string, synonym string, full_name string, object_type string") for name in TABLES})
+    empty.files, empty.symbols = empty.files.select("file_id", "path", "module_type", "object_name"), empty.symbols.select("symbol_id", "file_id", "name")
+    objects = spark.createDataFrame([("Справочники.В", "Справочники", "В", {"a": "1"}, "r.txt"), ("Справочники.Г", "Справочники", "Г", {}, "r.txt")], "full_path string, object_type string, name string, properties map<string,string>, source_file string")
+    model = Provider(hashed, name="hashed")
+    chunks = chunk_table(spark, {"metadata": vi.metadata_chunks(objects)}, model)
+    rows = Catalog(empty).metadatasearch("a: 1 В", 5, Retrieval(chunks, model)).collect()
+    assert {r.source for r in rows} == {"semantic"} and {r.full_path for r in rows} == {"Справочники.В", "Справочники.Г"}
+    assert Catalog(empty).metadatasearch("В", 5).count() == 0
