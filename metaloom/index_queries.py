@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from .operators import graph, incremental
 from .operators.cells import Cells
 from .operators.postings import Postings
-from .plans import build, sql
+from .plans import build, ledger, sql
 from .plans.build import Index, handlers
 from .plans.catalog import Catalog, scan_grep
 from .plans.shared import keep, new_dir
+from .streaming.ledger import append_told, ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -216,6 +217,58 @@ def ledger_changes(spark, d):
     return incremental.detect_changes(stored, listing, now.select(path, F.encode("text", "utf-8").alias("content"))).select("path", "status")
 
 
+@query("""SELECT path, collection, status, error_message, retry_count FROM (
+WITH there AS (SELECT doc_id::VARCHAR AS path, source AS collection, doc_id, sha256(text) AS hash, doc_id % 4 = 0 AS changed, doc_id % 3 = 0 AS bad, (doc_id % 6)::INTEGER AS times, doc_id % 5 <> 0 AS known, doc_id % 4 AS wanted FROM documents WHERE doc_id % 7 <> 0 AND source IS NOT NULL),
+tried AS (SELECT *, NOT known OR changed OR (bad AND times < 3) AS due, (SELECT count(*) FROM generate_series(1, wanted) g(n) WHERE (doc_id + n) % 11 = 0) AS lacking FROM there)
+SELECT path, collection, CASE WHEN NOT due THEN CASE WHEN bad THEN 'failed' ELSE 'indexed' END WHEN wanted = 0 THEN 'skipped' WHEN lacking > 0 THEN 'failed' ELSE 'indexed' END AS status,
+CASE WHEN NOT due THEN CASE WHEN bad THEN 'before' END WHEN wanted = 0 THEN 'no chunks' WHEN lacking > 0 THEN lacking || ' of ' || wanted || ' chunks have no vector' END AS error_message,
+CASE WHEN NOT due THEN CASE WHEN bad THEN times ELSE 0 END WHEN wanted > 0 AND lacking > 0 THEN CASE WHEN known AND bad THEN times ELSE 0 END + 1 ELSE 0 END AS retry_count FROM tried WHERE known OR due)""")
+def ledger_round(spark, d):
+    """A round over documents as files: what is due by the ledger, what their chunks came to, and the ledger after it."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("source is not null").withColumns({"path": F.col("doc_id").cast("string"), "collection": F.col("source"), "now": F.sha2("text", 256)})
+    there = docs.where("doc_id % 7 <> 0").select("path", "collection", F.col("now").alias("hash"))
+    bad = F.col("doc_id") % 3 == 0
+    status, times = F.when(bad, "failed").otherwise("indexed").alias("status"), F.when(bad, F.col("doc_id") % 6).otherwise(0).cast("int").alias("retry_count")
+    was = F.when(F.col("doc_id") % 4 == 0, F.lit("other")).otherwise(F.col("now")).alias("hash")
+    files = docs.where("doc_id % 5 <> 0").select("path", "collection", was, F.lit("2024-01-01").cast("timestamp").alias("indexed_at"), status, F.when(bad, F.lit("before")).alias("error_message"), times)
+    wanted = docs.where("doc_id % 4 <> 0").select("path", "collection", "doc_id", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 4).cast("int"))).alias("n")).withColumn("id", F.concat_ws("-", "doc_id", "n"))
+    updates = ledger.outcomes(ledger.due(files, there), wanted, wanted.where("(doc_id + n) % 11 <> 0"), "2024-02-01")
+    return ledger.files_after(files, there, updates).select("path", "collection", "status", "error_message", "retry_count")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, source AS function_name, CASE WHEN doc_id % 3 = 0 OR (doc_id % 2 = 1 AND doc_id % 5 <> 0) THEN DATE '2024-01-01' ELSE DATE '2024-02-01' END::VARCHAR AS day, sha256(CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'old' ELSE text END) AS hash
+FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND (doc_id % 3 <> 0 OR doc_id % 5 <> 0)""")
+def ledger_definitions(spark, d):
+    """The ledger of definitions after a round: bodies it didn't know are written, but those of failed files stay as they were."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("source is not null and text is not null").withColumn("path", F.col("doc_id").cast("string"))
+    bodies = docs.select("path", F.col("source").alias("function_name"), F.col("text").alias("body"))
+    old = docs.where("doc_id % 5 <> 0").select("path", F.col("source").alias("function_name"), F.lit("code").alias("collection"), F.sha2(F.when(F.col("doc_id") % 2 == 0, F.lit("old")).otherwise(F.col("text")), 256).alias("hash"), F.lit("2024-01-01").cast("timestamp").alias("indexed_at"))
+    files = docs.select("path", F.lit("code").alias("collection"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("indexed").alias("status"))
+    gone = old.limit(1).withColumn("function_name", F.lit("gone"))
+    after, _ = ledger.definitions_after(old.unionByName(gone), bodies, files, "2024-02-01")
+    return after.select("path", "function_name", F.date_format("indexed_at", "yyyy-MM-dd").alias("day"), "hash")
+
+
+@query("""SELECT path, hash, status, retry_count, due FROM (WITH done AS (SELECT user_id, max((ts, coalesce(props, ''))) FILTER (event_type <> 'error') AS d, max(ts) FILTER (event_type <> 'error') AS done_at FROM events GROUP BY user_id),
+f AS (SELECT e.user_id, count(DISTINCT ts)::INTEGER AS n, max(ts) AS last, arg_max(props, (ts, coalesce(props, ''))) AS hash FROM events e JOIN done USING (user_id) WHERE event_type = 'error' AND (done_at IS NULL OR ts > done_at) GROUP BY e.user_id),
+w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT done.user_id::VARCHAR AS path, CASE WHEN f.n IS NULL THEN (SELECT max(props) FROM events x WHERE x.user_id = done.user_id AND ts = done_at AND event_type <> 'error') ELSE f.hash END AS hash,
+CASE WHEN f.n IS NULL THEN 'indexed' ELSE 'failed' END AS status, coalesce(f.n, 0) AS retry_count, coalesce(f.n < 3 AND f.last + INTERVAL 10 MINUTE < (SELECT mark FROM w), false) AS due FROM done LEFT JOIN f USING (user_id) WHERE done.user_id IS NOT NULL)""")
+def ledger_stream_state(spark, d):
+    """Events as a stream of attempts: how each file stands at its end, and whether its timer told that it is due again."""
+    table = f"{d}/events.parquet"
+    # a pattern, as a stream takes one file for the folder of its partitions
+    events = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{d}/events.parque[t]")
+    failed = F.when(F.col("event_type") == "error", "failed").otherwise("indexed")
+    attempts = events.select(F.col("user_id").cast("string").alias("path"), F.lit("code").alias("collection"), F.col("props").alias("hash"), failed.alias("status"), F.col("ts").alias("at"))
+    target = new_dir(spark, "ledger_stream")
+    append_told(ledger_stream(attempts), target, new_dir(spark, "ledger_checkpoint")).awaitTermination()
+    told = spark.read.parquet(target)
+    last = told.where("event = 'status'").groupBy("path").agg(F.max_by(F.struct("hash", "status", "retry_count"), "batch").alias("s"))
+    due = told.where("event = 'retry'").select("path", F.lit(True).alias("due")).distinct()
+    return last.select("path", "s.*").join(due, "path", "left").select("path", "hash", "status", "retry_count", F.coalesce("due", F.lit(False)).alias("due"))
+
+
 # indexes
 
 
