@@ -67,6 +67,6 @@ def test_timers(spark, tmp_path):
 
 
 def test_forgotten_and_empty(spark, tmp_path):
-    rows = told(spark, tmp_path, [[("a", "code", "x", "failed", at(0))], [("z", "code", "x", "indexed", at(500))], [("z", "code", "x", "indexed", at(501))], [], [("a", "code", "y", "failed", at(500))]], late="1 minute", retry_after="10 minutes", forget="2 hours")
+    rows = told(spark, tmp_path, [[("a", "code", "x", "failed", at(0))], [("z", "code", "x", "indexed", at(500))], [("z", "code", "x", "indexed", at(501))], [], [("a", "code", "y", "failed", at(501))]], late="1 minute", retry_after="10 minutes", forget="2 hours")
     last = standing(rows)["a", "code"]
-    assert last == ("y", "failed", 1, at(500))  # the failure before was dropped with its state
+    assert last == ("y", "failed", 1, at(501))  # the failure before was dropped with its state
