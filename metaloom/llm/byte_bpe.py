@@ -42,7 +42,7 @@ class Settings:
     a piece; the rest bounds what one DuckDB query holds.
     """
 
-    cache: int = 240_000_000
+    cache: int = 200_000_000
     long: int = 1000
     piece: int = 256
     query_bytes: int = 400_000
@@ -235,7 +235,7 @@ def _flat(parts: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(parts), np.int32)
 
 
-def chunks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `most` characters."""
     at, size = 0, 0
     for i, t in enumerate(texts):

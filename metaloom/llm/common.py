@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -59,10 +62,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "2m")
 
 
+def releasing(run: Callable) -> Callable:
+    """run, whose worker hands back what its allocators hold unused once a partition is done, since later stages find the same workers."""
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(frames)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def in_frames(rows: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """mapInPandas with ids carried as text: beside a null, pandas turns whole numbers into floats, and those over 2 ** 53 change."""
     small_batches(rows.sparkSession)
     declared = StructType.fromDDL(schema)
     carried = StructType([StructField(f.name, StringType()) if f.name in ids else f for f in declared])
-    found = rows.withColumns({c: F.col(c).cast("string") for c in ids if c in rows.columns}).mapInPandas(run, carried)
+    found = rows.withColumns({c: F.col(c).cast("string") for c in ids if c in rows.columns}).mapInPandas(releasing(run), carried)
     return found.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in declared if f.name in ids})

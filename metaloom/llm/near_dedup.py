@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_frames, keep, text_of
+from .common import in_frames, keep, releasing, text_of
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -214,7 +214,7 @@ def signed(drawn: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
     rows = drawn.where("items is not null").select("node", "sketch", "items").join(bounded(wanted, s), "node", "left_semi")
     once = rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("items").alias("items"))
-    return once.mapInPandas(run, "node binary, sketch array<long>, items binary, signature binary")
+    return once.mapInPandas(releasing(run), "node binary, sketch array<long>, items binary, signature binary")
 
 
 def bounded(side: DataFrame, s: Settings) -> DataFrame:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
 
     x = items.select(F.col("node").alias("a"), F.col("items").alias("x"))
     y = items.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary, linked boolean")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(releasing(run), "a binary, b binary, linked boolean")
 
 
 def classes(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
