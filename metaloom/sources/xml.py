@@ -9,12 +9,15 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions.text import handler_of
 from ..plans import vocabulary as words
+from ..plans.shared import keep
 from .code import query_refs
 from .files import in_roots
 
@@ -34,7 +37,10 @@ def named(element: ET.Element | None, *names: str) -> Iterator[ET.Element]:
 
 
 def child(element: ET.Element | None, name: str) -> ET.Element | None:
-    return next(named(element, name), None)
+    for c in element if element is not None else ():
+        if c.tag.rpartition("}")[2] == name:
+            return c
+    return None
 
 
 def text(element: ET.Element | None, *names: str) -> str:
@@ -158,15 +164,19 @@ def report_schema(root: ET.Element, path: str) -> dict | None:
 def parsed(content: Column, path: Column, parse: Callable[[ET.Element, str], dict | None], schema: str) -> Column:
     """The struct that `parse` finds in each file; null for what isn't XML."""
 
-    @F.pandas_udf(f"struct<found:boolean,value:{schema}>")
-    def run(contents: pd.Series, names: pd.Series) -> pd.DataFrame:
+    whole = f"struct<found:boolean,value:{schema}>"
+    made = to_arrow_type(DataType.fromDDL(whole))
+
+    @F.arrow_udf(whole)
+    def run(contents: pa.Array, names: pa.Array) -> pa.Array:
         out = []
-        for c, n in zip(contents, names, strict=True):
+        for c, n in zip(contents.to_pylist(), names.to_pylist(), strict=True):
             try:
-                out.append(parse(ET.fromstring(c), n) if c else None)
+                x = parse(ET.fromstring(c), n) if c else None
             except ET.ParseError:
-                out.append(None)
-        return pd.DataFrame({"found": [x is not None for x in out], "value": out})
+                x = None
+            out.append({"found": x is not None, "value": x})
+        return pa.array(out, type=made)
 
     return run(content, path)
 
@@ -216,20 +226,29 @@ def report_schemas(files: DataFrame) -> DataFrame:
 
 
 def flat(found: DataFrame) -> dict[str, DataFrame]:
-    """objects, attributes, tab_parts, tab_part_attributes, register_movements; of equal keys the first stays."""
-    from ..operators.ranking import first_write_wins, last_write_wins
-
-    one = last_write_wins(found, ["full_name"], ["path"]).withColumn("object_id", F.xxhash64("full_name"))
-    fields = lambda x: (F.col(f"{x}.name").alias("name"), F.col(f"{x}.type_ref").alias("type_ref"), F.col(f"{x}.is_required").alias("is_required"))
-    attributes_ = one.select("object_id", F.posexplode("attributes").alias("pos", "a")).select("object_id", "pos", *fields("a"))
-    parts = one.select("object_id", F.posexplode("tab_parts").alias("pos", "t")).select("object_id", "pos", F.col("t.name").alias("name"), "t.attributes")
-    parts = first_write_wins(parts, ["object_id", "name"], ["pos"]).withColumn("tab_part_id", F.xxhash64("object_id", "name"))
-    inner = parts.select("tab_part_id", F.posexplode("attributes").alias("pos", "a")).select("tab_part_id", "pos", *fields("a")).drop("is_required")
-    moves = one.select(F.col("object_id").alias("document_id"), F.explode("registers").alias("register_name")).distinct()
+    """objects, attributes, tab_parts, tab_part_attributes, register_movements; of equal keys the first stays.
+
+    What was found is written once, an object a row, for the tables are read apart and each would parse all files anew. Names
+    are told apart within their object's arrays, without a shuffle.
+    """
+    from ..operators.ranking import last_write_wins
+
+    one = keep(last_write_wins(found, ["full_name"], ["path"]).withColumn("object_id", F.xxhash64("full_name")), "objects")
+    attributes_ = one.select("object_id", F.inline(_first_of_name("attributes", "name", "type_ref", "is_required")))
+    parts = one.select("object_id", F.inline(_first_of_name("tab_parts", "name", "attributes"))).withColumn("tab_part_id", F.xxhash64("object_id", "name"))
+    inner = parts.select("tab_part_id", F.inline(_first_of_name("attributes", "name", "type_ref")))
+    moves = one.select(F.col("object_id").alias("document_id"), F.explode(F.array_distinct("registers")).alias("register_name"))
     return {
         "objects": one.select("object_id", "name", "object_type", "synonym", "full_name"),
-        "attributes": first_write_wins(attributes_, ["object_id", "name"], ["pos"]),
+        "attributes": attributes_,
         "tab_parts": parts.select("tab_part_id", "object_id", "pos", "name"),
-        "tab_part_attributes": first_write_wins(inner, ["tab_part_id", "name"], ["pos"]),
+        "tab_part_attributes": inner,
         "register_movements": moves,
     }
+
+
+def _first_of_name(column: str, *fields: str) -> Column:
+    """pos (from 0) and fields of an array's structs, the first of each name alone."""
+    names = F.transform(column, lambda x: x["name"])
+    placed = F.transform(column, lambda x, i: F.struct(i.alias("pos"), *(x[f].alias(f) for f in fields)))
+    return F.filter(placed, lambda x: F.array_position(names, x["name"]) == x["pos"] + 1)

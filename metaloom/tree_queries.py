@@ -131,7 +131,7 @@ def tree_objects(spark, d):
     made = xml.flat(xml.objects(catalogues(spark, d)))
     attributes = made["attributes"].groupBy("object_id").agg(F.count("*").cast("int").alias("attributes"))
     moves = made["register_movements"].groupBy(F.col("document_id").alias("object_id")).agg(F.array_join(F.array_sort(F.collect_list("register_name")), ",").alias("registers"))
-    rows = made["objects"].join(attributes, "object_id", "left").join(moves, "object_id", "left")
+    rows = made["objects"].join(attributes.hint("merge"), "object_id", "left").join(moves.hint("merge"), "object_id", "left")
     return rows.select("full_name", "name", "object_type", "synonym", F.coalesce("attributes", F.lit(0)).alias("attributes"), "registers")
 
 
@@ -142,12 +142,15 @@ f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 ORDER
 @query(f"""WITH {ATTRIBUTES}, r AS (SELECT 'Справочник.C' || o_custkey AS full_name, pos::INTEGER AS pos, 'a' || (o_orderkey % 7) AS name, 'СправочникСсылка.C' || (o_orderkey % 50) || CASE WHEN o_orderstatus = 'O' THEN ', Строка' ELSE '' END AS type_ref, o_orderstatus = 'F' AS is_required FROM f WHERE n = 1)
 SELECT full_name, NULL AS part, pos, name, type_ref, is_required FROM r UNION ALL SELECT full_name, 'Rows', pos, name, type_ref, NULL FROM r""")
 def tree_attributes(spark, d):
-    """Attributes of objects and of their tabular sections, with types in the platform's words; of equal names the first stays."""
+    """Attributes of objects and of their tabular sections, with types in the platform's words; of equal names the first stays.
+
+    Joined by shuffles: compressed files look small, and the planner would broadcast all objects through the driver.
+    """
     made = xml.flat(xml.objects(catalogues(spark, d)))
-    objects = made["objects"].select("object_id", "full_name")
+    objects = made["objects"].select("object_id", "full_name").hint("merge")
     own = made["attributes"].join(objects, "object_id").select("full_name", F.lit(None).cast("string").alias("part"), "pos", "name", "type_ref", "is_required")
     parts = made["tab_parts"].join(objects, "object_id").select("tab_part_id", "full_name", F.col("name").alias("part"))
-    inner = made["tab_part_attributes"].join(parts, "tab_part_id").select("full_name", "part", "pos", "name", "type_ref", F.lit(None).cast("boolean").alias("is_required"))
+    inner = made["tab_part_attributes"].join(parts.hint("merge"), "tab_part_id").select("full_name", "part", "pos", "name", "type_ref", F.lit(None).cast("boolean").alias("is_required"))
     return own.unionByName(inner)
 
 
