@@ -10,3 +10,25 @@ def plan(df):
 
 def test_attributes_are_joined_by_shuffles(spark, small):
     assert "Broadcast" not in plan(tq.tree_attributes(spark, small))
+
+
+def test_tables_of_objects_parse_no_file_again(spark, small):
+    made = xml.flat(xml.objects(tq.catalogues(spark, small)))
+    assert not [name for name, rows in made.items() if "EvalPython" in plan(rows)]
+
+
+def test_objects_are_joined_by_shuffles(spark, small):
+    assert "Broadcast" not in plan(tq.tree_objects(spark, small))
+
+
+def test_of_equal_names_the_first_stays(spark):
+    a = [("a", "t1", True), ("b", "t2", False), ("a", "t3", False)]
+    row = [("p", "Kind.N", "N", "Kind", "s", a, [("S", a), ("S", a[:1]), ("T", a[1:])], ["R", "Q", "R"])]
+    fields = "array<struct<name:string,type_ref:string,is_required:boolean>>"
+    found = spark.createDataFrame(row, f"path string, full_name string, name string, object_type string, synonym string, attributes {fields}, tab_parts array<struct<name:string,attributes:{fields}>>, registers array<string>")
+    made = xml.flat(found)
+    of = lambda name, *columns: sorted(map(tuple, made[name].select(*columns).collect()))
+    assert of("attributes", "pos", "name", "type_ref", "is_required") == [(0, "a", "t1", True), (1, "b", "t2", False)]
+    assert of("tab_parts", "pos", "name") == [(0, "S"), (2, "T")]
+    assert of("tab_part_attributes", "pos", "name", "type_ref") == [(0, "a", "t1"), (0, "b", "t2"), (1, "a", "t3"), (1, "b", "t2")]
+    assert of("register_movements", "register_name") == [("Q",), ("R",)]
