@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words, words_of
+from ..plans.shared import keep
 
 #: Stands after a text, so that its last letters begin trigrams too.
 END = "\u0000"
@@ -47,6 +48,7 @@ class Postings:
 
     def __init__(self, spark: SparkSession, kind: str, segments: tuple[str, ...], settings: Settings | None = None):
         self.spark, self.kind, self.segments, self.s = spark, kind, segments, settings or Settings()
+        self._gone: dict[int, DataFrame] = {}
 
     # writing
 
@@ -60,12 +62,17 @@ class Postings:
         texts = texts.where("doc is not null")
         out = texts.select("doc") if gone is None else gone.select("doc").unionByName(texts.select("doc"))
         postings = tokens_of(texts, self.kind).withColumns({"bucket": self._bucket(F.col("token")), "slot": F.pmod(F.xxhash64("doc"), F.lit(self.s.slots))})
-        postings = postings.repartition("bucket", "slot").groupBy("bucket", "slot", "token", "doc").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+        postings = postings.repartition("bucket", "slot")
+        if self.kind == "words":
+            postings = postings.groupBy("bucket", "slot", "token", "doc").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+        else:  # each trigram of a text comes once
+            postings = postings.withColumn("positions", F.array("pos"))
         _placed(postings.select("bucket", "token", "doc", "positions"), "bucket", ["bucket", "token", "doc"], f"{folder}/postings")
         kept = texts.withColumn("part", self._part(F.col("doc"))).repartition("part")
         _placed(kept, "part", ["part", "doc"], f"{folder}/texts")
         out.distinct().write.parquet(f"{folder}/gone")
-        counts = postings.groupBy("bucket", "token").agg(F.count("*").alias("docs"))
+        written = self.spark.read.schema("token string, bucket int").parquet(f"{folder}/postings")  # not the plan, which would cut the texts again
+        counts = written.groupBy("bucket", "token").agg(F.count("*").alias("docs"))
         _placed(counts, "bucket", ["bucket", "token"], f"{folder}/counts")
         return Postings(self.spark, self.kind, (*self.segments, folder), self.s)
 
@@ -89,16 +96,22 @@ class Postings:
         for n, folder in enumerate(self.segments):
             own = self.spark.read.parquet(f"{folder}/{name}")
             own = own if where is None else own.where(where)
-            later = [self.spark.read.parquet(f"{f}/gone") for f in self.segments[n + 1 :]]
-            rows.append(own.join(self._small(reduce(DataFrame.unionByName, later).distinct()), "doc", "left_anti") if later else own)
+            rows.append(own.join(self._later(n), "doc", "left_anti") if n + 1 < len(self.segments) else own)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
 
+    def _later(self, n: int) -> DataFrame:
+        """What segments after the n-th say is gone; looked at once, for segments don't change."""
+        if n not in self._gone:
+            later = [self.spark.read.parquet(f"{f}/gone") for f in self.segments[n + 1 :]]
+            self._gone[n] = self._small(reduce(DataFrame.unionByName, later).distinct())
+        return self._gone[n]
+
     def texts(self) -> DataFrame:
         return self._living("texts")
 
     def texts_of(self, found: DataFrame) -> DataFrame:
-        """The texts of documents (doc); folders without one are not read."""
-        ids = found.select("doc", self._part(F.col("doc")).alias("part"))
+        """The texts of documents (doc); folders without one are not read. The search is run once: its ids are kept, then counted."""
+        ids = keep(found.select("doc", self._part(F.col("doc")).alias("part")), "found")
         return self._living("texts").join(self._small(ids), ["part", "doc"], "left_semi").drop("part")
 
     def _in(self, tokens: list[str]) -> Column:
@@ -165,10 +178,8 @@ def tokens_of(texts: DataFrame, kind: str) -> DataFrame:
     rows = texts.where("doc is not null and text is not null")
     if kind == "words":
         return rows.select("doc", F.posexplode(words(F.col("text"))).alias("pos", "token"))
-    letters = rows.select("doc", F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("c"))
-    at = lambda i: F.coalesce(F.get("c", i), F.lit(END))
-    grams = F.array_distinct(F.transform("c", lambda c, i: F.concat(c, at(i + 1), at(i + 2))))
-    return letters.select("doc", F.lit(0).alias("pos"), F.explode(grams).alias("token"))
+    grams = F.regexp_extract_all(F.concat(F.lower("text"), F.lit(END + END)), F.lit("(?s)(?=(.{3}))."), F.lit(1))
+    return rows.select("doc", F.lit(0).alias("pos"), F.explode(F.array_distinct(grams)).alias("token"))
 
 
 def _placed(rows: DataFrame, folder: str, order: list[str], path: str) -> None:

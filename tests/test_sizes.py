@@ -1,6 +1,10 @@
 """What keeps queries in bounds on large tables, seen in plans and small tables."""
 
+from pyspark.sql import functions as F
+
 from metaloom import tree_queries as tq
+from metaloom.operators import postings
+from metaloom.operators.postings import Postings
 from metaloom.sources import xml
 
 
@@ -32,3 +36,22 @@ def test_of_equal_names_the_first_stays(spark):
     assert of("tab_parts", "pos", "name") == [(0, "S"), (2, "T")]
     assert of("tab_part_attributes", "pos", "name", "type_ref") == [(0, "a", "t1"), (0, "b", "t2"), (1, "a", "t3"), (1, "b", "t2")]
     assert of("register_movements", "register_name") == [("Q",), ("R",)]
+
+
+def test_an_index_cuts_its_texts_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        asked.add(1)
+        return text
+
+    texts = spark.createDataFrame([(i, f"word {i} ab") for i in range(10)], "doc long, text string").withColumn("text", F.udf(told, "string").asNondeterministic()("text"))
+    index = Postings.write(texts, "trigrams", f"{tmp_path}/index")
+    assert asked.value == 20  # once for the postings, once for the texts that are stored
+    assert {r["doc"] for r in index.containing("d 7 a").collect()} == {7}
+
+
+def test_trigrams_of_letters_beyond_two_bytes(spark):
+    found = postings.tokens_of(spark.createDataFrame([(1, "A😀b\nb"), (2, ""), (3, None), (4, "x")], "doc long, text string"), "trigrams")
+    end = postings.END
+    assert sorted((r["doc"], r["token"]) for r in found.collect()) == sorted([(1, "a😀b"), (1, "😀b\n"), (1, "b\nb"), (1, "\nb" + end), (1, "b" + 2 * end), (4, "x" + 2 * end)])
