@@ -1,11 +1,13 @@
 """What keeps queries in bounds on large tables, seen in plans and small tables."""
 
+import tracemalloc
+
 from pyspark.sql import functions as F
 
 from metaloom import tree_queries as tq
 from metaloom.operators import postings
 from metaloom.operators.postings import Postings
-from metaloom.sources import xml
+from metaloom.sources import reports, xml
 
 
 def plan(df):
@@ -55,3 +57,15 @@ def test_trigrams_of_letters_beyond_two_bytes(spark):
     found = postings.tokens_of(spark.createDataFrame([(1, "A😀b\nb"), (2, ""), (3, None), (4, "x")], "doc long, text string"), "trigrams")
     end = postings.END
     assert sorted((r["doc"], r["token"]) for r in found.collect()) == sorted([(1, "a😀b"), (1, "😀b\n"), (1, "b\nb"), (1, "\nb" + end), (1, "b" + 2 * end), (4, "x" + 2 * end)])
+
+
+def test_a_long_report_is_neither_held_whole_nor_read_otherwise():
+    text = "- A.B\r\n\tT: \"x\"\n\tC:\n\t\t\"first\n\t\tsecond\" \tD: \"y\"\n- A.C\n" * 20_000
+    whole = [("A.B", {"T": "x", "C": "first\nsecond", "D": "y"}), ("A.C", {})] * 20_000
+    assert list(reports.lines_of(text, 7)) == text.splitlines()
+    assert list(reports.each_object(text)) == whole
+    tracemalloc.start()
+    assert sum(1 for _ in reports.each_object(text)) == 40_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
