@@ -7,6 +7,8 @@ line, up to the first closing bracket.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def functions(texts: DataFrame, v: Vocabulary | None = None) -> DataFrame:
     v = v or Vocabulary()
     opening = rf"(?iU)^\s*({_any(v.starts)})\s+(\w+)\s*\((.*?)\)"
     ending = rf"(?iU)^\s*({_any(v.ends)})\s*$"
-    lines = F.transform(F.split(F.col("text"), "\n"), lambda x: F.regexp_replace(x, "\\r$", ""))
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda x: F.when(F.contains(x, F.lit("\r")), F.regexp_replace(x, "\\r$", "")).otherwise(x))
     rows = texts.where(F.rlike("text", F.lit(rf"(?iU)({_any(v.starts)})\s+\w+\s*\("))).select("path", "module_key", lines.alias("lines"))
     places = lambda pattern: F.filter(F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(pattern)), i + 1)), lambda i: i.isNotNull())
     marked = rows.withColumn("opens", places(opening)).withColumn("closes", places(ending))
@@ -62,16 +64,20 @@ def query_refs(text: Column, v: Vocabulary) -> Column:
 
 def doc_comment(lines: Column, line_start: Column, v: Vocabulary, most: int = 200) -> Column:
     """The first paragraph of the comment that ends right above a definition, up to a line that names a section."""
-    above = F.reverse(F.slice(lines, 1, line_start - 1))
-    code_at = F.array_position(F.transform(above, lambda x: ~F.startswith(F.trim(F.translate(x, "\t", " ")), F.lit("//"))), True)
-    block = F.reverse(F.when(code_at > 0, F.slice(above, 1, (code_at - 1).cast("int"))).otherwise(above))
-    bare = F.transform(block, lambda x: F.regexp_replace(x, r"^\s*/+\s*|\s+$", ""))
+    is_code = lambda x: ~F.startswith(F.trim(F.translate(x, "\t", " ")), F.lit("//"))
     is_rule = lambda x: F.rlike(x, F.lit(r"^[/=\-* ]*$"))
-    from_text = F.array_position(F.transform(bare, lambda x: ~is_rule(x)), True)
-    text = F.when(from_text > 0, F.slice(bare, from_text.cast("int"), F.size(bare))).otherwise(F.slice(bare, 1, 0))
-    stop = F.array_position(F.transform(text, lambda x: is_rule(x) | F.rlike(x, F.lit(f"^(?:{_any(v.doc_stops)})"))), True)
-    first = F.when(stop > 0, F.slice(text, 1, (stop - 1).cast("int"))).otherwise(text)
-    return F.left(F.trim(F.regexp_replace(F.array_join(first, " "), "\\s+", " ")), F.lit(most))
+    is_stop = lambda x: is_rule(x) | F.rlike(x, F.lit(f"^(?:{_any(v.doc_stops)})"))
+    first = lambda xs, test: F.array_position(F.transform(xs, test), True).cast("int")
+    block = lambda above: _once(first(above, is_code), lambda at: F.reverse(F.when(at > 0, F.slice(above, 1, at - 1)).otherwise(above)))
+    text = lambda bare: _once(first(bare, lambda x: ~is_rule(x)), lambda at: F.when(at > 0, F.slice(bare, at, F.size(bare))).otherwise(F.slice(bare, 1, 0)))
+    paragraph = lambda found: _once(first(found, is_stop), lambda at: F.when(at > 0, F.slice(found, 1, at - 1)).otherwise(found))
+    bare = F.transform(_once(F.reverse(F.slice(lines, 1, line_start - 1)), block), lambda x: F.regexp_replace(x, r"^\s*/+\s*|\s+$", ""))
+    return F.left(F.trim(F.regexp_replace(F.array_join(_once(_once(bare, text), paragraph), " "), "\\s+", " ")), F.lit(most))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value bound to a variable: inside higher-order functions Spark evaluates an expression again at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def file_records(texts: DataFrame, v: Vocabulary | None = None) -> DataFrame:

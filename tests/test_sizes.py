@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from metaloom import tree_queries as tq
 from metaloom.operators import postings
 from metaloom.operators.postings import Postings
-from metaloom.sources import reports, xml
+from metaloom.plans.vocabulary import Vocabulary
+from metaloom.sources import code, reports, xml
 
 
 def plan(df):
@@ -69,3 +70,11 @@ def test_a_long_report_is_neither_held_whole_nor_read_otherwise():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2_000_000
+
+
+def test_a_comment_names_the_lines_above_once(spark):
+    made = code.doc_comment(F.col("lines"), F.col("line_start"), Vocabulary())
+    assert str(made).count("line_start") <= 2
+    rows = [(["x", "// ====", "//  One ", "// two", "// Параметры:", "//  p", "F()"], 7), (["F()"], 1), (["// a", "", "F()"], 3), (["// ----", "// only", "F()"], 3)]
+    found = spark.createDataFrame(rows, "lines array<string>, line_start int").select(made.alias("doc")).collect()
+    assert [r["doc"] for r in found] == ["One two", "", "", "only"]
