@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_frames, text_of
+from .common import HELD, in_frames, text_of
 
 
 @dataclass(frozen=True)
@@ -231,6 +231,9 @@ class Codec:
         return out
 
 
+HELD["byte_bpe"] = Codec.held
+
+
 def _flat(parts: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(parts), np.int32)
 
@@ -258,7 +261,7 @@ def encode(documents: DataFrame, path: str, pattern: str, settings: Settings | N
             for a, b in chunks(texts):
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b], "ids": codec.encode(texts[a:b])})
 
-    return in_frames(documents.select("doc_id", text_of().alias("text")), run, "doc_id long, ids array<int>")
+    return in_frames(documents.select("doc_id", text_of().alias("text")), run, "doc_id long, ids array<int>", owner="byte_bpe")
 
 
 def decode(coded: DataFrame, path: str, pattern: str, settings: Settings | None = None) -> DataFrame:
@@ -271,7 +274,7 @@ def decode(coded: DataFrame, path: str, pattern: str, settings: Settings | None
             ids = [np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in frame["ids"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "decoded": codec.decode(ids)})
 
-    return in_frames(coded.select("doc_id", "ids"), run, "doc_id long, decoded binary")
+    return in_frames(coded.select("doc_id", "ids"), run, "doc_id long, decoded binary", owner="byte_bpe")
 
 
 def digest(documents: DataFrame, path: str, pattern: str, settings: Settings | None = None) -> DataFrame:
@@ -294,4 +297,4 @@ def digest(documents: DataFrame, path: str, pattern: str, settings: Settings | N
                     decoded.append(hashlib.sha256(b"".join(back)).hexdigest())
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b], "n_tokens": counts, "ids_sha256": names, "decoded_sha256": decoded})
 
-    return in_frames(documents.select("doc_id", text_of().alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_frames(documents.select("doc_id", text_of().alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", owner="byte_bpe")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,22 +63,42 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "2m")
 
 
-def releasing(run: Callable) -> Callable:
-    """run, whose worker hands back what its allocators hold unused once a partition is done, since later stages find the same workers."""
+#: What modules hold in a worker from one partition to the next, by the module's name.
+HELD: dict[str, dict] = {}
+
+
+def trimmed() -> None:
+    """Hands back what this process' allocators hold unused."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(owner: str = "") -> None:
+    """Forgets what modules other than owner hold, since a later stage finds the workers of earlier ones and would stand beside all that."""
+    others = [held for name, held in HELD.items() if name != owner and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
+        trimmed()
+
+
+def releasing(run: Callable, owner: str = "") -> Callable:
+    """run, whose worker first forgets what others hold, and hands back unused memory once a partition is done."""
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released(owner)
         yield from run(frames)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trimmed()
 
     return whole
 
 
-def in_frames(rows: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def in_frames(rows: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",), owner: str = "") -> DataFrame:
     """mapInPandas with ids carried as text: beside a null, pandas turns whole numbers into floats, and those over 2 ** 53 change."""
     small_batches(rows.sparkSession)
     declared = StructType.fromDDL(schema)
     carried = StructType([StructField(f.name, StringType()) if f.name in ids else f for f in declared])
-    found = rows.withColumns({c: F.col(c).cast("string") for c in ids if c in rows.columns}).mapInPandas(releasing(run), carried)
+    found = rows.withColumns({c: F.col(c).cast("string") for c in ids if c in rows.columns}).mapInPandas(releasing(run, owner), carried)
     return found.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in declared if f.name in ids})

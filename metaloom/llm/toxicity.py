@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, in_frames, small_batches, text_of
+from .common import fold_of, in_frames, released, small_batches, text_of, trimmed
 
 WORD = re.compile(r"\w+")
 CUT = 0.7
@@ -117,12 +117,12 @@ class Model:
 
     def matrix(self, rows: np.ndarray) -> np.ndarray:
         """For words given by their buckets: products with each offset of each filter, then log probabilities in each language."""
-        out = []
-        for at in range(0, max(1, len(rows)), 20_000):
+        out = np.empty((len(rows), sum(len(k) * k.shape[2] for k in self.kernels) + self.speech.shape[1]), np.result_type(self.table, *self.kernels, self.speech))
+        for at in range(0, len(rows), 20_000):
             part = rows[at : at + 20_000]
-            vectors = self.words(part) if len(part) else np.zeros((0, self.settings.size), np.float32)
-            out.append(np.concatenate([*(vectors @ k[j] for k in self.kernels for j in range(len(k))), self.speech[part[:, 0]]], axis=1))
-        return np.concatenate(out)
+            vectors = self.words(part)
+            np.concatenate([*(vectors @ k[j] for k in self.kernels for j in range(len(k))), self.speech[part[:, 0]]], axis=1, out=out[at : at + len(part)])
+        return out
 
     def read(self, ids: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, int]:
         """Max over all positions of each filter, and the language; long texts in overlapping windows."""
@@ -186,6 +186,8 @@ def train(rows: list[tuple[str, str, int]], s: Settings) -> Model:
     vocabulary = Vocabulary(s)
     coded = [vocabulary.encode(r[0]) for r in rows]
     buckets = np.asarray(vocabulary.rows or [[0] * (1 + len(s.prefixes))], np.int64)
+    del vocabulary  # its lists take more than all that follows
+    trimmed()
     aside = np.arange(len(rows)) % 4 == 3
     if y[~aside].min() == y[~aside].max():
         aside[:] = False
@@ -321,7 +323,9 @@ def sample(documents: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[s
 
 
 def _fitted(documents: DataFrame, labels: DataFrame, s: Settings):
-    return documents.sparkSession.sparkContext.broadcast(train(sample(documents, labels, s), s))
+    model = train(sample(documents, labels, s), s)
+    trimmed()
+    return documents.sparkSession.sparkContext.broadcast(model)
 
 
 def score(documents: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -344,6 +348,7 @@ def keep_clean(documents: DataFrame, labels: DataFrame, settings: Settings | Non
 
     @F.pandas_udf("double")
     def rate(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        released()
         known = Known(model.value)
         for part in parts:
             yield pd.Series(model.value.scores(part.tolist(), known))

@@ -44,3 +44,14 @@ def test_long_words_in_pieces():
     small = bpe.Codec(PATH, P.PATTERN, bpe.Settings(long=12, piece=7))
     words = ["".join(rng.choice(["a", "ab", "th", "e", "in", "g", "é", "日", "-"]) for _ in range(rng.randint(8, 60))) for _ in range(200)]
     assert [list(x) for x in small.encode(words)] == [want.encode_ordinary(w) for w in words]
+
+
+def test_later_stages_find_no_words_in_the_worker():
+    """A worker goes from stage to stage; what BPE remembers is kept for BPE alone."""
+    from metaloom.llm import common
+
+    codec = bpe.Codec.of(PATH, P.PATTERN, bpe.Settings())
+    list(common.releasing(lambda frames: frames, "byte_bpe")(iter([])))
+    assert bpe.Codec.of(PATH, P.PATTERN, bpe.Settings()) is codec
+    list(common.releasing(lambda frames: frames)(iter([])))
+    assert not bpe.Codec.held
