@@ -87,11 +87,17 @@ def adjacency(edges: DataFrame, key: Column, other: Column, name: str, most: int
     return placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_other"))), lambda x: x["_other"]).alias(name))
 
 
+#: Lets a join rely on the order in which a bucket's only file was written, instead of sorting all weights again in each iteration.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class Buckets:
-    """Tables with the same number of buckets, dropped together."""
+    """Tables with the same number of buckets, dropped together. Until then their files count as sorted."""
 
     def __init__(self, spark: SparkSession, n: int):
         self.spark, self.n, self.names = spark, n, []
+        self.before = spark.conf.get(ORDERED)
+        spark.conf.set(ORDERED, "true")
 
     def write(self, rows: DataFrame, key: str, dealt: bool = False) -> DataFrame:
         """Rows as a table bucketed and sorted by a key, a file for each bucket. dealt: they come from a join of such tables by the key, and lie as they should."""
@@ -101,5 +107,6 @@ class Buckets:
         return self.spark.table(name)
 
     def drop(self) -> None:
+        self.spark.conf.set(ORDERED, self.before)
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")

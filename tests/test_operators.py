@@ -148,6 +148,21 @@ def test_pagerank_shuffles_once_an_iteration(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_pagerank_sorts_its_weights_once(spark):
+    """They are written in order; no iteration sorts them, or the ranks they are joined with."""
+    before = spark.conf.get(graph.ORDERED)
+    tables = graph.Buckets(spark, 4)
+    try:
+        weights = tables.write(spark.createDataFrame([(1, 2, 1.0), (2, 1, 0.5), (2, 3, 0.5)], "src long, dst long, weight double"), "src")
+        ranks = tables.write(spark.createDataFrame([(1, 0.3, False), (2, 0.3, False), (3, 0.4, True)], "id long, rank double, loose boolean"), "id")
+        ranks = tables.write(graph._round(ranks, weights, 3, 0.85), "id", dealt=True)
+        plan = graph._round(ranks, weights, 3, 0.85)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        tables.drop()
+    assert plan.count("Sort [") == 1 and "Sort [src" not in plan  # what was sent alone
+    assert spark.conf.get(graph.ORDERED) == before
+
+
 def test_pagerank_from_a_warm_start(spark):
     edges = spark.createDataFrame([(i, (i * 7 + j) % 40) for i in range(40) for j in range(3)], "src long, dst long")
     vertices = spark.range(40).select("id")
