@@ -16,6 +16,8 @@ trigrams and for lines around a hit: the folders are pruned at run time by the d
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -64,17 +66,22 @@ class Postings:
         postings = tokens_of(texts, self.kind).withColumns({"bucket": self._bucket(F.col("token")), "slot": F.pmod(F.xxhash64("doc"), F.lit(self.s.slots))})
         postings = postings.repartition("bucket", "slot")
         if self.kind == "words":
-            postings = postings.groupBy("bucket", "slot", "token", "doc").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+            postings = _in_order(postings)
         else:  # each trigram of a text comes once
             postings = postings.withColumn("positions", F.array("pos"))
-        _placed(postings.select("bucket", "token", "doc", "positions"), "bucket", ["bucket", "token", "doc"], f"{folder}/postings")
+        with _by_sorting(self.spark):
+            _placed(postings.select("bucket", "token", "doc", "positions"), "bucket", ["bucket", "token", "doc"], f"{folder}/postings")
         kept = texts.withColumn("part", self._part(F.col("doc"))).repartition("part")
         _placed(kept, "part", ["part", "doc"], f"{folder}/texts")
         out.distinct().write.parquet(f"{folder}/gone")
+        if self.kind == "trigrams":  # the rarest are looked for, of words all
+            self._count(folder)
+        return Postings(self.spark, self.kind, (*self.segments, folder), self.s)
+
+    def _count(self, folder: str) -> None:
         written = self.spark.read.schema("token string, bucket int").parquet(f"{folder}/postings")  # not the plan, which would cut the texts again
         counts = written.groupBy("bucket", "token").agg(F.count("*").alias("docs"))
         _placed(counts, "bucket", ["bucket", "token"], f"{folder}/counts")
-        return Postings(self.spark, self.kind, (*self.segments, folder), self.s)
 
     def compacted(self, folder: str) -> Postings:
         return Postings.write(self.texts().drop("part"), self.kind, folder, self.s)
@@ -182,5 +189,23 @@ def tokens_of(texts: DataFrame, kind: str) -> DataFrame:
     return rows.select("doc", F.lit(0).alias("pos"), F.explode(F.array_distinct(grams)).alias("token"))
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """bucket, token, doc, slot, positions of rows dealt by bucket and slot: one sort serves the grouping and the file."""
+    keys = ["bucket", "token", "doc", "slot"]
+    return rows.sortWithinPartitions(*keys, "pos").groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+@contextmanager
+def _by_sorting(spark: SparkSession) -> Iterator[None]:
+    """Within, lists are collected from sorted rows as they come, not in a hash table that gives up after some keys and sorts again."""
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _placed(rows: DataFrame, folder: str, order: list[str], path: str) -> None:
     rows.sortWithinPartitions(*order).write.partitionBy(folder).parquet(path)

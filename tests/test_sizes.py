@@ -78,3 +78,14 @@ def test_a_comment_names_the_lines_above_once(spark):
     rows = [(["x", "// ====", "//  One ", "// two", "// Параметры:", "//  p", "F()"], 7), (["F()"], 1), (["// a", "", "F()"], 3), (["// ----", "// only", "F()"], 3)]
     found = spark.createDataFrame(rows, "lines array<string>, line_start int").select(made.alias("doc")).collect()
     assert [r["doc"] for r in found] == ["One two", "", "", "only"]
+
+
+def test_postings_of_words_are_sorted_once(spark):
+    """The sort that groups them is the one that the files are written by."""
+    rows = spark.createDataFrame([(1, "over the over")], "doc long, text string")
+    dealt = postings.tokens_of(rows, "words").withColumns({"bucket": F.length("token"), "slot": F.lit(0) + F.col("doc") % 4}).repartition("bucket", "slot")
+    with postings._by_sorting(spark):
+        grouped = postings._in_order(dealt).select("bucket", "token", "doc", "positions")
+        seen = plan(grouped.sortWithinPartitions("bucket", "token", "doc"))
+        assert sorted(map(tuple, grouped.collect())) == [(3, "the", 1, [1]), (4, "over", 1, [0, 2])]
+    assert seen.count("Sort [") == 1 and "ObjectHash" not in seen and seen.count("Exchange") == 1
