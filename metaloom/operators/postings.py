@@ -63,14 +63,14 @@ class Postings:
         """With the texts added, and without the documents of `gone` (doc) or what was known of these texts. Ids are unique; texts without one are left out."""
         texts = texts.where("doc is not null")
         out = texts.select("doc") if gone is None else gone.select("doc").unionByName(texts.select("doc"))
-        postings = tokens_of(texts, self.kind).withColumns({"bucket": self._bucket(F.col("token")), "slot": F.pmod(F.xxhash64("doc"), F.lit(self.s.slots))})
-        postings = postings.repartition("bucket", "slot")
+        tokens = tokens_of(texts, self.kind).withColumn("bucket", self._bucket(F.col("token")))
+        slot = F.pmod(F.xxhash64("doc"), F.lit(self.s.slots))
         if self.kind == "words":
-            postings = _in_order(postings)
-        else:  # each trigram of a text comes once
-            postings = postings.withColumn("positions", F.array("pos"))
-        with _by_sorting(self.spark):
-            _placed(postings.select("bucket", "token", "doc", "positions"), "bucket", ["bucket", "token", "doc"], f"{folder}/postings")
+            postings = _in_order(tokens.withColumn("slot", slot).repartition("bucket", "slot")).select("bucket", "token", "doc", "positions")
+            with _by_sorting(self.spark):
+                _placed(postings, "bucket", ["bucket", "token", "doc"], f"{folder}/postings")
+        else:
+            _once(tokens, slot).write.partitionBy("bucket").parquet(f"{folder}/postings")
         kept = texts.withColumn("part", self._part(F.col("doc"))).repartition("part")
         _placed(kept, "part", ["part", "doc"], f"{folder}/texts")
         out.distinct().write.parquet(f"{folder}/gone")
@@ -195,6 +195,12 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions(*keys, "pos").groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _once(rows: DataFrame, slot: Column) -> DataFrame:
+    """bucket, token, doc, positions, dealt and in order, of tokens that come once in a text: what is the same in all rows is neither shuffled nor sorted."""
+    dealt = rows.select("bucket", "token", "doc").repartition("bucket", slot)
+    return dealt.sortWithinPartitions("bucket", "token", "doc").select("bucket", "token", "doc", F.array(F.lit(0)).alias("positions"))
+
+
 @contextmanager
 def _by_sorting(spark: SparkSession) -> Iterator[None]:
     """Within, lists are collected from sorted rows as they come, not in a hash table that gives up after some keys and sorts again."""

@@ -89,3 +89,12 @@ def test_postings_of_words_are_sorted_once(spark):
         seen = plan(grouped.sortWithinPartitions("bucket", "token", "doc"))
         assert sorted(map(tuple, grouped.collect())) == [(3, "the", 1, [1]), (4, "over", 1, [0, 2])]
     assert seen.count("Sort [") == 1 and "ObjectHash" not in seen and seen.count("Exchange") == 1
+
+
+def test_postings_of_trigrams_are_shuffled_bare(spark):
+    """Places, the same for all, are added after the sort."""
+    rows = postings.tokens_of(spark.createDataFrame([(1, "over")], "doc long, text string"), "trigrams").withColumn("bucket", F.length("token"))
+    found = postings._once(rows, F.col("doc") % 4)
+    seen = plan(found)
+    assert seen.count("Sort [") == 1 and "positions" not in seen[seen.index("Sort [") :] and "pos#" not in seen[: seen.index("Generate")]
+    assert {(r.token, *r.positions) for r in found.collect()} >= {("ove", 0), ("ver", 0)}
