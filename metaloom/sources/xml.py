@@ -6,6 +6,7 @@ holds no such thing. Everything after that (flattening, ids, joins) is DataFrame
 
 from __future__ import annotations
 
+import functools
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
@@ -25,20 +26,27 @@ ATTRIBUTE = "struct<name:string,type_ref:string,is_required:boolean>"
 OBJECT = f"struct<name:string,object_type:string,synonym:string,attributes:array<{ATTRIBUTE}>,tab_parts:array<struct<name:string,attributes:array<{ATTRIBUTE}>>>,registers:array<string>>"
 NAMED = "struct<name:string,source:string,event:string,handler:string>"
 FORM = "struct<name:string,attributes:array<string>,commands:array<string>,items:array<string>,handlers:array<struct<event:string,handler:string>>>"
+#: Files whose objects a task holds in Python at a time.
+AT_ONCE = 256
 SCHEMA = "struct<datasets:array<struct<name:string,query:string,fields:array<string>>>,parameters:array<string>>"
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def bare(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
 def local(element: ET.Element) -> str:
-    return element.tag.rpartition("}")[2]
+    return bare(element.tag)
 
 
 def named(element: ET.Element | None, *names: str) -> Iterator[ET.Element]:
-    return (c for c in (element if element is not None else ()) if local(c) in names)
+    return (c for c in (element if element is not None else ()) if bare(c.tag) in names)
 
 
 def child(element: ET.Element | None, name: str) -> ET.Element | None:
     for c in element if element is not None else ():
-        if c.tag.rpartition("}")[2] == name:
+        if bare(c.tag) == name:
             return c
     return None
 
@@ -50,29 +58,39 @@ def text(element: ET.Element | None, *names: str) -> str:
     return (element.text or "").strip() if element is not None else ""
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def type_name(written: str) -> str:
     own = written.strip().removeprefix("cfg:")
     prefix, dot, rest = own.partition(".")
     return words.PRIMITIVES.get(own) or (f"{words.TYPE_PREFIXES[prefix]}.{rest}" if dot and prefix in words.TYPE_PREFIXES else own)
 
 
-def types(element: ET.Element | None) -> str:
+def types(own: ET.Element | None) -> str:
     """All types of a Type element, by the first of three layouts that has any."""
-    own = child(element, "Type")
     if own is None:
         return ""
-    layouts = ([c.text for c in named(own, "Type")], [c.text for c in named(child(own, "TypeSet"), "Type", "Reference")], [own.text])
-    found = next((x for x in ([t for t in layout if t and t.strip()] for layout in layouts) if x), [])
-    return ", ".join(map(type_name, found))
+    found = [type_name(e.text) for e in own if bare(e.tag) == "Type" and e.text and e.text.strip()]
+    if not found:
+        layouts = (named(child(own, "TypeSet"), "Type", "Reference"), (own,))
+        found = next((x for x in ([type_name(e.text) for e in layout if e.text and e.text.strip()] for layout in layouts) if x), [])
+    return ", ".join(found)
+
+
+def members(element: ET.Element) -> dict[str, ET.Element]:
+    """The first child of each name."""
+    return {bare(c.tag): c for c in element[::-1]}
 
 
 def attributes(element: ET.Element) -> list[dict]:
+    """Each attribute's children are looked through once: a large tree has most of its elements here."""
     out = []
     for a in named(child(element, "ChildObjects"), "Attribute", "Dimension", "Resource"):
-        at = child(a, "Properties")
-        at = a if at is None else at
-        if text(at, "Name"):
-            out.append({"name": text(at, "Name"), "type_ref": types(at), "is_required": text(at, "FillChecking") == "ErrorIfNotFilled"})
+        at = members(a)
+        if "Properties" in at:
+            at = members(at["Properties"])
+        name, required = (at[n].text if n in at else None for n in ("Name", "FillChecking"))
+        if name := (name or "").strip():
+            out.append({"name": name, "type_ref": types(at.get("Type")), "is_required": (required or "").strip() == "ErrorIfNotFilled"})
     return out
 
 
@@ -169,14 +187,16 @@ def parsed(content: Column, path: Column, parse: Callable[[ET.Element, str], dic
 
     @F.arrow_udf(whole)
     def run(contents: pa.Array, names: pa.Array) -> pa.Array:
-        out = []
-        for c, n in zip(contents.to_pylist(), names.to_pylist(), strict=True):
+        def one(c: bytes | None, n: str) -> dict:
             try:
                 x = parse(ET.fromstring(c), n) if c else None
             except ET.ParseError:
                 x = None
-            out.append({"found": x is not None, "value": x})
-        return pa.array(out, type=made)
+            return {"found": x is not None, "value": x}
+
+        # a few files' objects stand in Python at a time, whatever a batch holds
+        some = ((contents[at : at + AT_ONCE].to_pylist(), names[at : at + AT_ONCE].to_pylist()) for at in range(0, len(contents), AT_ONCE))
+        return pa.concat_arrays([pa.array(list(map(one, *pair)), type=made) for pair in some] or [pa.array([], type=made)])
 
     return run(content, path)
 

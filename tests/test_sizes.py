@@ -1,6 +1,7 @@
 """What keeps queries in bounds on large tables, seen in plans and small tables."""
 
 import tracemalloc
+import xml.etree.ElementTree as ET
 
 from pyspark.sql import functions as F
 
@@ -28,6 +29,27 @@ def test_objects_are_joined_by_shuffles(spark, small):
     assert "Broadcast" not in plan(tq.tree_objects(spark, small))
 
 
+def test_files_are_dealt_by_number_whatever_their_size(spark, small):
+    files = tq.catalogues(spark, small)
+    assert files.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert files.count() == spark.read.parquet(f"{small}/customer.parquet").count()
+
+
+def test_children_of_an_attribute_are_looked_through_once():
+    class Counting(ET.Element):
+        passes = 0
+
+        def __getitem__(self, at):
+            Counting.passes += self.tag == "Properties"
+            return super().__getitem__(at)
+
+    at = "<Attribute><Properties><Name>%s</Name><Name>no</Name><Type>%s</Type><FillChecking>ErrorIfNotFilled</FillChecking></Properties></Attribute>"
+    content = "<Catalog><ChildObjects>" + at % ("a", "<Type>xs:string</Type><Type> </Type><Type>cfg:CatalogRef.C</Type>") + at % ("b", "<TypeSet><Type>T</Type></TypeSet>") + at % ("c", "own") + at % (" ", "x") + "</ChildObjects></Catalog>"
+    found = xml.attributes(ET.fromstring(content, ET.XMLParser(target=ET.TreeBuilder(element_factory=Counting))))
+    assert [(x["name"], x["type_ref"], x["is_required"]) for x in found] == [("a", "Строка, СправочникСсылка.C", True), ("b", "T", True), ("c", "own", True)]
+    assert Counting.passes <= 4
+
+
 def test_of_equal_names_the_first_stays(spark):
     a = [("a", "t1", True), ("b", "t2", False), ("a", "t3", False)]
     row = [("p", "Kind.N", "N", "Kind", "s", a, [("S", a), ("S", a[:1]), ("T", a[1:])], ["R", "Q", "R"])]
