@@ -11,7 +11,7 @@ cuts (`cuts_at_blanks`), a unit is a whole text, and all else stays.
 
 The number of documents in which a pair of ids is linked is counted over the different pairs of each
 document. Units meet their documents in two ways that together cover all: the `frequent` most common short
-units are broadcast, all others are joined by a shuffle. Documents and encoded units are written as tables bucketed by the
+units are broadcast, all others are joined by a shuffle, and so do pairs their units. Documents and encoded units are written as tables bucketed by the
 task that writes them, so what groups the units of a document, or the tokens of a unit, shuffles nothing.
 
 Defined results: null and empty texts have no tokens, nor have texts where a side's tokens don't give back
@@ -29,7 +29,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, small_batches, text_of
@@ -88,7 +88,7 @@ def cuts_at_blanks(a_path: str, b_path: str) -> bool:
 
 
 def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """no, ok, a_ids, a_sizes, b_ids, b_sizes of units (no, unit); a unit that doesn't come back in bytes has ok false and no tokens."""
+    """ok, a_ids, a_sizes, b_ids, b_sizes beside the columns of units (unit, ..); a unit that doesn't come back in bytes has ok false and no tokens."""
     small_batches(units.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +108,10 @@ def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 for side, tokens in zip(sizes, both):
                     side.append([len(x) for x in tokens])
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("no"), pa.array(ok, pa.bool_()), *(pa.array(x, ints) for x in (a_ids, sizes[0], b_ids, sizes[1]))], names=["no", "ok", "a_ids", "a_sizes", "b_ids", "b_sizes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_()), *(pa.array(x, ints) for x in (a_ids, sizes[0], b_ids, sizes[1]))], names=[*batch.schema.names, *found])
 
-    return units.select("no", "unit").mapInArrow(encode, "no long, ok boolean, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>")
+    found = {"ok": "boolean", "a_ids": "array<int>", "a_sizes": "array<int>", "b_ids": "array<int>", "b_sizes": "array<int>"}
+    return units.mapInArrow(encode, ", ".join(f"{name} {kind}" for name, kind in (dict(units.dtypes) | found).items()))
 
 
 # the alignment of units
@@ -151,54 +152,60 @@ def tokens(rows: DataFrame, side: str) -> DataFrame:
 
 
 def grouped(mine: DataFrame, other: DataFrame) -> DataFrame:
-    """task, no, part, place, id: tokens with the number of cuts before them. A cut is an end that the other side has too."""
-    cut = mine.join(other.select("task", "no", "end", F.lit(1).alias("cut")), ["task", "no", "end"], "left")
-    before = Window.partitionBy("task", "no").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    """task, no, part, place, id: tokens with the number of cuts before them. A cut is an end that the other side has too.
+    Ends are in the order of places, and the join has put the rows in theirs."""
+    cut = mine.join(other.select("task", "no", "end", F.lit(1).alias("cut")).hint("merge"), ["task", "no", "end"], "left")
+    before = Window.partitionBy("task", "no").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     return cut.select("task", "no", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int").alias("part"), "place", "id")
 
 
-def parts_of(rows: DataFrame, side: str) -> DataFrame:
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string")), ",")
-    return rows.groupBy("task", "no", "part").agg(ids.alias(f"{side}_list"), F.count("*").alias(f"{side}_size"))
+def parts_of(tokens: DataFrame, side: str) -> DataFrame:
+    """task, no, part and the side's ids there, in order."""
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"])
+    return tokens.groupBy("task", "no", "part").agg(ids.alias(side))
+
+
+def links_of(a: str, b: str) -> Column:
+    """(pair, times) of a group's ids. Equal ids are counted before the sides meet, so n tokens make no n * n links unless all differ."""
+    link = lambda x, y, times: F.struct((x.cast("long") * F.lit(SHIFT) + y).alias("pair"), times.cast("long").alias("times"))
+    times = lambda side, x: F.size(F.filter(side, lambda y: y == x))
+    many = F.flatten(F.transform(F.array_distinct(a), lambda x: F.transform(F.array_distinct(b), lambda y: link(x, y, times(a, x).cast("long") * times(b, y)))))
+    return F.when((F.size(a) == 1) & (F.size(b) == 1), F.array(link(F.get(a, F.lit(0)), F.get(b, F.lit(0)), F.lit(1)))).otherwise(many)
 
 
 def aligned(rows: DataFrame) -> DataFrame:
-    """For encoded units (task, no, ..): n_a, n_b, n_groups, n_links, groups, and links, the different pairs of ids linked in each with their times."""
+    """For encoded units (task, no, ..): n_a, n_b, n_groups, n_links, groups, and links, the pairs of ids linked in each group with their times."""
     fine = rows.where("ok")
     ends = {s: tokens(fine, s) for s in "ab"}
-    sides = {"a": grouped(ends["a"], ends["b"]), "b": grouped(ends["b"], ends["a"])}
-    both = parts_of(sides["a"], "a").join(parts_of(sides["b"], "b"), ["task", "no", "part"])
-    line = F.struct("part", F.concat_ws("|", "a_list", "b_list").alias("text"))
+    both = parts_of(grouped(ends["a"], ends["b"]), "a").join(parts_of(grouped(ends["b"], ends["a"]), "b").hint("merge"), ["task", "no", "part"])
+    listed = (F.array_join(F.col(s).cast("array<string>"), ",") for s in "ab")
+    line = F.struct("part", F.concat_ws("|", *listed).alias("text"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), ";").alias("groups")
-    sums = [F.sum("a_size").alias("n_a"), F.sum("b_size").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("a_size") * F.col("b_size")).alias("n_links")]
-    # equal ids of a group are counted before the sides meet, so a group of n tokens makes no n * n rows unless all differ
-    counted = {s: sides[s].groupBy("task", "no", "part", F.col("id").alias(s)).agg(F.count("*").alias(f"{s}_times")) for s in "ab"}
-    pair = (F.col("a") * F.lit(SHIFT).cast("long") + F.col("b")).alias("pair")
-    met = counted["a"].join(counted["b"], ["task", "no", "part"]).groupBy("task", "no", pair).agg(F.sum(F.col("a_times") * F.col("b_times")).alias("times"))
-    links = met.groupBy("task", "no").agg(F.collect_list(F.struct("pair", "times")).alias("links"))
-    return both.groupBy("task", "no").agg(*sums, text).join(links, ["task", "no"])
+    n_links = F.sum(F.size("a").cast("long") * F.size("b"))
+    sums = [F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"), F.count("*").alias("n_groups"), n_links.alias("n_links")]
+    return both.groupBy("task", "no").agg(*sums, text, F.flatten(F.collect_list(links_of("a", "b"))).alias("links"))
 
 
 # texts from their units
 
 
-def _split(units: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """The frequent units and the others. Frequencies are counted in steps of a 16th of a power of two; the last step that fits whole is in."""
+def _split(rows: DataFrame, limit: int, short: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of most docs, at most `limit` and all short, and the others. Frequencies are counted in steps of a 16th of a power of two; the last step that fits whole is in."""
     step = F.floor(F.log2("docs") * 16)
-    short = units.withColumn("step", F.when(F.octet_length("unit") <= s.frequent_bytes, step).otherwise(-1))
-    counts = sorted(((r["step"], r["count"]) for r in short.groupBy("step").count().collect() if r["step"] >= 0), reverse=True)
+    stepped = rows.withColumn("step", step if short is None else F.when(short, step).otherwise(-1))
+    counts = sorted(((r["step"], r["count"]) for r in stepped.groupBy("step").count().collect() if r["step"] >= 0), reverse=True)
     total, least = 0, 1 << 20
     for at, n in counts:
         total += n
-        if total > s.frequent:
+        if total > limit:
             break
         least = at
-    return short.where(F.col("step") >= least).drop("step"), short.where(F.col("step") < least).drop("step")
+    return stepped.where(F.col("step") >= least).drop("step"), stepped.where(F.col("step") < least).drop("step")
 
 
 def _met(rows: DataFrame, payload: DataFrame, s: Settings, aggregates: list) -> list[DataFrame]:
     """Aggregates by row of rows (row, .., unit) with what payload has for their units: of frequent units and of others."""
-    frequent, others = _split(payload, s)
+    frequent, others = _split(payload, s.frequent, F.octet_length("unit") <= s.frequent_bytes)
     known = F.broadcast(frequent.drop("docs"))
     first = rows.join(known, "unit").groupBy("task", "row").agg(*aggregates)
     rest = rows.join(F.broadcast(frequent.select("unit")), "unit", "left_anti").join(others.drop("docs"), "unit").groupBy("task", "row").agg(*aggregates)
@@ -219,7 +226,8 @@ def _align(documents: DataFrame, a_path: str, b_path: str, s: Settings, tables:
     once = full.select("task", "row", F.explode(F.array_distinct(cut)).alias("unit"))
     known = keep(once.groupBy("unit").agg(F.count("*").alias("docs")).withColumn("no", F.monotonically_increasing_id()), "units")
     coded = _lying(encoded(known, a_path, b_path), tables)
-    found = keep(known.join(coded.select("no", "ok"), "no").join(aligned(coded).drop("task"), "no", "left"), "aligned")
+    found = keep(coded.select("task", "no", "unit", "docs", "ok").join(aligned(coded).hint("merge"), ["task", "no"], "left").drop("task"), "aligned")
+    coded.sparkSession.sql(f"DROP TABLE {tables.pop()}")
 
     # documents of each pair: its units' pairs, each once
     pairs = F.transform("links", lambda x: x["pair"])
@@ -233,8 +241,12 @@ def _align(documents: DataFrame, a_path: str, b_path: str, s: Settings, tables:
     # what each unit adds to n_best and count_sum
     of_a = F.floor(F.col("pair") / SHIFT).alias("a")
     best = counts.groupBy(of_a).agg(F.max("docs").alias("most"))
-    rated = counts.select("pair", F.col("docs").alias("held"), of_a).join(best, "a").select("pair", "held", (F.col("held") == F.col("most")).cast("long").alias("best"))
-    added = found.select("no", F.explode("links").alias("l")).select("no", "l.*").join(rated, "pair").groupBy("no").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("held")).alias("count_sum"))
+    rated = keep(counts.select("pair", "docs", of_a).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best")), "rated")
+    often, seldom = _split(rated, s.frequent)
+    links = found.select("no", F.inline("links"))
+    near, far = links.join(F.broadcast(often), "pair"), links.join(F.broadcast(often.select("pair")), "pair", "left_anti").join(seldom, "pair")
+    of_unit = [F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum")]
+    added = near.select("no", "times", "docs", "best").union(far.select("no", "times", "docs", "best")).groupBy("no").agg(*of_unit)
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     summed = keep(found.join(added, "no", "left").select("unit", "docs", "ok", "groups", *names), "unit_sums")
 

@@ -80,3 +80,14 @@ def test_given_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = alignment.digest(docs, A, B)
     assert sorted(map(tuple, got.collect())) == sorted(brute(docs.select("doc_id", "text").collect()))
+
+
+def test_sides_are_read_once_for_groups_and_links(spark):
+    """Each side is read for its tokens and for its ends, not again for the links."""
+    fields = "task int, no long, ok boolean, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>"
+    # A ends at 1, 2, 4 and B at 2, 3, 4: groups 5,5|7 and 6|8,8
+    found = alignment.aligned(spark.createDataFrame([(0, 1, True, [5, 5, 6], [1, 1, 2], [7, 8, 8], [2, 1, 1]), (0, 2, False, [], [], [], [])], fields))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 4
+    (row,) = found.collect()
+    assert (row["n_a"], row["n_b"], row["n_groups"], row["n_links"], row["groups"]) == (3, 3, 2, 4, "5,5|7;6|8,8")
+    assert sorted(map(tuple, row["links"])) == [(5 * alignment.SHIFT + 7, 2), (6 * alignment.SHIFT + 8, 2)]
