@@ -11,8 +11,9 @@ cuts (`cuts_at_blanks`), a unit is a whole text, and all else stays.
 
 The number of documents in which a pair of ids is linked is counted over the different pairs of each
 document. Units meet their documents in two ways that together cover all: the `frequent` most common short
-units are broadcast, all others are joined by a shuffle, and so do pairs their units. Documents and encoded units are written as tables bucketed by the
-task that writes them, so what groups the units of a document, or the tokens of a unit, shuffles nothing.
+units are broadcast, all others are joined by a shuffle, and so do pairs their units. Documents, cut once, and encoded
+units are written as tables bucketed by blocks of the task that writes them, so what groups the units of a document, or
+the tokens of a unit, shuffles nothing and is sorted in memory. Tables go as soon as they are read.
 
 Defined results: null and empty texts have no tokens, nor have texts where a side's tokens don't give back
 the bytes; they count zero and have '' as digest. Repeated rows and repeated or null ids are each answered, and each
@@ -24,7 +25,7 @@ from __future__ import annotations
 import functools
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -45,6 +46,9 @@ class Settings:
     #: At most so many units are broadcast, of so many bytes each at most.
     frequent: int = 1 << 19
     frequent_bytes: int = 64
+    #: Blocks of documents to a task that reads them; units to a block.
+    blocks: int = 8
+    block_units: int = 1 << 15
 
 
 # the tokenizers
@@ -121,42 +125,60 @@ def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
 def _as_dealt(spark: SparkSession):
     """Within, rows are joined, windowed and grouped where they lie, if they lie by some of the keys; and tables are read by their buckets."""
     wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    with _set(spark, wanted):
+        tables: dict[str, str] = {}
+        try:
+            yield tables
+        finally:
+            _drop(spark, tables, *tables)
+
+
+@contextmanager
+def _set(spark: SparkSession, wanted: dict[str, str]):
     before = {name: spark.conf.get(name) for name in wanted}
-    tables: list[str] = []
     for name, value in wanted.items():
         spark.conf.set(name, value)
     try:
-        yield tables
+        yield
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
-        for name in tables:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _lying(rows: DataFrame, tables: list[str]) -> DataFrame:
-    """The rows as a table bucketed by `task`, the task that writes them: each task writes one file, nothing is shuffled,
-    and whatever is grouped by task and more keys later isn't either."""
-    name = f"alignment_{uuid.uuid4().hex[:12]}"
-    tables.append(name)
-    n = min(max(rows.rdd.getNumPartitions(), 1), 50_000)
-    rows.withColumn("task", F.spark_partition_id()).write.bucketBy(n, "task").saveAsTable(name)
-    return rows.sparkSession.table(name)
+def _held(rows: DataFrame, tables: dict[str, str], name: str, blocks: int = 0) -> DataFrame:
+    """The rows as a table until it is dropped. With blocks each writing task deals its rows into so many blocks (`task`), by which the table is bucketed:
+    nothing is shuffled then, nor is whatever is grouped by task and more keys later, and a block is small enough to be sorted in memory."""
+    tables[name] = full = f"alignment_{name}_{uuid.uuid4().hex[:12]}"
+    if blocks:
+        n = min(max(rows.rdd.getNumPartitions(), 1) * blocks, 50_000)
+        rows = rows.withColumn("task", F.spark_partition_id() * blocks + F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+        rows.write.option("compression", "zstd").bucketBy(n, "task").saveAsTable(full)
+    else:
+        rows.write.option("compression", "zstd").saveAsTable(full)
+    return rows.sparkSession.table(full)
+
+
+def _drop(spark: SparkSession, tables: dict[str, str], *names: str) -> None:
+    """What is read no more leaves the disk at once: the tables, and the shuffles that made them, which Spark deletes when the driver collects its garbage."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {tables.pop(name)}")
+    spark._jvm.System.gc()
 
 
 def tokens(rows: DataFrame, side: str) -> DataFrame:
-    """task, no, place, id, end: a row for each token of a side, with the byte at which it ends."""
+    """task, no, place, id, end: a row for each token of a side, with the byte at which it ends. A task's units count as one text, in the order of `no`:
+    where one ends both sides cut, so windows and joins have as many groups as there are tasks."""
     each = rows.select("task", "no", F.posexplode(F.arrays_zip(F.col(f"{side}_ids").alias("id"), F.col(f"{side}_sizes").alias("size"))).alias("place", "t"))
-    so_far = Window.partitionBy("task", "no").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("task").orderBy("no", "place").rowsBetween(Window.unboundedPreceding, 0)
     return each.select("task", "no", "place", "t.id", F.sum("t.size").over(so_far).alias("end"))
 
 
 def grouped(mine: DataFrame, other: DataFrame) -> DataFrame:
     """task, no, part, place, id: tokens with the number of cuts before them. A cut is an end that the other side has too.
     Ends are in the order of places, and the join has put the rows in theirs."""
-    cut = mine.join(other.select("task", "no", "end", F.lit(1).alias("cut")).hint("merge"), ["task", "no", "end"], "left")
-    before = Window.partitionBy("task", "no").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return cut.select("task", "no", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int").alias("part"), "place", "id")
+    cut = mine.join(other.select("task", "end", F.lit(1).alias("cut")).hint("merge"), ["task", "end"], "left")
+    before = Window.partitionBy("task").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.select("task", "no", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("part"), "place", "id")
 
 
 def parts_of(tokens: DataFrame, side: str) -> DataFrame:
@@ -189,69 +211,76 @@ def aligned(rows: DataFrame) -> DataFrame:
 # texts from their units
 
 
-def _split(rows: DataFrame, limit: int, short: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows of most docs, at most `limit` and all short, and the others. Frequencies are counted in steps of a 16th of a power of two; the last step that fits whole is in."""
+def _often(rows: DataFrame, limit: int, short: Column | None = None) -> Column:
+    """Whether a row is one of those of most docs, at most `limit` and all short. Frequencies are counted in steps of a 16th of a power of two; the last step that fits whole is in."""
     step = F.floor(F.log2("docs") * 16)
-    stepped = rows.withColumn("step", step if short is None else F.when(short, step).otherwise(-1))
-    counts = sorted(((r["step"], r["count"]) for r in stepped.groupBy("step").count().collect() if r["step"] >= 0), reverse=True)
+    step = step if short is None else F.when(short, step).otherwise(-1)
+    counts = sorted(((r["step"], r["count"]) for r in rows.groupBy(step.alias("step")).count().collect() if r["step"] >= 0), reverse=True)
     total, least = 0, 1 << 20
     for at, n in counts:
         total += n
         if total > limit:
             break
         least = at
-    return stepped.where(F.col("step") >= least).drop("step"), stepped.where(F.col("step") < least).drop("step")
+    return step >= least
 
 
-def _met(rows: DataFrame, payload: DataFrame, s: Settings, aggregates: list) -> list[DataFrame]:
-    """Aggregates by row of rows (row, .., unit) with what payload has for their units: of frequent units and of others."""
-    frequent, others = _split(payload, s.frequent, F.octet_length("unit") <= s.frequent_bytes)
-    known = F.broadcast(frequent.drop("docs"))
-    first = rows.join(known, "unit").groupBy("task", "row").agg(*aggregates)
-    rest = rows.join(F.broadcast(frequent.select("unit")), "unit", "left_anti").join(others.drop("docs"), "unit").groupBy("task", "row").agg(*aggregates)
-    return [first, rest]
+def _met(rows: DataFrame, rest: DataFrame, payload: DataFrame, often: Column, aggregates: list) -> list[DataFrame]:
+    """Aggregates by row with what payload has for their units: of frequent units among those of rows, and of the others, which are those of rest."""
+    first = rows.join(F.broadcast(payload.where(often).drop("docs")), "unit").groupBy("task", "row").agg(*aggregates)
+    return [first, rest.join(payload.where(~often).drop("docs"), "unit").groupBy("task", "row").agg(*aggregates)]
 
 
-def align(documents: DataFrame, a_path: str, b_path: str, settings: Settings | None = None) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (`a1,a2|b1;..`) of every row."""
+def align(documents: DataFrame, a_path: str, b_path: str, settings: Settings | None = None, shown: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (`a1,a2|b1;..`) of every row; shown says what is kept of groups."""
     with _as_dealt(documents.sparkSession) as tables:
-        return keep(_align(documents, a_path, b_path, settings or Settings(), tables), "alignment")
+        with _set(documents.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192"}):  # a block's documents are put together without a sort
+            return keep(_align(documents, a_path, b_path, settings or Settings(), tables, shown), "alignment")
 
 
-def _align(documents: DataFrame, a_path: str, b_path: str, s: Settings, tables: list[str]) -> DataFrame:
-    rows = _lying(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of().alias("text")), tables)
+def _align(documents: DataFrame, a_path: str, b_path: str, s: Settings, tables: dict[str, str], shown: Callable[[Column], Column]) -> DataFrame:
+    spark = documents.sparkSession
     whole = F.concat(F.lit(" "), "text")
     cut = F.split(whole, CUT, -1) if cuts_at_blanks(a_path, b_path) else F.array(whole)
-    full = rows.where(F.col("text") != "")
-    once = full.select("task", "row", F.explode(F.array_distinct(cut)).alias("unit"))
-    known = keep(once.groupBy("unit").agg(F.count("*").alias("docs")).withColumn("no", F.monotonically_increasing_id()), "units")
-    coded = _lying(encoded(known, a_path, b_path), tables)
-    found = keep(coded.select("task", "no", "unit", "docs", "ok").join(aligned(coded).hint("merge"), ["task", "no"], "left").drop("task"), "aligned")
-    coded.sparkSession.sql(f"DROP TABLE {tables.pop()}")
+    texts = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of().alias("text"))
+    rows = _held(texts.select("row", "doc_id", F.when(F.col("text") != "", cut).alias("units")), tables, "rows", s.blocks)
+    once = rows.select("task", "row", F.explode(F.array_distinct("units")).alias("unit"))
+    placed = rows.select("task", "row", F.posexplode("units").alias("place", "unit"))
+    known = _held(once.groupBy("unit").agg(F.count("*").alias("docs")).withColumn("no", F.monotonically_increasing_id()), tables, "units")
+    blocks = -(-known.count() // (s.block_units * max(known.rdd.getNumPartitions(), 1)))
+    coded = _held(encoded(known, a_path, b_path), tables, "coded", max(blocks, 1))
+    _drop(spark, tables, "units")
+    with _set(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "128"}):  # groups are too many for that
+        found = _held(coded.select("task", "no", "unit", "docs", "ok").join(aligned(coded).hint("merge"), ["task", "no"], "left").drop("task"), tables, "aligned")
+    _drop(spark, tables, "coded")
 
     # documents of each pair: its units' pairs, each once
     pairs = F.transform("links", lambda x: x["pair"])
-    first, rest = _met(once, found.select("unit", "docs", "ok", pairs.alias("pairs")), s, [F.min("ok").alias("ok"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")])
+    often = _often(found, s.frequent, F.octet_length("unit") <= s.frequent_bytes)
+    others = _held(placed.join(F.broadcast(found.where(often).select("unit")), "unit", "left_anti"), tables, "others")
+    first, rest = _met(once, others, found.select("unit", "docs", "ok", pairs.alias("pairs")), often, [F.min("ok").alias("ok"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")])
     joined = first.join(rest.select("task", "row", F.col("ok").alias("ok_2"), F.col("pairs").alias("pairs_2")), ["task", "row"], "full")
     none = F.array().cast("array<bigint>")
     union = F.array_union(F.coalesce("pairs", none), F.coalesce("pairs_2", none))
     linked = joined.where(F.coalesce("ok", F.lit(True)) & F.coalesce("ok_2", F.lit(True))).select(F.explode(union).alias("pair"))
-    counts = keep(linked.groupBy("pair").agg(F.count("*").alias("docs")), "pair_docs")
+    counts = _held(linked.groupBy("pair").agg(F.count("*").alias("docs")), tables, "pairs")
 
     # what each unit adds to n_best and count_sum
     of_a = F.floor(F.col("pair") / SHIFT).alias("a")
     best = counts.groupBy(of_a).agg(F.max("docs").alias("most"))
-    rated = keep(counts.select("pair", "docs", of_a).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best")), "rated")
-    often, seldom = _split(rated, s.frequent)
+    rated = _held(counts.select("pair", "docs", of_a).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best")), tables, "rated")
+    _drop(spark, tables, "pairs")
+    top = _often(rated, s.frequent)
+    most, seldom = rated.where(top), rated.where(~top)
     links = found.select("no", F.inline("links"))
-    near, far = links.join(F.broadcast(often), "pair"), links.join(F.broadcast(often.select("pair")), "pair", "left_anti").join(seldom, "pair")
+    near, far = links.join(F.broadcast(most), "pair"), links.join(F.broadcast(most.select("pair")), "pair", "left_anti").join(seldom, "pair")
     of_unit = [F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum")]
     added = near.select("no", "times", "docs", "best").union(far.select("no", "times", "docs", "best")).groupBy("no").agg(*of_unit)
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    summed = keep(found.join(added, "no", "left").select("unit", "docs", "ok", "groups", *names), "unit_sums")
+    summed = _held(found.join(added, "no", "left").select("unit", "docs", "ok", "groups", *names), tables, "sums")
+    _drop(spark, tables, "aligned", "rated")
 
-    placed = full.select("task", "row", F.posexplode(cut).alias("place", "unit"))
-    first, rest = _met(placed, summed, s, [F.min("ok").alias("ok"), F.collect_list(F.struct("place", "groups")).alias("listed"), *(F.sum(n).alias(n) for n in names)])
+    first, rest = _met(placed, others, summed, often, [F.min("ok").alias("ok"), F.collect_list(F.struct("place", "groups")).alias("listed"), *(F.sum(n).alias(n) for n in names)])
     rest = rest.select("task", "row", *(F.col(c).alias(f"{c}_2") for c in rest.columns if c not in ("task", "row")))
     out = rows.select("task", "row", "doc_id").join(first, ["task", "row"], "left").join(rest, ["task", "row"], "left")
     fine = F.coalesce("ok", "ok_2").isNotNull() & F.coalesce("ok", F.lit(True)) & F.coalesce("ok_2", F.lit(True))
@@ -259,10 +288,10 @@ def _align(documents: DataFrame, a_path: str, b_path: str, s: Settings, tables:
     text = F.array_join(F.transform(F.sort_array(F.concat(F.coalesce("listed", empty), F.coalesce("listed_2", empty))), lambda x: x["groups"]), ";")
     zero = F.lit(0).cast("long")
     total = [F.when(fine, F.coalesce(n, zero) + F.coalesce(f"{n}_2", zero)).otherwise(zero).alias(n) for n in names]
-    return out.select("doc_id", *total, F.when(fine, text).alias("groups"))
+    return out.select("doc_id", *total, shown(F.when(fine, text)).alias("groups"))
 
 
 def digest(documents: DataFrame, a_path: str, b_path: str, settings: Settings | None = None) -> DataFrame:
-    """align() with groups as a sha256, '' without tokens."""
-    found = align(documents, a_path, b_path, settings)
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256"))
+    """align() with groups as a sha256, '' without tokens. The groups themselves, several times the texts, are never written."""
+    found = align(documents, a_path, b_path, settings, lambda groups: F.coalesce(F.sha2(groups, 256), F.lit("")))
+    return found.withColumnRenamed("groups", "groups_sha256")

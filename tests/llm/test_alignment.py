@@ -91,3 +91,23 @@ def test_sides_are_read_once_for_groups_and_links(spark):
     (row,) = found.collect()
     assert (row["n_a"], row["n_b"], row["n_groups"], row["n_links"], row["groups"]) == (3, 3, 2, 4, "5,5|7;6|8,8")
     assert sorted(map(tuple, row["links"])) == [(5 * alignment.SHIFT + 7, 2), (6 * alignment.SHIFT + 8, 2)]
+
+
+def test_digest_writes_no_groups_and_leaves_no_tables(spark, monkeypatch):
+    """The groups of a text are longer than it; of them only a digest goes to disk, and what was written on the way is gone."""
+    kept, keep = [], alignment.keep
+    monkeypatch.setattr(alignment, "keep", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    before = {t.name for t in spark.catalog.listTables()}
+    got = alignment.digest(spark.createDataFrame([(1, "the tokens of a text " * 40, "", 0)], SCHEMA), A, B)
+    (row,), (found,) = got.collect(), kept
+    assert len(row["groups_sha256"]) == 64 and row["n_groups"] > 100
+    assert max(len(v) for v in found.first() if isinstance(v, str)) == 64
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_units_of_a_task_are_aligned_as_one_text(spark):
+    """Units that fail and units without tokens move no other's ends."""
+    fields = "task int, no long, ok boolean, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>"
+    rows = [(0, 1, True, [1, 2], [1, 2], [3], [3]), (0, 2, False, [], [], [], []), (0, 3, True, [4, 5], [2, 1], [6, 7], [2, 1]), (0, 4, True, [], [], [], []), (0, 5, True, [1], [5], [2], [5])]
+    found = alignment.aligned(spark.createDataFrame(rows, fields))
+    assert sorted((r["no"], r["groups"]) for r in found.collect()) == [(1, "1,2|3"), (3, "4|6;5|7"), (5, "1|2")]
